@@ -9,6 +9,9 @@ from importlib import import_module
 MODULES = {
     "op9_binary_records": "records",
     "op4_hilbert_packing": "packing",
+    "op7_media_sniffing": "media",
+    "op2_mixture": "mixing",
+    "op5_surrogates": "pii",
 }
 
 
