@@ -12,6 +12,8 @@ MODULES = {
     "op7_media_sniffing": "media",
     "op2_mixture": "mixing",
     "op5_surrogates": "pii",
+    "op6_minhash": "minhash",
+    "op3_cover_tree": "covertree",
 }
 
 
