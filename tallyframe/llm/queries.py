@@ -13,6 +13,8 @@ MODULES = {
     "op2_mixture": "mixing",
     "op5_surrogates": "pii",
     "op6_minhash": "minhash",
+    "op8_sentence_spans": "spans",
+    "op10_html_template": "htmltemplate",
     "op3_cover_tree": "covertree",
 }
 
