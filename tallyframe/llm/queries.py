@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: Query to its module; the function has the query's name.
 MODULES = {
+    "op1_toxicity_grammar": "toxicity",
     "op9_binary_records": "records",
     "op4_hilbert_packing": "packing",
     "op7_media_sniffing": "media",
