@@ -22,14 +22,15 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tallyframe.llm import common
 
 KEY = b"tallyframe surrogate key"
-ENTITY = "array<struct<kind:string,start:int,original:string,surrogate:string>>"
+ENTITY = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("original", StringType()), StructField("surrogate", StringType())])
 
 # Titles before a name, by gender, and phrases before one's own name.
 TITLES = {
@@ -239,14 +240,21 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, str
 
 def surrogates(docs: DataFrame, column: str = "text", key: bytes = KEY) -> DataFrame:
     """docs with entities in `column` replaced, n_entities and entities."""
-
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            done = [(None, []) if t is None else replaced(t, key) for t in batch]
-            yield pd.DataFrame({"text": [d[0] for d in done], "entities": [[dict(zip(("kind", "start", "original", "surrogate"), e)) for e in d[1]] for d in done]})
-
-    done = docs.withColumn("_done", F.pandas_udf(run, f"text string, entities {ENTITY}")(F.col(column)))
-    return done.withColumns({column: F.col("_done.text"), "n_entities": F.size("_done.entities"), "entities": F.col("_done.entities")}).drop("_done")
+    docs = docs.drop("n_entities", "entities")
+    at = docs.columns.index(column)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
+    names = ("kind", "start", "original", "surrogate")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches):
+            done = [(None, []) if t is None else replaced(t, key) for t in part.column(at).to_pylist()]
+            columns = part.columns
+            columns[at] = pa.array([d[0] for d in done], pa.string())
+            columns += [pa.array([len(d[1]) for d in done], pa.int32()), pa.array([[dict(zip(names, e)) for e in d[1]] for d in done], kind)]
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names + ["n_entities", "entities"])
+
+    added = [StructField("n_entities", IntegerType()), StructField("entities", ArrayType(ENTITY))]
+    return docs.mapInArrow(run, StructType(docs.schema.fields + added))
 
 
 def collisions(done: DataFrame) -> DataFrame:
