@@ -295,6 +295,18 @@ def score_table(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray]) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
+def kept(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray], cut: float, column: str = "text") -> DataFrame:
+    """Rows of docs whose score is below cut, as they are: a filter inside the batches, so nothing is joined."""
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = Grammar(*fitted)
+        for part in common.slices(batches):
+            yield part.filter(pa.array([g.score(t.as_py()) < cut for t in part.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
