@@ -71,18 +71,23 @@ def split(counts: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a block, in permuted order, that still fit into what is left of the rest."""
-    left, taken = int(group["left"].iloc[0]), []
+    """Rows of a block, in permuted order, that fit into what is left of the rest; where that is most of the block, those that do not stay out."""
     units = group.groupby("perm", sort=True)["size"].sum()
+    total, left = int(units.sum()), int(group["left"].iloc[0])
+    leave = 2 * left > total
+    room, chosen = total - left if leave else left, []
     for perm, size in units.items():
-        if 0 < size <= left:
-            left -= size
-            taken.append(perm)
+        if 0 < size <= room:
+            room -= size
+            chosen.append(perm)
+    taken = units.index.difference(chosen) if leave else chosen
     return pd.DataFrame({"skey": group["skey"].iloc[0], "perm": pd.Series(taken, dtype="int64")})
 
 
-def plan(docs: DataFrame, seed: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes of all rows with source_size, target and block; draws of each block; the hashes of rows drawn alone with their shard."""
+def plan(docs: DataFrame, seed: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sizes of all rows with source_size, target and block; blocks of each source; draws of each block; hashes of rows drawn alone, with their shard.
+
+    The last three are sent to every executor where they have few rows, and joined by key where not."""
     spark = docs.sparkSession
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
     words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
@@ -97,7 +102,7 @@ def plan(docs: DataFrame, seed: int = 2) -> tuple[DataFrame, DataFrame, DataFram
         rest = 0 if copies == MOST_TIMES else round(want[r.source] - copies * r.words)
         rows.append((r.skey, int(r.words), float(want[r.source]), copies, rest, max(1, min(MOST_BLOCKS, -(-r.n // BLOCK_ROWS)))))
     wanted = spark.createDataFrame(rows, "skey string, source_size long, target double, copies int, rest long, n_blocks long")
-    sized = sized.join(wanted, "skey").withColumn("block", F.pmod("perm", "n_blocks"))
+    sized = sized.join(common.small(wanted, len(rows)), "skey").withColumn("block", F.pmod("perm", "n_blocks"))
 
     by_order = W.partitionBy("skey").orderBy("at", "block")
     blocks = (
@@ -123,12 +128,12 @@ def plan(docs: DataFrame, seed: int = 2) -> tuple[DataFrame, DataFrame, DataFram
     drawn = drawn.join(numbers, ["skey", "number"])
     alone = F.col("part") & (F.col("copy") == F.col("copies"))
     entry = F.struct("copy", "shard")
-    draws = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.when(~alone, entry))).cast(DRAW).alias("draws"))
+    draws = common.stored(drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.when(~alone, entry))).cast(DRAW).alias("draws")), "mix-draws")
 
     left = blocks.where("part").select("skey", "block", (F.col("rest") - F.col("before")).alias("left"))
     single = sized.join(left, ["skey", "block"]).select("skey", "perm", "size", "left").groupBy("skey").applyInPandas(_fill, "skey string, perm long")
-    single = single.join(drawn.where(alone).select("skey", F.array(entry).cast(DRAW).alias("alone")), "skey")
-    return sized, draws, single
+    single = common.stored(single.join(drawn.where(alone).select("skey", F.array(entry).cast(DRAW).alias("alone")), "skey"), "mix-single")
+    return sized, wanted.select("skey", "n_blocks"), common.small(draws, draws.count()), common.small(single, single.count())
 
 
 def with_draws(rows: DataFrame, draws: DataFrame, single: DataFrame) -> DataFrame:
@@ -142,18 +147,19 @@ def with_draws(rows: DataFrame, draws: DataFrame, single: DataFrame) -> DataFram
 
 def mix(docs: DataFrame, seed: int = 2) -> DataFrame:
     """The mix: docs' columns, a row per draw, each shard a partition in random order."""
-    sized, draws, single = plan(docs, seed)
+    _, sources, draws, single = plan(docs, seed)
     # a row's own numbers follow from the row itself; only small tables are joined
-    sources = sized.select("skey", "n_blocks").distinct()
+    sources = common.small(sources, sources.count())
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(own, skey.alias("skey"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("perm"))
     rows = rows.join(sources, "skey").withColumn("block", F.pmod("perm", "n_blocks"))
     out = with_draws(rows, draws, single).select("_row", "perm", F.explode("draws").alias("_draw"))
     out = out.withColumn("_shard", F.col("_draw.shard")).withColumn("_at", F.xxhash64(F.lit(seed + 2), "perm", "_draw.copy", "_draw.shard"))
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_at").select("_row.*")
+    shards = (draws.select(F.max(F.expr("array_max(transform(draws, d -> d.shard))"))).first()[0] or 0) + 1
+    return out.repartitionById(max(shards, 1), F.col("_shard")).sortWithinPartitions("_at").select("_row.*")
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized, draws, single = plan(common.table(spark, sf_dir, "documents"))
+    sized, _, draws, single = plan(common.table(spark, sf_dir, "documents"))
     return with_draws(sized, draws, single).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source", F.size("draws").alias("times"))
