@@ -62,12 +62,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of at most this many narrow rows (some 20 MB) are sent to every executor.
+MOST_SENT = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint, if its counted rows are few."""
+    return F.broadcast(df) if rows <= MOST_SENT else df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts make batches of that many rows
+#: large, and they lie in memory outside of the heap, once in the executor and once in its Python worker.
+BATCH_ROWS = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, with batches for Python kept small in its session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) == 10_000:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, so that little is held as Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can: workers are used again by later stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

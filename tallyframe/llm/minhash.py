@@ -9,7 +9,8 @@ BANDS * ROWS universal functions; documents that agree in all minima of a band s
 
 A trial first compares signatures (four bits of each minimum, by bit counts inside the join) and sizes,
 which leave out only what five standard deviations exclude; the rest are confirmed on the full sets of the
-whole texts. Links are joined by alternating large-star and small-star. A pair at the threshold 0.8 misses
+whole texts. Trials of the second kind are made once a pair, in the first bucket that it shares, and
+nearly all inside the join, on the sets themselves, so that it gives out hardly more than links. Links are joined by alternating large-star and small-star. A pair at the threshold 0.8 misses
 all bands with probability (1 - 0.8**5)**32, 3 in a million.
 
 Large groups: a class of copies is one member; a group of near copies is linked by trials against two
@@ -35,6 +36,8 @@ from tallyframe.llm.components import connected
 
 ROWS, BANDS = 5, 32
 PERCENT = 80
+#: Shingles of a pair that may agree in half of their hash only (or of one text: its set is then that much smaller).
+SLACK = 3
 PLANES, PLANE_LONGS = 4, -(-ROWS * BANDS // 64)
 #: Minima that may differ in a pair at the threshold: the mean and five standard deviations.
 MOST_APART = int(ROWS * BANDS * 0.2 * 15 / 16 + 5 * (ROWS * BANDS * 0.1875 * 0.8125) ** 0.5)
@@ -47,7 +50,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -116,7 +119,7 @@ def _sign(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
         names = [x.split()[0] for x in SIGNED.split(", ")]
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = [(d, *signed(t.as_py(), n)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1))]
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -127,7 +130,7 @@ def _sign(n: int):
 def _confirm(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in common.slices(batches):
             a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 if last[0] != a[i]:
@@ -141,6 +144,15 @@ def _confirm(n: int, percent: int):
     return run
 
 
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches):
+            sets = [shingles(t.as_py(), n).astype(np.uint32).view(np.int32) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["rep", "members"])
+
+    return run
+
+
 def _apart(x: Column, y: Column) -> Column:
     """Minima whose kept bits differ."""
     total = F.lit(0)
@@ -161,7 +173,7 @@ def _likely(a: str, b: str, percent: int) -> Column:
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = common.lean(docs).select("doc_id", "text")
     everyone = common.stored(docs.mapInArrow(_sign(shingle), SIGNED), "minhash-signed")
     fp = ["n_shingles", "fp1", "fp2"]
     some = everyone.where("n_shingles > 0 and doc_id is not null")
@@ -183,7 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
         return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"), label)
 
     # everyone against a bucket's smallest member
-    hub = members.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("hub"))
+    # (hubs are written, so that the join deals both sides anew and a large bucket can be divided)
+    hub = common.stored(members.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("hub")), "minhash-hubs")
     tried = members.join(hub, "key").where("rep <> hub.rep").where(_likely("sig", "hub", percent)).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
     links = confirmed(tried, "minhash-links")
     part = connected(links)
@@ -197,14 +210,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     # across components: against the largest member, then all that are still apart
     m = placed()
     hub = m.groupBy("key").agg(F.max(F.struct("rep", "sig", "component")).alias("h")).select("key", F.col("h.sig").alias("hub"), F.col("h.component").alias("other"))
+    hub = common.stored(hub, "minhash-hubs")
     tried = m.join(hub, "key").where("component <> other").where(_likely("sig", "hub", percent)).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
     links = links.union(confirmed(tried, "minhash-links"))
     part = connected(links)
 
+    # what is still apart, in the first bucket that two members share; half of each hash is enough to tell in the
+    # join, with SLACK for two that agree in it, and what comes out is confirmed
     m = placed()
-    other = m.select("key", F.col("sig").alias("hub"), F.col("component").alias("other"))
-    tried = m.join(other, "key").where("component < other").where(_likely("sig", "hub", percent)).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
-    links = links.union(confirmed(tried, "minhash-links"))
+    sets = texts.join(m.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "rep long, members array<int>")
+    m = m.join(common.stored(sets, "minhash-sets"), "rep").join(reps.select("rep", "keys"), "rep")
+    x, y = m.alias("x"), m.alias("y")
+    first = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
+    alike = F.ceil(F.col("x.sig.n").cast("double") * F.col("y.sig.n") / (1 << 30))  # expected of very long texts, twice and more
+    both = F.size(F.array_intersect("x.members", "y.members")) + SLACK + alike
+    near = 100 * both >= percent * (F.col("x.sig.n") + F.col("y.sig.n") - both)
+    tried = x.join(y, F.col("x.key") == F.col("y.key")).where("x.component < y.component").where(_likely("x.sig", "y.sig", percent)).where(first).where(near)
+    links = links.union(confirmed(tried.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), "minhash-links"))
     part = connected(links)
 
     known = classes.join(part, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
