@@ -289,7 +289,7 @@ def _batch(ids, sizes, media) -> pa.RecordBatch:
 
 def store(docs: DataFrame, path: str) -> DataFrame:
     """Whole texts as media files (one of three formats by the payload's checksum) in a table at path; the table, read again."""
-    docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
+    common.lean(docs).select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema("doc_id long, n_bytes long, media binary").parquet(path)
 
 

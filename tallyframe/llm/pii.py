@@ -254,7 +254,7 @@ def surrogates(docs: DataFrame, column: str = "text", key: bytes = KEY) -> DataF
             yield pa.RecordBatch.from_arrays(columns, part.schema.names + ["n_entities", "entities"])
 
     added = [StructField("n_entities", IntegerType()), StructField("entities", ArrayType(ENTITY))]
-    return docs.mapInArrow(run, StructType(docs.schema.fields + added))
+    return common.lean(docs).mapInArrow(run, StructType(docs.schema.fields + added))
 
 
 def collisions(done: DataFrame) -> DataFrame:

@@ -206,12 +206,16 @@ def marks(text: str) -> set[str]:
 def learned_stems(rows: list[tuple[str, int]]) -> dict[str, float]:
     """Stems by their log odds, from texts and labels; fixed ones keep at least their weight."""
     stems = {s: 3.0 for s in INSULTS}
-    toxic = [marks(t) for t, y in rows if y]
-    n_pos, n_neg = len(toxic), len(rows) - len(toxic)
+    n_pos = sum(y for _, y in rows)
+    n_neg = len(rows) - n_pos
     if not n_pos or not n_neg:
         return stems
-    pos = Counter(m for found in toxic for m in found)
+    pos: Counter = Counter()
+    for t, y in rows:
+        if y:
+            pos.update(marks(t))
     some = {m for m, k in pos.items() if k >= LEAST_TOXIC}
+    pos = Counter({m: pos[m] for m in some})
     neg: Counter = Counter()
     for t, y in rows:
         if not y:
@@ -262,9 +266,11 @@ def model(docs: DataFrame, labels: DataFrame, train: Column | None = None, most:
         held = sorted((d, t, int(y > 0)) for b in batches for d, t, y in zip(*(c.to_pylist() for c in b.columns)))
         stems, weights = fit([(t, y) for _, t, y in held])
         names = [*stems, *(f"#{i}" for i in range(len(weights)))]
+        del held
+        common.release()
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([*stems.values(), *weights.tolist()], pa.float64())], ["name", "weight"])
 
-    got = {r.name: r.weight for r in rows.coalesce(1).mapInArrow(run, "name string, weight double").collect()}
+    got = {r.name: r.weight for r in common.lean(rows).coalesce(1).mapInArrow(run, "name string, weight double").collect()}
     if not got:
         return {s: 3.0 for s in INSULTS}, fixed_weights()
     return {k: v for k, v in got.items() if k[0] != "#"}, np.array([got[f"#{i}"] for i in range(FEATURES)])
@@ -281,7 +287,7 @@ def scored(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray], column:
             scores = pa.array([g.score(t.as_py()) for t in part.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields + [StructField("score", DoubleType())]))
+    return common.lean(docs).mapInArrow(run, StructType(docs.schema.fields + [StructField("score", DoubleType())]))
 
 
 def score_table(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray]) -> DataFrame:
@@ -292,7 +298,7 @@ def score_table(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray]) ->
         for part in common.slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.score(t.as_py()) for t in part.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return common.lean(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def kept(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray], cut: float, column: str = "text") -> DataFrame:
@@ -304,7 +310,7 @@ def kept(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray], cut: floa
         for part in common.slices(batches):
             yield part.filter(pa.array([g.score(t.as_py()) < cut for t in part.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.lean(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(column: str = "doc_id") -> Column:
