@@ -99,9 +99,12 @@ def without_repeats(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with later occurrences of repeated spans cut out of `column`, n_sentences and n_removed."""
     docs = docs.drop("n_sentences", "n_removed")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    spans = common.stored(docs.select(key.alias("doc_id"), F.col(column).alias("text")).mapInArrow(_spans, SPANS), "spans")
-    place = F.struct("doc_id", "start", "last")
+    spans = common.stored(common.lean(docs).select(key.alias("doc_id"), F.col(column).alias("text")).mapInArrow(_spans, SPANS), "spans")
+    # one number for doc_id and start, so that sums by hash stay in a hash map
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")
     repeated = spans.groupBy("hash").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other").select("hash", "kept")
+    # written, so that the join deals both sides anew and a very common hash can be divided
+    repeated = common.stored(repeated, "spans-repeated")
     later = spans.join(repeated, "hash").where(place != F.col("kept")).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("_later"))
     rows = docs.withColumn("_key", key).join(later.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
     at, marks = rows.columns.index(column), rows.columns.index("_later")
