@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +35,9 @@ def signs(seed: int = 20) -> np.ndarray:
 
 def hashed(data: bytes) -> np.ndarray:
     """Counts of the hashes of all runs of four bytes (of the whole, if shorter)."""
-    b = np.frombuffer(data.ljust(4, b"\0"), np.uint8).astype(np.uint32)
-    grams = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
-    return np.bincount((grams * np.uint32(2654435761)) >> np.uint32(24), minlength=SLOTS)
+    data = data.ljust(4, b"\0")
+    grams = np.ndarray((len(data) - 3,), "<u4", data, 0, (1,))
+    return np.bincount((grams * np.uint32(2654435761)).astype("<u4").view(np.uint8)[3::4], minlength=SLOTS)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -75,8 +74,17 @@ def curve_keys(texts: list[str]) -> np.ndarray:
     return hilbert(np.clip((np.arctan(at / 2) / np.pi + 0.5) * top, 0, top).astype(np.int64))
 
 
-def curve_key(texts: pd.Series) -> pd.Series:
-    return pd.Series(curve_keys(list(texts)), dtype="int64")
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes by cell of the curve."""
+    for part in common.slices(batches):
+        texts = part.column(0).to_pylist()
+        cells = curve_keys(texts) >> DIMS * BITS - 16
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([len(t) + 64 for t in texts], pa.int64())], ["_cell", "_bytes"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in common.slices(batches):
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(curve_keys(part.column(1).to_pylist()), pa.int64())], ["doc_id", "text", "_curve"])
 
 
 class Layout:
@@ -141,14 +149,38 @@ def _packed(path: str, end_id: int, size: int):
     return run
 
 
+def ranges(weights: list[tuple[int, int]], most: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(cell, first partition, partitions) for cells in order, so that no partition has much more than a most-th of the weight."""
+    share = max(1, -(-sum(w for _, w in weights) // most))
+    out, at, held = [], 0, 0
+    for cell, w in sorted(weights):
+        if held and held + w > share:
+            at, held = at + 1, 0
+        k = max(1, -(-w // share))
+        out.append((cell, at, k))
+        held += w
+        if k > 1:
+            at, held = at + k, 0
+    return out, at + 1
+
+
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, range_mb: int = 64) -> DataFrame:
-    """A row per piece of a document: where it begins and its length in ids, its sequence and its place there."""
-    docs = docs.select("doc_id", common.text_or_empty().alias("text"))
-    order = [F.col("_curve"), F.col("doc_id"), F.col("text")]
+    """A row per piece of a document: where it begins and its length in ids, its sequence and its place there.
+
+    Ranges of the curve are cut by bytes, from sums over its 65,536 cells; a cell that is too much for one
+    partition (equal documents) is divided by a hash."""
+    docs = common.lean(docs).select("doc_id", common.text_or_empty().alias("text"))
+    weights = docs.select("text").mapInArrow(_weighed, "_cell long, _bytes long").groupBy("_cell").agg(F.sum("_bytes")).collect()
+    cells, n = ranges([(r[0], r[1]) for r in weights], common.parts(docs, range_mb))
+    rows = docs.mapInArrow(_keyed, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, _curve long")
+    placed = docs.sparkSession.createDataFrame(cells, "_cell long, _first int, _k int")
+    tie = F.xxhash64("doc_id", "text")
+    at = (F.col("_first") + F.pmod("_tie", F.col("_k"))).cast("int")
     return (
-        docs.withColumn("_curve", F.pandas_udf(curve_key, "long")("text"))
-        .repartitionByRange(common.parts(docs, range_mb), *order)
-        .sortWithinPartitions(*order)
+        rows.withColumn("_cell", F.shiftright("_curve", DIMS * BITS - 16)).withColumn("_tie", tie)
+        .join(F.broadcast(placed), "_cell")  # 65,536 rows at most
+        .repartitionById(n, at)
+        .sortWithinPartitions("_curve", "doc_id", "_tie")
         .select("doc_id", "text")
         .mapInArrow(_packed(tokenizer, end_id, size), PIECES)
     )

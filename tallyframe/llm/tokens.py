@@ -28,7 +28,7 @@ class Whole(Exception):
 class Encoder:
     """encode(text): the ids as little-endian unsigned integers of `width` bytes, without special tokens added."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -43,16 +43,24 @@ class Encoder:
         elif before.get("type") == "Sequence" and before["pretokenizers"][0].get("type") == "Split" and before["pretokenizers"][0].get("behavior") == "Removed" and r"[^\s" in json.dumps(before["pretokenizers"][0]).replace("\\\\", "\\"):
             self.strict, self.pattern = False, BARE
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most
     def raw(self, text: str) -> bytes:
         return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Adds the ids of new pieces by one call."""
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        known = self.pieces
-        new = [p for p in set(pieces) if p not in known]
+        if len(self.pieces) > self.most:  # what was not used since the last time goes
+            self.older, self.pieces = self.pieces, {}
+        known, older, new = self.pieces, self.older, []
+        for p in set(pieces):
+            if p not in known:
+                if (ids := older.get(p)) is None:
+                    new.append(p)
+                else:
+                    known[p] = ids
+        if not new:
+            return
         if any("<|" in p for p in new) or self.strict and _OTHER_SPACE.search("".join(new)):
             raise Whole
         kind = "H" if self.width == 2 else "I"
