@@ -13,7 +13,7 @@ hold checksums stay sound. Files are written and committed by Spark's own writer
 that Spark reaches and with lost executors' half-written files left out.
 
 Defined results: a null text is encoded as an empty one, so its ids are the end id alone; rows of equal
-doc_id each get a record, in the order of their text; null doc_ids come first; other columns are ignored;
+doc_id each get a record, in the order of a hash of their text; null doc_ids come first; other columns are ignored;
 an empty table gives an index without rows.
 """
 
@@ -70,7 +70,7 @@ def unframe(data, at: int) -> tuple[int | None, np.ndarray, int]:
 
 def _framed(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, 800_000)
         end = end_id.to_bytes(enc.width, "little")
         for batch in batches:
             out, held = [], 0
@@ -89,9 +89,9 @@ def _framed(path: str, end_id: int):
 def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, shard_mb: int = 64) -> None:
     """Writes the records of docs (doc_id, text) in ascending doc_id order: shard k's ids are below shard k+1's."""
     (
-        docs.select("doc_id", common.text_or_empty().alias("text"))
-        .repartitionByRange(common.parts(docs.select("doc_id", "text"), shard_mb), F.col("doc_id").asc_nulls_first(), F.col("text"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
+        common.lean(docs).select("doc_id", common.text_or_empty().alias("text"))
+        .repartitionByRange(common.parts(docs.select("doc_id", "text"), shard_mb), F.col("doc_id").asc_nulls_first())
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .mapInArrow(_framed(tokenizer, end_id), "frame binary")
         .select(F.col("frame").cast("string").alias("value"))
         .write.option("lineSep", "\n")

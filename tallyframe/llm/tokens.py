@@ -18,6 +18,8 @@ _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r'[.,!?;:|$%&*#"]'
 #: Pieces that keep the white space before them, and pieces without it.
 LEADING = re.compile(rf"[ \n]?{_LETTERS}(?=[ \n]|{_MARKS}|\Z)|{_MARKS}+(?=[ \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
 BARE = re.compile(rf"{_LETTERS}(?=[ \n]|{_MARKS}|\Z)|{_MARKS}+(?=[ \n]|\Z)|[^ \n]+")
+#: Letters for which lower case is the same before and after normalization, in any context.
+_NOT_LATIN = re.compile("[^\x00-\u012F\u0131-\u024F]")
 _OTHER_SPACE = re.compile(r"[^\S \n]|<\|")
 
 
@@ -38,6 +40,7 @@ class Encoder:
             file = json.load(f)
         before, norm = file.get("pre_tokenizer") or {}, file.get("normalizer") or {}
         self.strict, self.pattern = True, None
+        self.lower = "Lowercase" in (n.get("type") for n in norm.get("normalizers", ()))
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not norm:
             self.pattern = LEADING
         elif before.get("type") == "Sequence" and before["pretokenizers"][0].get("type") == "Split" and before["pretokenizers"][0].get("behavior") == "Removed" and r"[^\s" in json.dumps(before["pretokenizers"][0]).replace("\\\\", "\\"):
@@ -48,40 +51,37 @@ class Encoder:
     def raw(self, text: str) -> bytes:
         return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Adds the ids of new pieces by one call."""
-        if len(self.pieces) > self.most:  # what was not used since the last time goes
-            self.older, self.pieces = self.pieces, {}
-        known, older, new = self.pieces, self.older, []
-        for p in set(pieces):
-            if p not in known:
-                if (ids := older.get(p)) is None:
-                    new.append(p)
-                else:
-                    known[p] = ids
-        if not new:
-            return
-        if any("<|" in p for p in new) or self.strict and _OTHER_SPACE.search("".join(new)):
+    def learn(self, new: set[str]) -> None:
+        """Adds the ids of pieces that are not known, by one call for those that were not met before."""
+        known, older, fresh = self.pieces, self.older, []
+        for p in new:
+            if (ids := older.get(p)) is None:
+                fresh.append(p)
+            else:
+                known[p] = ids
+        if any("<|" in p for p in fresh) or self.strict and _OTHER_SPACE.search("".join(fresh)):
             raise Whole
         kind = "H" if self.width == 2 else "I"
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        for piece, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             known[piece] = array(kind, got.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.pattern is None:
             return self.raw(text)
+        if self.lower and not _NOT_LATIN.search(text) and "<|" not in text:
+            text = text.lower()  # the file lowers it anyhow, and there are fewer pieces then
         pieces = self.pattern.findall(text)
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except KeyError:
+        if len(self.pieces) > self.most:  # what was not used since the last time goes
+            self.older, self.pieces = self.pieces, {}
+        if new := set(pieces).difference(self.pieces):
             try:
-                self.learn(pieces)
+                self.learn(new)
             except Whole:
                 return self.raw(text)
-            return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
-    return Encoder(path)
+def encoder(path: str, most: int = 500_000) -> Encoder:
+    """One encoder a worker and file; most: pieces kept, some 150 bytes each."""
+    return Encoder(path, most)
