@@ -48,12 +48,12 @@ def greedy_assign(spark, d):
 
 @query("merged_rectangles")
 def merged_rectangles(spark, d):
-    return O.merged_rectangles(boxes(spark, d).withColumn("page", F.col("g") % 64).where("price % 7 < 1"), "page")
+    return O.merged_rectangles(boxes(spark, d), "g")
 
 
 @query("agglomerated_boxes")
 def agglomerated_boxes(spark, d):
-    return O.agglomerated(boxes(spark, d).withColumn("page", F.col("g")), "page", 12)
+    return O.agglomerated(boxes(spark, d), "g", 12)
 
 
 @query("tightened_texts")

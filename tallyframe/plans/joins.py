@@ -65,11 +65,11 @@ def nearest_box(spark, d):
     return S.nearest(b, b, "g", "i").withColumn("distance", F.round("distance", 4))
 
 
-@query("text_match", f"""WITH {BOXES}, s AS (SELECT a.g, a.i, b.i AS match, CAST(a.n = b.n AS INTEGER) AS by_index, (CASE WHEN a.kind = b.kind THEN 100000 ELSE 0 END) - abs(b.x - a.x) - abs(b.y - a.y) AS score FROM boxes a JOIN boxes b ON a.g = b.g WHERE a.supp % 2 = 0 AND b.supp % 2 = 1)
+@query("text_match", f"""WITH {BOXES}, s AS (SELECT a.g, a.i, b.i AS match, CAST(a.n = b.n AS INTEGER) AS by_index, (CASE WHEN a.supp % 3 = b.supp % 3 THEN 100000 ELSE 0 END) - abs(b.x - a.x) - abs(b.y - a.y) AS score FROM boxes a JOIN boxes b ON a.g = b.g WHERE a.kind = 'N' AND b.kind <> 'N')
 SELECT g, i, match, by_index, score FROM s QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY by_index DESC, score DESC, match) = 1""")
 def text_match(spark, d):
-    b = boxes(spark, d).withColumn("idx", F.col("n"))
-    return S.text_match(b.where("supp % 2 = 0"), b.where("supp % 2 = 1"), "g", "i", F.col("a.kind"), F.col("b.kind"))
+    b = boxes(spark, d).withColumn("idx", F.col("n")).withColumn("words", F.element_at(F.array(*map(F.lit, ("ab", "cd", "ef"))), (1 + F.col("supp") % 3).cast("int")))
+    return S.text_match(b.where("kind = 'N'"), b.where("kind <> 'N'"), "g", "i", F.col("a.words"), F.col("b.words"))
 
 
 @query("smallest_host", f"""WITH {BOXES} SELECT a.g, a.i, b.i AS host, b.w * b.h AS host_area FROM boxes a JOIN boxes b ON a.g = b.g AND a.i <> b.i AND b.x <= a.x AND b.y <= a.y AND b.x + b.w >= a.x + a.w AND b.y + b.h >= a.y + a.h
@@ -131,11 +131,11 @@ def container_refit(spark, d):
 
 
 @query("best_token_overlap", """WITH p AS (SELECT p_partkey, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9一-鿿]+'), lambda x: length(x) > 1))) AS t FROM part),
-s AS (SELECT q.p_partkey AS q, c.p_partkey AS item, count(*) AS shared FROM p q JOIN p c ON q.t = c.t WHERE q.p_partkey <= 40 AND c.p_partkey > 40 GROUP BY ALL)
+s AS (SELECT q.p_partkey AS q, c.p_partkey AS item, count(*) AS shared FROM p q JOIN p c ON q.t = c.t WHERE q.p_partkey % 50 = 0 AND q.p_partkey <> c.p_partkey GROUP BY ALL)
 SELECT q, item, shared FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY shared DESC, item) = 1""")
 def best_token_overlap(spark, d):
     p = table(spark, d, "part").select("p_partkey", T.tokens(F.col("p_name")).alias("tokens"))
-    return R.best_overlap(p.where("p_partkey <= 40").withColumnRenamed("p_partkey", "q"), p.where("p_partkey > 40").withColumnRenamed("p_partkey", "item"), "q", "item", "tokens")
+    return R.best_overlap(p.where("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "q"), p.withColumnRenamed("p_partkey", "item"), "q", "item", "tokens")
 
 
 @query("review_left_join", """WITH r AS (SELECT doc_id, CAST(quality AS DOUBLE) AS confidence, toxic FROM labels), d AS (SELECT d.source, r.doc_id IS NOT NULL AS found, confidence, toxic, doc_id % 10 / 20.0 AS overlap FROM documents d LEFT JOIN r USING (doc_id))
@@ -171,21 +171,21 @@ def matched_assets(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey").groupBy("c_custkey").agg(F.count("*").alias("candidates")).where("candidates > 0")
 
 
-@query("first_of_three", "WITH a AS (SELECT s_suppkey AS id, s_name AS v, 1 AS k FROM supplier UNION ALL SELECT c_custkey, c_name, 2 FROM customer UNION ALL SELECT p_partkey, p_name, 3 FROM part) SELECT id, v, k FROM a WHERE id <= 150 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1")
+@query("first_of_three", "WITH a AS (SELECT s_suppkey AS id, s_name AS v, 1 AS k FROM supplier UNION ALL SELECT c_custkey, c_name, 2 FROM customer UNION ALL SELECT p_partkey, p_name, 3 FROM part) SELECT id, v, k FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1")
 def first_of_three(spark, d):
     from tallyframe.operators.catalog import first_by
 
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("v"), F.lit(1).alias("k"))
     b = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("v"), F.lit(2).alias("k"))
     c = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("v"), F.lit(3).alias("k"))
-    return first_by(a.union(b).union(c).where("id <= 150"), ["id"], F.col("k").asc())
+    return first_by(a.union(b).union(c), ["id"], F.col("k").asc())
 
 
-@query("publish_evidence", """WITH e AS (SELECT l_orderkey AS o_orderkey, count(*) AS n, min(l_returnflag) AS hash_, min(l_linenumber) AS cnt FROM lineitem WHERE l_orderkey % 10 <> 3 GROUP BY 1), p AS (SELECT o_orderkey, o_orderstatus, 1 AS lines FROM orders WHERE o_orderkey % 10 <> 4)
+@query("publish_evidence", """WITH e AS (SELECT l_orderkey AS o_orderkey, count(*) AS n, min(l_returnflag) AS hash_, min(l_linenumber) AS cnt FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey, o_orderstatus, 1 AS lines FROM orders)
 SELECT o_orderkey, concat_ws(',', CASE WHEN n IS NULL THEN 'missing_evidence' END, CASE WHEN lines IS NULL THEN 'unknown_page' END, CASE WHEN n > 1 THEN 'doubled' END, CASE WHEN hash_ <> o_orderstatus THEN 'hash_differs' END, CASE WHEN cnt <> lines THEN 'count_differs' END) AS mismatches FROM p FULL JOIN e USING (o_orderkey)""")
 def publish_evidence(spark, d):
-    pages = table(spark, d, "orders").where("o_orderkey % 10 <> 4").select("o_orderkey", "o_orderstatus", F.lit(1).alias("lines"))
-    e = table(spark, d, "lineitem").where("l_orderkey % 10 <> 3").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_linenumber").alias("lines"))
+    pages = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(1).alias("lines"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), F.col("l_linenumber").alias("lines"))
     return ST.evidence_mismatches(pages, e, "o_orderkey", "o_orderstatus", "lines").withColumn("mismatches", F.array_join("mismatches", ","))
 
 

@@ -12,15 +12,15 @@ from tallyframe.plans.views import BOXES, boxes
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 COSINE = f"{DOT.format('q.embedding', 'c.embedding')} / (sqrt({DOT.format('q.embedding', 'q.embedding')}) * sqrt({DOT.format('c.embedding', 'c.embedding')}))"
-HYBRID = f"""s AS (SELECT q.vec_id AS q, c.vec_id AS c, 0.78::DOUBLE * {COSINE} + 0.22::DOUBLE * CASE WHEN q.label = c.label THEN 1 ELSE 0 END AS score, c.label AS c_label FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND c.vec_id >= 20),
+HYBRID = f"""s AS (SELECT q.vec_id AS q, c.vec_id AS c, 0.78::DOUBLE * {COSINE} + 0.22::DOUBLE * CASE WHEN q.label = c.label THEN 1 ELSE 0 END AS score, c.label AS c_label FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 t AS (SELECT *, round_even(score, 4) AS r FROM s), k AS (SELECT q, c, c_label, r AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY r DESC, c) AS INTEGER) AS rank FROM t QUALIFY row_number() OVER (PARTITION BY q ORDER BY r DESC, c) <= 5)"""
 
 
 def top(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("q_label"))
-    c = e.where("vec_id >= 20").select(F.col("vec_id").alias("c"), F.col("embedding").alias("ce"), F.col("label").alias("c_label"))
-    pairs = R.scored_pairs(q, c)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("q_label"))
+    c = e.select(F.col("vec_id").alias("c"), F.col("embedding").alias("ce"), F.col("label").alias("c_label"))
+    pairs = R.scored_pairs(q, c).where("q <> c")
     token = R.token_share(F.array("q_label"), F.array("c_label"))
     return R.top_k(pairs.select("q", "c", "c_label", R.blended(R.cosine(F.col("qe"), F.col("ce")), token).alias("score")), "q", "score", "c")
 
@@ -34,12 +34,12 @@ MAD = "list_sum(list_transform(list_zip({0}, {1}), lambda z: abs(z[1]::DOUBLE -
 
 
 @query("feature_scores", f"""WITH f AS (SELECT vec_id, embedding[1:32] AS e, embedding[33:64] AS h, 1.0::DOUBLE + label / 3.0::DOUBLE AS r FROM embeddings)
-SELECT a.vec_id AS q, b.vec_id AS c, round(0.45::DOUBLE * greatest(0, 1 - {MAD.format('a.e', 'b.e')} * 120 / 1000) + 0.35::DOUBLE * greatest(0, 1 - {MAD.format('a.h', 'b.h')} * 14 / 1000) + 0.20::DOUBLE * exp(-abs(ln(greatest(1e-6, a.r / b.r))) * 0.8::DOUBLE), 6) AS score FROM f a, f b WHERE a.vec_id < 10 AND b.vec_id BETWEEN 10 AND 60""")
+SELECT a.vec_id AS q, b.vec_id AS c, round(0.45::DOUBLE * greatest(0, 1 - {MAD.format('a.e', 'b.e')} * 120 / 1000) + 0.35::DOUBLE * greatest(0, 1 - {MAD.format('a.h', 'b.h')} * 14 / 1000) + 0.20::DOUBLE * exp(-abs(ln(greatest(1e-6, a.r / b.r))) * 0.8::DOUBLE), 6) AS score FROM f a JOIN f b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0""")
 def feature_scores(spark, d):
     small = lambda c: F.transform(c, lambda v: v.cast("double") / 1000)
     f = table(spark, d, "embeddings").select("vec_id", small(F.slice("embedding", 1, 32)).alias("e"), small(F.slice("embedding", 33, 32)).alias("h"), (1 + F.col("label") / 3).alias("r"))
-    q = f.where("vec_id < 10").select(*(F.col(c).alias(f"q_{c}") for c in f.columns))
-    pairs = R.scored_pairs(q, f.where("vec_id between 10 and 60"))
+    q = f.where("vec_id % 50 = 0").select(*(F.col(c).alias(f"q_{c}") for c in f.columns))
+    pairs = R.scored_pairs(q, f).where("q_vec_id <> vec_id")
     score = R.feature_score(F.col("q_e"), F.col("e"), F.col("q_h"), F.col("h"), F.col("q_r"), F.col("r"))
     return pairs.select(F.col("q_vec_id").alias("q"), F.col("vec_id").alias("c"), F.round(score, 6).alias("score"))
 

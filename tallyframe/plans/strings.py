@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as T
+from tallyframe.operators import integrity as I
 from tallyframe.plans.registry import query, table
 
 IGNORED = "[\\s，。、,.：:；;（）()“”\"''`·]"
@@ -140,3 +141,18 @@ def safe_ids(spark, d):
 def semantic_tokens(spark, d):
     t = F.lower("p_type")
     return table(spark, d, "part").select("p_partkey", F.when(t.rlike("brass|gold"), "accent").when(t.rlike("steel|nickel"), "neutral").otherwise("base").alias("fill"))
+
+
+@query("json_commas", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(event_id AS BIGINT) AS last FROM events")
+def json_commas(spark, d):
+    """Objects and arrays without their commas, repaired where the parser stops."""
+    broken = F.concat(F.lit('{"a": '), "props", F.lit(' "list": [1 2 '), F.col("event_id").cast("string"), F.lit(']}'))
+    j = I.with_commas(table(spark, d, "events").select("event_id", broken.alias("t")), "t", "j")
+    return j.select("event_id", F.get_json_object("j", "$.a.k").cast("long").alias("k"), F.get_json_object("j", "$.list[2]").cast("long").alias("last"))
+
+
+@query("evidence_shapes", "SELECT event_id, event_id % 4 = 0 AS valid FROM events")
+def evidence_shapes(spark, d):
+    k = F.col("event_id") % 4
+    t = F.when(k == 0, F.col("props")).when(k == 1, '{"k": "x"}').when(k == 2, '{"other": 1}').otherwise("[1")
+    return table(spark, d, "events").select("event_id", I.has_shape(t, "k bigint", ["k"]).alias("valid"))

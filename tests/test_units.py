@@ -150,3 +150,12 @@ def test_entry_without_the_corpus_subpackage(tmp_path):
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op1') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_missing_commas():
+    from tallyframe.operators.integrity import parsed
+
+    assert parsed('{"a": 1 "b": [1 2 3]}') == {"a": 1, "b": [1, 2, 3]}
+    for bad in ('{"a": }', "", "{", '{"a" 1}'):
+        with pytest.raises(ValueError):
+            parsed(bad)
