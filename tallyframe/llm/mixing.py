@@ -3,7 +3,7 @@
 Documents fall into blocks by a hash of their row, blocks and the rows in them are put in an order that is a
 pseudo-random permutation. A source whose target is c times its words and a rest gives c copies of all its
 blocks and, for the rest, whole blocks in order while they fit; of the first that does not, single documents
-that fit. The number of block draws of each source is then divided among the output shards by a binary tree:
+in order, the last ones chosen so that the sum comes nearest to the target. The number of block draws of each source is then divided among the output shards by a binary tree:
 at each node the left half's counts are one multivariate-hypergeometric draw from the node's counts, so that
 every shard gets a random, exact and disjoint share. In a shard, rows are put in random order.
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm import common
 
 BLOCK_ROWS, MOST_BLOCKS, SHARD_WORDS, MOST_TIMES = 256, 65_536, 8_000_000, 3
+#: Rows around the last one that fits, among which the nearest sum is looked for.
+BACK, AHEAD = 16, 48
 DRAW = "array<struct<copy:int,shard:int>>"
 
 
@@ -70,17 +72,35 @@ def split(counts: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
+    """Indices of sizes whose sum is as near to wanted as sums of them come; one bit a sum that can be reached."""
+    reached, steps = 1, [1]
+    for n in sizes:
+        reached |= reached << n
+        steps.append(reached)
+    below = (reached & ((1 << wanted + 1) - 1)).bit_length() - 1
+    above = reached >> wanted
+    over = wanted + (above & -above).bit_length() - 1 if above else None
+    best = below if over is None or wanted - below <= over - wanted else over
+    out = []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not steps[i] >> best & 1:
+            out.append(i)
+            best -= sizes[i]
+    return out[::-1]
+
+
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a block, in permuted order, that fit into what is left of the rest; where that is most of the block, those that do not stay out."""
+    """Rows of a block in permuted order while they fit into what is left of the rest; around the place where they stop
+    to fit, BACK rows before and AHEAD after it, those whose sum comes nearest."""
     units = group.groupby("perm", sort=True)["size"].sum()
-    total, left = int(units.sum()), int(group["left"].iloc[0])
-    leave = 2 * left > total
-    room, chosen = total - left if leave else left, []
-    for perm, size in units.items():
-        if 0 < size <= room:
-            room -= size
-            chosen.append(perm)
-    taken = units.index.difference(chosen) if leave else chosen
+    units = units[units > 0]
+    left, perms = int(group["left"].iloc[0]), units.index.to_numpy()
+    stop = int((units.cumsum() <= left).sum())
+    first = max(0, stop - BACK)
+    some = [int(v) for v in units.iloc[first : stop + AHEAD]]
+    chosen = nearest_subset(some, left - int(units.iloc[:first].sum()))
+    taken = [*perms[:first], *(perms[first + i] for i in chosen)]
     return pd.DataFrame({"skey": group["skey"].iloc[0], "perm": pd.Series(taken, dtype="int64")})
 
 
