@@ -59,8 +59,8 @@ _DIGITS = re.compile(
     r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .\-/]?\(?\d{1,4}\)?){2,6}(?!\w)|(?<![\w(])\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w-])|(?<!\w)0\d{1,4}[ /\-]\d{3,4}[ .\-]?\d{3,5}(?!\w))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-/]?\(?\d{1,4}\)?){2,6}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w-])|(?<!\w)0\d{1,4}[ /\-]\d{3,4}[ .\-]?\d{3,5}(?!\w))"
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]))"
 )
 
 VOWELS, CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
