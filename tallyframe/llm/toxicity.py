@@ -270,7 +270,7 @@ def model(docs: DataFrame, labels: DataFrame, train: Column | None = None, most:
         common.release()
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([*stems.values(), *weights.tolist()], pa.float64())], ["name", "weight"])
 
-    got = {r.name: r.weight for r in common.lean(rows).coalesce(1).mapInArrow(run, "name string, weight double").collect()}
+    got = {r.name: r.weight for r in common.lean(rows).repartition(1).mapInArrow(run, "name string, weight double").collect()}
     if not got:
         return {s: 3.0 for s in INSULTS}, fixed_weights()
     return {k: v for k, v in got.items() if k[0] != "#"}, np.array([got[f"#{i}"] for i in range(FEATURES)])
