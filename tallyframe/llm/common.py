@@ -25,9 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has written to the shared folder; results that were not written elsewhere go with it."""
+    while _MADE:
+        remove(spark, _MADE.pop())
 
 
 def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:

@@ -102,8 +102,9 @@ def grammar() -> Transducer:
     """Symbols: I insult (strong), i insult (weak), V threat verb, A agent, G target, N negation, R report, Q quote, x other."""
     threat = Transducer({(0, "A"): [("will", "x", 0.0)], ("will", "V"): [("did", "v", 0.5)], ("will", "A"): [("will", "x", 0.0)], (0, "V"): [(0, "x", 0.0)],
                          ("did", "G"): [(0, "T", 2.0)], ("did", "V"): [("did", "v", 0.5)]})
-    target = Transducer({(0, "G"): [("at", "x", 0.1)], ("at", "G"): [("at", "x", 0.0)], (0, "I"): [("insult", "I", 1.0)], ("at", "I"): [("at", "IG", 1.5)], (0, "i"): [("insult", "i", 0.3)],
-                         ("at", "i"): [("at", "iG", 0.5)], ("insult", "I"): [("insult", "I", 1.0)], ("insult", "i"): [("insult", "i", 0.3)], ("insult", "G"): [("insult", "G", 0.5)]})
+    insult = Transducer({(0, "I"): [("on", "I", 1.0)], (0, "i"): [("on", "i", 0.3)], ("on", "I"): [("on", "I", 1.0)], ("on", "i"): [("on", "i", 0.3)]})
+    target = Transducer({(0, "G"): [("at", "x", 0.1)], ("at", "G"): [("at", "x", 0.0)], ("at", "I"): [("at", "IG", 0.5)], ("at", "i"): [("at", "iG", 0.2)],
+                         (0, "I"): [("named", "I", 0.0)], (0, "i"): [("named", "i", 0.0)], ("named", "G"): [("named", "G", 0.5)]})
     turned = {"I": "nI", "IG": "nI", "i": "ni", "iG": "ni", "T": "nT"}
     arcs: dict = {(0, "N"): [(3, "x", 0.0)]}
     for left in (1, 2, 3):  # a negation reaches three words on
@@ -111,7 +112,7 @@ def grammar() -> Transducer:
     negation = Transducer(arcs)
     told = {"I": "rI", "IG": "rI", "i": "ri", "iG": "ri", "T": "rT"}
     reported = Transducer({(0, "R"): [("said", "x", 0.0)]} | {("said", s): [("said", o, -0.6)] for s, o in told.items()})
-    return threat @ target @ negation @ reported
+    return insult @ threat @ target @ negation @ reported
 
 
 OUTPUTS = ("I", "IG", "nI", "rI", "i", "iG", "ni", "ri", "T", "nT", "rT")
