@@ -21,20 +21,32 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
 
 
-def unique_items(raw: DataFrame, category: str, key: str, size: str, ordinal: str, sources: list[str]) -> DataFrame:
-    """One row a (category, key): the largest record (the first of equals), how often it occurs and where, numbered in its category.
-
-    Sizes and ordinals are folded to one struct a group, so no group is gathered for its representative; numbers
-    come from the groups, not from the records.
-    """
+def numbered(df: DataFrame, category: str, key: str, digits: int = 3) -> DataFrame:
+    """Adds number: the place of a digest key in its category, from 1.
+
+    A category may hold most rows, so it is not sorted in one task: rows are ranked in buckets by the key's first hex
+    digits, which sort as the keys do, and the buckets' counts, 16**digits a category at most, give what comes before."""
+    bucket = F.substring(key, 1, digits)
+    ranked = df.withColumn("_bucket", bucket)
+    sizes = ranked.groupBy(category, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(category).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    at = F.row_number().over(W.partitionBy(category, "_bucket").orderBy(key))
+    out = ranked.withColumn("_at", at).join(starts, [category, "_bucket"])
+    return out.withColumn("number", (F.col("_before") + F.col("_at")).cast("long")).drop("_bucket", "_before", "_at")
+
+
+def unique_items(raw: DataFrame, category: str, key: str, size: str, ordinal: str) -> DataFrame:
+    """One row a (category, key), the key a digest: the largest record (the first of equals), how often it occurs, its
+    number in the category and an identifier. Only partial sums of a group are dealt out, so a group may be of any size."""
     best = F.max_by(F.col(ordinal), F.struct(F.col(size), -F.col(ordinal)))
-    groups = raw.groupBy(category, key).agg(
-        best.alias(f"rep_{ordinal}"),
-        F.count("*").alias("occurrences"),
-        F.array_sort(F.collect_list(F.struct(ordinal, *sources))).alias("sources"),
-    )
-    number = F.row_number().over(W.partitionBy(category).orderBy(key))
-    return groups.withColumn("number", number.cast("long")).withColumn("item_id", T.sequence_id(F.col(category), F.col("number"), PREFIXES))
+    groups = raw.groupBy(category, key).agg(best.alias(f"rep_{ordinal}"), F.count("*").alias("occurrences"))
+    return numbered(groups, category, key).withColumn("item_id", T.sequence_id(F.col(category), F.col("number"), PREFIXES))
+
+
+def item_sources(raw: DataFrame, items: DataFrame, category: str, key: str) -> DataFrame:
+    """Where each item occurs: a row an occurrence, since a group's occurrences have no bound."""
+    return raw.join(items.select(category, key, "number"), [category, key])
 
 
 def style_signature(width: Column, height: Column, rotation: Column, *rest: Column) -> Column:

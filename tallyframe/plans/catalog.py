@@ -17,7 +17,7 @@ UNIQUE = f"""WITH {INVENTORY}, ranked AS (
 
 
 def items(spark, d):
-    return C.unique_items(inventory(spark, d), "category", "key", "extent", "doc_id", ["source"])
+    return C.unique_items(inventory(spark, d), "category", "key", "extent", "doc_id")
 
 
 @query("catalog_dedupe", UNIQUE + " SELECT category, category || '-' || lpad(CAST(number AS VARCHAR), 4, '0') AS item_id, rep_doc_id, occurrences FROM items")
@@ -25,11 +25,10 @@ def catalog_dedupe(spark, d):
     return items(spark, d).select("category", "item_id", "rep_doc_id", "occurrences")
 
 
-@query("catalog_sources", UNIQUE + """ SELECT i.category, i.number, string_agg(coalesce(r.source, '') || ':' || r.doc_id, '|' ORDER BY r.doc_id) AS sources
-FROM items i JOIN ranked r ON i.category = r.category AND i.key = r.key GROUP BY ALL""")
+@query("catalog_sources", UNIQUE + """ SELECT i.category, i.number, r.source, r.doc_id FROM items i JOIN ranked r ON i.category = r.category AND i.key = r.key""")
 def catalog_sources(spark, d):
-    parts = F.transform("sources", lambda s: F.concat(F.coalesce(s["source"], F.lit("")), F.lit(":"), s["doc_id"].cast("string")))
-    return items(spark, d).select("category", "number", F.array_join(parts, "|").alias("sources"))
+    raw = inventory(spark, d)
+    return C.item_sources(raw, items(spark, d), "category", "key").select("category", "number", "source", "doc_id")
 
 
 @query("catalog_counts", UNIQUE + """ SELECT category, count(*) AS uniques, (SELECT count(*) FROM inventory v WHERE v.category = items.category) AS raw_records,
