@@ -36,8 +36,6 @@ from tallyframe.llm.components import connected
 
 ROWS, BANDS = 5, 32
 PERCENT = 80
-#: Shingles of a pair that may agree in half of their hash only (or of one text: its set is then that much smaller).
-SLACK = 3
 PLANES, PLANE_LONGS = 4, -(-ROWS * BANDS // 64)
 #: Minima that may differ in a pair at the threshold: the mean and five standard deviations.
 MOST_APART = int(ROWS * BANDS * 0.2 * 15 / 16 + 5 * (ROWS * BANDS * 0.1875 * 0.8125) ** 0.5)
@@ -177,7 +175,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     everyone = common.stored(docs.mapInArrow(_sign(shingle), SIGNED), "minhash-signed")
     fp = ["n_shingles", "fp1", "fp2"]
     some = everyone.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy(*fp).agg(F.min("doc_id").alias("rep"))
+    # (written, so that the join deals both sides anew and a class of very many copies can be divided)
+    classes = common.stored(some.groupBy(*fp).agg(F.min("doc_id").alias("rep")), "minhash-sets-of-rows")
     classes = common.stored(some.select("doc_id", *fp).join(classes, fp).select("doc_id", "n_shingles", "rep").distinct(), "minhash-classes")
     reps = some.join(classes.where("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     reps = common.stored(reps.select(F.col("doc_id").alias("rep"), F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").alias("sig"), "keys"), "minhash-reps")
@@ -188,10 +187,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
 
     texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(docs) else docs
 
+    def wanted(ids: DataFrame) -> DataFrame:
+        """Texts of some documents: few ids are sent to the texts, and no text is dealt out for nothing; many are joined with all."""
+        n = ids.count()
+        return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi") if n <= common.MOST_SENT else texts
+
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         """pairs (a, b) whose full sets reach the threshold; each pair once, a text's pairs together."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs = common.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
+        some = wanted(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        both = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"), label)
 
     # everyone against a bucket's smallest member
@@ -216,14 +221,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     part = connected(links)
 
     # what is still apart, in the first bucket that two members share; half of each hash is enough to tell in the
-    # join, with SLACK for two that agree in it, and what comes out is confirmed
+    # join, if room is left for shingles of one text or both that agree in it, and what comes out is confirmed
     m = placed()
-    sets = texts.join(m.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "rep long, members array<int>")
+    open_ids = m.select(F.col("rep").alias("id")).distinct()
+    sets = wanted(open_ids).join(open_ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "rep long, members array<int>")
     m = m.join(common.stored(sets, "minhash-sets"), "rep").join(reps.select("rep", "keys"), "rep")
     x, y = m.alias("x"), m.alias("y")
     first = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
-    alike = F.ceil(F.col("x.sig.n").cast("double") * F.col("y.sig.n") / (1 << 30))  # expected of very long texts, twice and more
-    both = F.size(F.array_intersect("x.members", "y.members")) + SLACK + alike
+    alike = F.ceil(F.col("x.sig.n").cast("double") * F.col("y.sig.n") / (1 << 28))  # many times what is expected, 1 at least
+    both = F.size(F.array_intersect("x.members", "y.members")) + alike
     near = 100 * both >= percent * (F.col("x.sig.n") + F.col("y.sig.n") - both)
     tried = x.join(y, F.col("x.key") == F.col("y.key")).where("x.component < y.component").where(_likely("x.sig", "y.sig", percent)).where(first).where(near)
     links = links.union(confirmed(tried.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), "minhash-links"))
