@@ -28,8 +28,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = minhash.near_duplicates(docs, SHINGLE_WORDS).where("not kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti").select(docs.columns)
+    gone = common.stored(minhash.near_duplicates(docs, SHINGLE_WORDS).where("not kept").select("doc_id").distinct(), "pipeline-copies")
+    return docs.join(common.small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
