@@ -47,7 +47,8 @@ class Encoder:
             self.strict, self.pattern = False, BARE
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.held = most, 0
+
     def raw(self, text: str) -> bytes:
         return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -64,6 +65,7 @@ class Encoder:
         kind = "H" if self.width == 2 else "I"
         for piece, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             known[piece] = array(kind, got.ids).tobytes()
+            self.held += len(piece)
 
     def encode(self, text: str) -> bytes:
         if self.pattern is None:
@@ -71,8 +73,8 @@ class Encoder:
         if self.lower and not _NOT_LATIN.search(text) and "<|" not in text:
             text = text.lower()  # the file lowers it anyhow, and there are fewer pieces then
         pieces = self.pattern.findall(text)
-        if len(self.pieces) > self.most:  # what was not used since the last time goes
-            self.older, self.pieces = self.pieces, {}
+        if len(self.pieces) > self.most or self.held > 40 * self.most:  # what was not used since the last time goes
+            self.older, self.pieces, self.held = self.pieces, {}, 0
         if new := set(pieces).difference(self.pieces):
             try:
                 self.learn(new)
