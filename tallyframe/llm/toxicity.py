@@ -199,9 +199,10 @@ def ratio(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
     return 2 * sum(k * math.log(k * n / e) for k, e in cells if k)
 
 
-def marks(text: str) -> set[str]:
+def marks(text: str, sizes: tuple[int, ...] = (0, *PREFIXES)) -> set[str]:
+    """Words (size 0) and beginnings of words."""
     words = {w for w in _WORD.findall(text.lower()) if len(w) > 2}
-    return words | {w[:n] for w in words for n in PREFIXES if len(w) > n}
+    return {w[:n] if n else w for w in words for n in sizes if len(w) >= n}
 
 
 def learned_stems(rows: list[tuple[str, int]]) -> dict[str, float]:
@@ -212,11 +213,13 @@ def learned_stems(rows: list[tuple[str, int]]) -> dict[str, float]:
     if not n_pos or not n_neg:
         return stems
     pos: Counter = Counter()
-    for t, y in rows:
-        if y:
-            pos.update(marks(t))
-    some = {m for m, k in pos.items() if k >= LEAST_TOXIC}
-    pos = Counter({m: pos[m] for m in some})
+    for n in (0, *PREFIXES):  # one length at a time: nearly all are rare, and all at once they are many
+        found_in: Counter = Counter()
+        for t, y in rows:
+            if y:
+                found_in.update(marks(t, (n,)))
+        pos.update({m: max(k, pos[m]) - pos[m] for m, k in found_in.items() if k >= LEAST_TOXIC})
+    some = set(pos)
     neg: Counter = Counter()
     for t, y in rows:
         if not y:
