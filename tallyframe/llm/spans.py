@@ -28,7 +28,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyframe.llm import common
 
-MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 40
+#: Well below what is left of a passage of 51 words whose first and last sentence are glued to other text; two short
+#: sentences of under 10 words are stock lines of thousands of documents.
+MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 10, 14
 _BREAK = re.compile(r"[.!?]\s+|\n\s*")
 SPANS = "hash long, doc_id long, start long, first int, last int"
 NO_ID = -(1 << 63)

@@ -196,3 +196,17 @@ def test_spans_odd_rows(odd, none):
     got = {r.doc_id: (r.text, r.n_removed) for r in out.collect()}
     assert got[2] == (None, 0) and got[3] == ("", 0) and got[1] == got[6] and got[9] == ("x", 0)
     assert out.count() == 11 and spans.without_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("inner", [(1, 14, 1, 2), (38,), (6, 5), (14,)])
+def test_the_interior_of_a_glued_passage_goes(spark, inner):
+    """The first and last sentence of the passage run into other text, so that only what is between them can match."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    middle = " ".join(f"{words(n)}." for n in inner)
+    passage = f"{words(16)}. {middle} {words(17)}"
+    docs = [(i, f"{words(9)} {passage} {words(8)}.") for i in range(3)]
+    got = {r.doc_id: r.text for r in spans.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == docs[0][1]
+    for i in (1, 2):
+        assert got[i] == docs[i][1].replace(middle + " ", "")
