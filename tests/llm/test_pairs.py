@@ -210,3 +210,28 @@ def test_the_interior_of_a_glued_passage_goes(spark, inner):
     assert got[0] == docs[0][1]
     for i in (1, 2):
         assert got[i] == docs[i][1].replace(middle + " ", "")
+
+
+@pytest.mark.parametrize("ids", [(None, None, 1, 1), (7, 7, 8, 8)])
+def test_rows_with_one_id_are_rows_of_their_own(spark, ids):
+    rng = random.Random(10)
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n)) + "."
+    own = [[sentence(15) for _ in range(4)] for _ in range(3)]
+    both = sentence(16)
+    a, b = " ".join([both, *own[0]]), " ".join([both, *own[1]])  # one id, the same sentence at the same start
+    c = " ".join([*own[0][:2], *own[2]])  # repeats sentences 1 and 2 of a in its own 0 and 1
+    d = " ".join(sentence(15) for _ in range(5))  # the id of c, nothing repeated
+    rows = [(ids[0], a), (ids[1], b), (ids[2], c), (ids[3], d)]
+    got = {k: (r.text, r.n_removed) for k, r in zip("abcd", sorted(spans.without_repeats(spark.createDataFrame([(*r, k) for r, k in zip(rows, "abcd")], "doc_id long, text string, k string")).collect(), key=lambda r: r.k))}
+    assert sorted((got["a"], got["b"])) in (sorted([(a, 0), (" ".join(own[1]), 1)]), sorted([(" ".join(own[0]), 1), (b, 0)]))
+    assert got["c"] == (" ".join(own[2]), 2) and got["d"] == (d, 0)
+
+
+@pytest.mark.parametrize("n_id", [None, 7])
+def test_of_equal_rows_one_stays(spark, n_id):
+    text = "\n".join(" ".join(f"w{k}x{i}" for i in range(15)) + "." for k in range(3))
+    rows = [(n_id, text, f"s{i}") for i in range(5)] + [(n_id, "w0", "short"), (n_id, "w0", "short"), (n_id, None, "null"), (n_id, None, "null")]
+    out = spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    assert sorted((r.text or "", r.n_removed) for r in out.where("source like 's_'").collect()) == [("", 3)] * 4 + [(text, 0)]
+    assert sorted((str(r.text), r.n_removed) for r in out.where("source not like 's_'").collect()) == [("None", 0)] * 2 + [("w0", 0)] * 2
+    assert out.columns == ["doc_id", "text", "source", "n_sentences", "n_removed"]
