@@ -2,8 +2,9 @@
 
 Documents fall into blocks by a hash of their row, blocks and the rows in them are put in an order that is a
 pseudo-random permutation. A source whose target is c times its words and a rest gives c copies of all its
-blocks and, for the rest, whole blocks in order while they fit; of the first that does not, single documents
-in order, the last ones chosen so that the sum comes nearest to the target. The number of block draws of each source is then divided among the output shards by a binary tree:
+blocks and, for the rest, blocks in order, whole or without the documents that do not fit into the rest, until one
+overflows; of that, single documents in order that still fit, the last ones chosen so that the sum comes nearest to
+the target; and further blocks in the same way, as long as they have documents that fit. The number of block draws of each source is then divided among the output shards by a binary tree:
 at each node the left half's counts are one multivariate-hypergeometric draw from the node's counts, so that
 every shard gets a random, exact and disjoint share. In a shard, rows are put in random order.
 
@@ -17,6 +18,8 @@ other columns pass through `mix`; an empty table stays empty. Reruns agree: noth
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm import common
 
 BLOCK_ROWS, MOST_BLOCKS, SHARD_WORDS, MOST_TIMES = 256, 65_536, 8_000_000, 3
-#: Rows around the last one that fits, among which the nearest sum is looked for.
+#: Of a block that overflows, rows last taken and rows not taken among which the nearest sum is looked for.
 BACK, AHEAD = 16, 48
 DRAW = "array<struct<copy:int,shard:int>>"
 
@@ -72,16 +75,16 @@ def split(counts: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
-    """Indices of sizes whose sum is as near to wanted as sums of them come; one bit a sum that can be reached."""
+def nearest_subset(sizes: list[int], wanted: int, over: bool = True) -> list[int]:
+    """Indices of sizes whose sum is as near to wanted as sums of them come, without `over` from below; one bit a sum that can be reached."""
     reached, steps = 1, [1]
     for n in sizes:
         reached |= reached << n
         steps.append(reached)
     below = (reached & ((1 << wanted + 1) - 1)).bit_length() - 1
-    above = reached >> wanted
-    over = wanted + (above & -above).bit_length() - 1 if above else None
-    best = below if over is None or wanted - below <= over - wanted else over
+    above = reached >> wanted if over else 0
+    least = wanted + (above & -above).bit_length() - 1 if above else None
+    best = below if least is None or wanted - below <= least - wanted else least
     out = []
     for i in range(len(sizes) - 1, -1, -1):
         if not steps[i] >> best & 1:
@@ -90,18 +93,71 @@ def nearest_subset(sizes: list[int], wanted: int) -> list[int]:
     return out[::-1]
 
 
+def filled(units: list[int], left: int, later: int | None) -> list[int]:
+    """Indices of units of a block, in order, that go into what is left: each that still fits; then, if words are left, the
+    last BACK of these and the first AHEAD of the others are chosen anew, so that their sum comes nearest from below.
+    It may come nearest from above where that is less than a unit, or where no later row (the least of them has `later`
+    words) fits into what is left."""
+    taken, others, rest = [], [], left
+    for i, n in enumerate(units):
+        if n <= rest:
+            taken.append(i)
+            rest -= n
+        else:
+            others.append(i)
+    if not rest or not others:
+        return taken
+    fixed, wanted = taken[:-BACK], rest + sum(units[i] for i in taken[-BACK:])
+    # a unit of more than twice what is wanted is farther from it than none
+    pool = sorted(taken[-BACK:] + [i for i in others if units[i] <= 2 * wanted][:AHEAD])
+    sizes = [units[i] for i in pool]
+    under = nearest_subset(sizes, wanted, over=False)
+    near = nearest_subset(sizes, wanted)
+    short, off = wanted - sum(sizes[k] for k in under), abs(wanted - sum(sizes[k] for k in near))
+    if off < short and (off < min(units) or later is None or later > short):
+        under = near
+    return fixed + [pool[k] for k in under]
+
+
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a block in permuted order while they fit into what is left of the rest; around the place where they stop
-    to fit, BACK rows before and AHEAD after it, those whose sum comes nearest."""
-    units = group.groupby("perm", sort=True)["size"].sum()
-    units = units[units > 0]
-    left, perms = int(group["left"].iloc[0]), units.index.to_numpy()
-    stop = int((units.cumsum() <= left).sum())
-    first = max(0, stop - BACK)
-    some = [int(v) for v in units.iloc[first : stop + AHEAD]]
-    chosen = nearest_subset(some, left - int(units.iloc[:first].sum()))
-    taken = [*perms[:first], *(perms[first + i] for i in chosen)]
-    return pd.DataFrame({"skey": group["skey"].iloc[0], "perm": pd.Series(taken, dtype="int64")})
+    group = group.groupby("perm", sort=True, as_index=False).agg({"skey": "first", "block": "first", "left": "first", "later": "first", "size": "sum"})
+    later = group["later"].iloc[0]
+    chosen = filled([int(n) for n in group["size"]], int(group["left"].iloc[0]), None if pd.isna(later) else int(later))
+    return group.iloc[chosen][["skey", "block", "perm", "size"]]
+
+
+def _rest(sized: DataFrame, blocks: DataFrame, left: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """What each source's rest is made of: (skey, block, part) and, for blocks taken in part, (skey, block, perm).
+
+    A pass goes through the blocks in order and counts rows that fit into what is left at its start; blocks are taken, whole
+    or without the rows that do not fit, up to the one that would overflow; that is filled row by row. If words are left
+    then, another pass goes on behind it. Blocks taken and rows of one block a source are all that a task holds."""
+    spark = sized.sparkSession
+    n_blocks = blocks.count()
+    by_place = W.partitionBy("skey").orderBy("place")
+    places = blocks.select("skey", "block", "place", "words", F.min("least").over(by_place.rowsBetween(1, W.unboundedFollowing)).alias("later"))
+    places = common.small(common.stored(places, "mix-places"), n_blocks)
+    state, used, single = {k: (n, 0) for k, n in left.items() if n > 0}, [], []
+    while state:
+        todo = spark.createDataFrame([(k, n, at) for k, (n, at) in state.items()], "skey string, left long, start long")
+        rows = sized.select("skey", "block", "perm", "size").join(common.small(todo, len(state)), "skey").where("size > 0 and size <= left")
+        fits = rows.groupBy("skey", "block", "left", "start").agg(F.sum("size").alias("fit")).join(places, ["skey", "block"]).where("place > start")
+        fits = fits.withColumn("before", F.coalesce(F.sum("fit").over(by_place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where("before < left")
+        fits = common.stored(fits.withColumn("full", F.col("before") + F.col("fit") <= F.col("left")), "mix-pass")
+        n_fits = fits.count()
+        over = fits.where("not full").select("skey", "block", (F.col("left") - F.col("before")).alias("left"), "later")
+        units = sized.select("skey", "block", "perm", "size").join(common.small(over, len(state)), ["skey", "block"]).where("size > 0")
+        chosen = common.stored(units.groupBy("skey").applyInPandas(_fill, "skey string, block long, perm long, size long"), "mix-filled")
+        parts = fits.where("full and fit < words").select("skey", "block")
+        used.append(fits.select("skey", "block", (~F.col("full") | (F.col("fit") < F.col("words"))).alias("part")))
+        single += [chosen.select("skey", "block", "perm"), rows.join(common.small(parts, n_fits), ["skey", "block"]).select("skey", "block", "perm").distinct()]
+        words = {r.skey: r.words for r in chosen.groupBy("skey").agg(F.sum("size").alias("words")).collect()}
+        ends = fits.where("not full").select("skey", "place", "later", (F.col("left") - F.col("before")).alias("left")).collect()
+        now = {r.skey: (r.left - words.get(r.skey, 0), r.place) for r in ends if r.later is not None and r.later <= r.left - words.get(r.skey, 0)}
+        state = now
+    if not used:
+        return spark.createDataFrame([], "skey string, block long, part boolean"), spark.createDataFrame([], "skey string, block long, perm long")
+    return reduce(DataFrame.unionAll, used), reduce(DataFrame.unionAll, single)
 
 
 def plan(docs: DataFrame, seed: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -124,15 +180,15 @@ def plan(docs: DataFrame, seed: int = 2) -> tuple[DataFrame, DataFrame, DataFram
     wanted = spark.createDataFrame(rows, "skey string, source_size long, target double, copies int, rest long, n_blocks long")
     sized = sized.join(common.small(wanted, len(rows)), "skey").withColumn("block", F.pmod("perm", "n_blocks"))
 
-    by_order = W.partitionBy("skey").orderBy("at", "block")
     blocks = (
-        sized.groupBy("skey", "block", "copies", "rest").agg(F.sum("size").alias("words"))
+        sized.groupBy("skey", "block", "copies").agg(F.sum("size").alias("words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
         .withColumn("at", F.xxhash64(F.lit(seed + 1), "skey", "block"))
-        .withColumn("before", F.coalesce(F.sum("words").over(by_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("whole", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") <= F.col("rest")))
-        .withColumn("part", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+        .withColumn("place", F.row_number().over(W.partitionBy("skey").orderBy("at", "block")).cast("long"))
     )
     blocks = common.stored(blocks, "mix-blocks")
+    used, single = _rest(sized, blocks, {r[0]: r[4] for r in rows})
+    used = common.stored(used, "mix-used")
+    blocks = blocks.join(common.small(used, used.count()), ["skey", "block"], "left").withColumn("whole", F.coalesce(~F.col("part"), F.lit(False))).withColumn("part", F.coalesce("part", F.lit(False)))
 
     # draws of a source in order: all blocks for each copy, then the rest's, then the one that is taken in part
     n_copies = F.col("copies") + F.when(F.col("whole") | F.col("part"), 1).otherwise(0)
@@ -150,9 +206,8 @@ def plan(docs: DataFrame, seed: int = 2) -> tuple[DataFrame, DataFrame, DataFram
     entry = F.struct("copy", "shard")
     draws = common.stored(drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.when(~alone, entry))).cast(DRAW).alias("draws")), "mix-draws")
 
-    left = blocks.where("part").select("skey", "block", (F.col("rest") - F.col("before")).alias("left"))
-    single = sized.join(left, ["skey", "block"]).select("skey", "perm", "size", "left").groupBy("skey").applyInPandas(_fill, "skey string, perm long")
-    single = common.stored(single.join(drawn.where(alone).select("skey", F.array(entry).cast(DRAW).alias("alone")), "skey"), "mix-single")
+    single = single.join(drawn.where(alone).select("skey", "block", F.array(entry).cast(DRAW).alias("alone")), ["skey", "block"]).drop("block")
+    single = common.stored(single, "mix-single")
     return sized, wanted.select("skey", "n_blocks"), common.small(draws, draws.count()), common.small(single, single.count())
 
 

@@ -182,3 +182,24 @@ def test_scores_odd_rows(spark, odd, none):
         by[r.text].add(r.score)
     assert all(len(v) == 1 for v in by.values()) and by[None] == by[""]
     assert X.scored(none, fitted).count() == 0 and X.kept(odd, fitted, 0.5).count() == 11
+
+
+def test_rows_that_do_not_fit_are_passed_over():
+    units = [100] * 10 + [50_000] + [100] * 245
+    assert sum(units[i] for i in M.filled(units, 20_000, None)) == 20_000
+    assert M.filled([7, 1000, 3, 5], 13, None) == [0, 3]
+    assert M.filled([1000, 1000], 1600, None) == [0, 1] and M.filled([100, 15_000], 10_000, 100) == [0] and M.filled([100, 15_000], 10_000, 10_000) == [1]
+
+
+@pytest.mark.parametrize("block_rows", [256, 16, 4])
+def test_a_very_long_document_does_not_miss_the_target(spark, monkeypatch, block_rows):
+    """Half of six of the sources is drawn, in which one document is nearly as long as all that is wanted."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", block_rows)
+    rows = [(1000 * k + i, f"s{k}", "w " * (24_000 if i == 11 else 100)) for k in range(9) for i in range(256)]
+    got = draws(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.size * r.times
+        target[r.source] = r.target
+        assert 0 <= r.times <= 3
+    assert max(abs(taken[s] - target[s]) for s in target) <= 50
