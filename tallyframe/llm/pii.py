@@ -17,6 +17,7 @@ replace columns of those names); repeated rows get equal results; an empty table
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -50,13 +51,16 @@ _SECRET = re.compile(
     r"""|\b(?P<c>(?=[0-9a-f]*\d)[0-9a-f]{32,128})\b"""
 )
 #: Cheap tests that a text may hold an entity at all.
-_SECRET_HINTS = ("oken", "OKEN", "ecret", "ECRET", "assw", "ASSW", "pwd", "PWD", "key", "KEY", "Key", "AKIA", "gh", "sk-", "xox", "eyJ")
+_SECRET_HINTS = ("AKIA", "gh", "sk-", "xox", "eyJ")
+_FOLDED_HINTS = ("token", "secret", "passw", "pwd", "key")
 _TITLE_HINTS = tuple(t + mark for titles in TITLES.values() for t in titles for mark in (" ", ". "))
-_DIGIT, _HEX = re.compile(r"[0-9]"), re.compile(r"[0-9a-f]{32}")
+_DIGIT, _HEX = re.compile(r"[0-9]"), re.compile(r"[0-9a-fA-F]{32}")
+_JOINED = re.compile(r"[0-9A-Fa-f][:-][0-9A-Fa-f]|::")
+_H, _V4 = "[0-9A-Fa-f]{1,4}", r"(?:\d{1,3}\.){3}\d{1,3}"
 _DIGITS = re.compile(
     r"(?P<ipv4>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w))"
     r"|(?P<mac>(?<![\w:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:]))"
-    r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    rf"|(?P<ipv6>(?<![\w:])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{6}}{_V4}|(?:{_H}(?::{_H}){{0,6}})?::(?:(?:{_H}:){{0,6}}(?:{_V4}|{_H}))?)(?!\w|:[\w:]|\.\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-/]?\(?\d{1,4}\)?){2,6}(?!\w)|(?<![\w.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w-])|(?<!\w)0\d{1,4}[ /\-]\d{3,4}[ .\-]?\d{3,5}(?!\w))"
@@ -179,6 +183,9 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
         return _card(text, key)
     if kind == "phone" and text.startswith("+"):
         return permuted(text, key, kind, frozenset(range(re.match(r"\+\d{1,3}?(?=\D)|\+\d", text).end())))
+    if kind == "ipv6" and "." in text:
+        head, _, tail = text.rpartition(":")
+        return f"{permuted(head + ':', key, kind, alphabet='0123456789abcdef')}{_octets(tail, key)}"
     if kind in ("mac", "ipv6") or kind == "secret" and re.fullmatch("[0-9a-fA-F]+", text):
         return permuted(text, key, kind, alphabet="0123456789abcdef")
     if kind == "iban":
@@ -188,6 +195,15 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return permuted(text, key, kind)
 
 
+def _is_ipv6(text: str) -> bool:
+    """Whether text is a valid address that is not a name's scope (add::face) in program text: short ones have a digit."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return bool(_DIGIT.search(text)) or sum(map(bool, text.split(":"))) > 2
+
+
 def detected(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of entities, in order and without overlap; of overlapping ones the kind found first counts."""
     found: list[tuple[int, int, str]] = []
@@ -204,17 +220,20 @@ def detected(text: str) -> list[tuple[int, int, str]]:
         if after and before.group().strip("."):
             add(before.end() - len(before.group().lstrip(".'`*_~|#$%&!?{}=^/")), after.end(), "email")
         at = text.find("@", at + 1)
-    digits = _DIGIT.search(text)
-    if any(h in text for h in _SECRET_HINTS) or digits and _HEX.search(text):
+    digits, low = _DIGIT.search(text), text.casefold()
+    if any(h in text for h in _SECRET_HINTS) or any(h in low for h in _FOLDED_HINTS) or digits and _HEX.search(text):
         for m in _SECRET.finditer(text):
             group = next(g for g in "abc" if m.group(g))
             add(*m.span(group), "secret")
-    for m in _DIGITS.finditer(text) if digits else ():
-        if m.lastgroup != "ipv4" or all(int(p) < 256 and str(int(p)) == p for p in m.group().split(".")):
+    for m in _DIGITS.finditer(text) if digits or _JOINED.search(text) else ():
+        if m.lastgroup == "ipv4":
+            good = all(int(p) < 256 and str(int(p)) == p for p in m.group().split("."))
+        else:
+            good = m.lastgroup != "ipv6" or _is_ipv6(m.group())
+        if good:
             add(*m.span(), m.lastgroup)
     names: dict[str, str] = {}
-    low = text.lower()
-    for pattern, hinted in ((_TITLED, any(h in text for h in _TITLE_HINTS)), (_PHRASED, any(p.lower() in low for p in PHRASES))):
+    for pattern, hinted in ((_TITLED, any(h in text for h in _TITLE_HINTS)), (_PHRASED, any(p.casefold() in low for p in PHRASES))):
         for m in pattern.finditer(text) if hinted else ():
             gender = next((g for g in "fmx" if m.groupdict().get(g)), "x")
             for part in m.group("name").split(" "):

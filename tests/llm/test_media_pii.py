@@ -133,3 +133,32 @@ def test_planted_values_are_gone(documents):
     assert planted
     left = {m for r in pii.surrogates(documents).collect() for m in pattern.findall(r.text or "")}
     assert not planted & left
+
+
+@pytest.mark.parametrize(
+    "text,kind,original",
+    [
+        ("Server=db;Pwd=Zx!kqwert;", "secret", "Zx!kqwert;"),
+        ("see 0123456789ABCDEF0123456789ABCDEF here", "secret", "0123456789ABCDEF0123456789ABCDEF"),
+        ("card at AA:BB:CC:DD:EE:FF now", "mac", "AA:BB:CC:DD:EE:FF"),
+        ("card at aa-bb-cc-dd-ee-ff now", "mac", "aa-bb-cc-dd-ee-ff"),
+        ("host 2001:db8::1.", "ipv6", "2001:db8::1"),
+        ("host 2001:db8::1: down", "ipv6", "2001:db8::1"),
+        ("host [fe80::A1b2:3]:80", "ipv6", "fe80::A1b2:3"),
+        ("host ::ffff:192.168.10.7 up", "ipv6", "::ffff:192.168.10.7"),
+        ("host abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd up", "ipv6", "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd"),
+        ("host fe::ab:cd up", "ipv6", "fe::ab:cd"),
+    ],
+)
+def test_entities_behind_cheap_tests(text, kind, original):
+    import ipaddress
+
+    new, found = pii.replaced(text)
+    assert [(k, o) for k, _, o, _ in found] == [(kind, original)] and original not in new
+    if kind == "ipv6":
+        assert ipaddress.IPv6Address(found[0][3]) and len(found[0][3]) == len(original)
+
+
+@pytest.mark.parametrize("text", ["std::add(x)", "add::bed", "a :: b", "at 12:30:45", "1:2:3:4:5:6:7:8:9", "12::34::56", "no-one be-ad"])
+def test_not_addresses(text):
+    assert pii.detected(text) == []
