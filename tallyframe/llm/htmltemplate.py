@@ -39,6 +39,8 @@ BLOCKS = set(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split()
 )
 ASIDE = set("nav footer aside form script style noscript template iframe svg math button select textarea input dialog menu head object canvas audio video datalist option title".split())
+#: Elements that leave a head open; any other, or text, ends it.
+IN_HEAD = set("html head base basefont bgsound link meta title style script noscript noframes template".split())
 ENDS_P = BLOCKS - {"body", "html", "tbody", "tfoot", "thead", "tr", "caption", "legend", "summary"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # Words of class and id attributes that name what is not the article.
@@ -108,6 +110,11 @@ class Page:
                 block += 1
             del stack[to:]
 
+        def close_head() -> None:
+            to = next((k for k, i in enumerate(stack) if elements[i].name == "head"), None)
+            if to is not None:
+                close(to)
+
         while at < len(source):
             m = _TOKEN.match(source, at)
             if m is None:
@@ -116,6 +123,7 @@ class Page:
             kind = m.lastgroup
             if kind == "text" or kind == "cdata":
                 if (t := m.group(kind)) and not t.isspace():
+                    close_head()
                     self.texts.append((t if kind == "cdata" else html.unescape(t), tuple(stack), block))
                 elif t and self.texts:
                     self.texts.append((" ", tuple(stack), block))
@@ -128,6 +136,8 @@ class Page:
                     block += 1
             elif kind == "end":
                 name, attrs = m["open"].lower(), m["attrs"]
+                if name not in IN_HEAD:
+                    close_head()
                 if name == "br":
                     self.texts.append((" ", tuple(stack), block))
                     continue

@@ -203,3 +203,17 @@ def test_a_very_long_document_does_not_miss_the_target(spark, monkeypatch, block
         target[r.source] = r.target
         assert 0 <= r.times <= 3
     assert max(abs(taken[s] - target[s]) for s in target) <= 50
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><body><article><p>One two</p></article></body></html>",
+        "<!DOCTYPE html><head><title>T</title><link rel=x><article><p>One two</article>",
+        "<head><title>T</title><p>One two",
+        "<head><title>T</title>One <b>two</b>",
+        "<title>T</title><p>One two",
+    ],
+)
+def test_a_head_without_its_end_tag(page):
+    assert H.extracted(page) == "One two"
