@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import common, minhash, mixing, packing, pii, toxicity
 
-#: Stricter than the scoring query's threshold, since a document that goes is lost.
-CUT = 0.5
+#: The scoring query's threshold: what it predicts to be toxic goes.
+CUT = toxicity.THRESHOLD
 SHINGLE_WORDS = 5
 
 

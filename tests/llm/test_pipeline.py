@@ -74,3 +74,9 @@ def test_stages_take_odd_rows(spark, odd, none):
             rows = out.count()
             assert rows <= 3 * docs.count() and (n == 0 or rows > 0), name
         assert (C.STAGES[-1][1](spark, docs, SF).count() > 0) == (n > 0)
+
+
+def test_what_the_operator_predicts_toxic_goes():
+    from tallyframe.llm import toxicity
+
+    assert C.CUT == toxicity.THRESHOLD
