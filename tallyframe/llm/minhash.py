@@ -17,8 +17,9 @@ Large groups: a class of copies is one member; a group of near copies is linked
 members, whose number is linear, and only pairs of different components are tried after that.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; a text with
-fewer words than a shingle is one shingle; rows of equal doc_id are treated alike; a row with a null doc_id is linked with
-nothing, its component null and the row kept; other columns are ignored; an empty table stays empty.
+fewer words than a shingle is one shingle; rows of equal doc_id are one node, linked by any of their texts, each with its
+own n_shingles; a row with a null doc_id is linked with nothing, its component null and the row kept; every row comes
+back once; other columns are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -125,13 +126,13 @@ def _sign(n: int):
     return run
 
 
-def _confirm(n: int, percent: int):
+def _confirm(n: int, percent: int, repeats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in common.slices(batches):
             a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                if last[0] != a[i]:
+                if repeats or last[0] != a[i]:  # (several texts of one id may stand next to each other)
                     last = (a[i], shingles(x.as_py(), n))
                 one, two = last[1], shingles(y.as_py(), n)
                 both = len(np.intersect1d(one, two, assume_unique=True))
@@ -145,8 +146,10 @@ def _confirm(n: int, percent: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
-            sets = [shingles(t.as_py(), n).astype(np.uint32).view(np.int32) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["rep", "members"])
+            whole = [shingles(t.as_py(), n) for t in part.column(1)]
+            sums = np.array([s.sum(dtype=np.uint64) for s in whole], np.uint64).view(np.int64)
+            sets = [s.astype(np.uint32).view(np.int32) for s in whole]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums), pa.array(sets, pa.list_(pa.int32()))], ["rep", "fp", "members"])
 
     return run
 
@@ -178,14 +181,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     # (written, so that the join deals both sides anew and a class of very many copies can be divided)
     classes = common.stored(some.groupBy(*fp).agg(F.min("doc_id").alias("rep")), "minhash-sets-of-rows")
     classes = common.stored(some.select("doc_id", *fp).join(classes, fp).select("doc_id", "n_shingles", "rep").distinct(), "minhash-classes")
-    reps = some.join(classes.where("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    reps = common.stored(reps.select(F.col("doc_id").alias("rep"), F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").alias("sig"), "keys"), "minhash-reps")
+    repeats = _repeats(docs)  # then a doc_id can stand for several sets, told apart by a checksum
+    reps = some.join(classes.where("doc_id = rep").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"]).dropDuplicates(["doc_id", *fp])
+    sig = F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").alias("sig")
+    reps = common.stored(reps.select(F.col("doc_id").alias("rep"), F.col("fp1").alias("fp"), sig, "keys"), "minhash-reps")
 
-    bucket = reps.select("rep", F.explode("keys").alias("key"))
+    bucket = reps.select("rep", "fp", F.explode("keys").alias("key"))
     shared = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = common.stored(bucket.join(shared, "key").join(reps.select("rep", "sig"), "rep").select("key", "rep", "sig"), "minhash-members")
+    members = common.stored(bucket.join(shared, "key").join(reps.select("rep", "fp", "sig"), ["rep", "fp"]).select("key", "rep", "fp", "sig"), "minhash-members")
 
-    texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(docs) else docs
+    texts = docs.where("doc_id is not null").distinct() if repeats else docs
+    # the sets of one doc_id hang together
+    own = classes.where("doc_id <> rep").join(_twice(docs), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     def wanted(ids: DataFrame) -> DataFrame:
         """Texts of some documents: few ids are sent to the texts, and no text is dealt out for nothing; many are joined with all."""
@@ -197,18 +204,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
         pairs = common.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
         some = wanted(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         both = pairs.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"), label)
+        return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent, repeats), "a long, b long"), label)
 
     # everyone against a bucket's smallest member
     # (hubs are written, so that the join deals both sides anew and a large bucket can be divided)
     hub = common.stored(members.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("hub")), "minhash-hubs")
     tried = members.join(hub, "key").where("rep <> hub.rep").where(_likely("sig", "hub", percent)).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
     links = confirmed(tried, "minhash-links")
+    links = links.union(own) if repeats else links
     part = connected(links)
 
     def placed() -> DataFrame:
         """Members of buckets that hold several components, with theirs."""
-        m = members.join(part, F.col("rep") == F.col("node"), "left").select("key", "rep", "sig", F.coalesce("component", "rep").alias("component"))
+        m = members.join(part, F.col("rep") == F.col("node"), "left").select("key", "rep", "fp", "sig", F.coalesce("component", "rep").alias("component"))
         open_ = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         return common.stored(m.join(open_, "key"), "minhash-open")
 
@@ -224,8 +232,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     # join, if room is left for shingles of one text or both that agree in it, and what comes out is confirmed
     m = placed()
     open_ids = m.select(F.col("rep").alias("id")).distinct()
-    sets = wanted(open_ids).join(open_ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "rep long, members array<int>")
-    m = m.join(common.stored(sets, "minhash-sets"), "rep").join(reps.select("rep", "keys"), "rep")
+    sets = wanted(open_ids).join(open_ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "rep long, fp long, members array<int>")
+    m = m.join(common.stored(sets, "minhash-sets"), ["rep", "fp"]).join(reps.select("rep", "fp", "keys"), ["rep", "fp"])
     x, y = m.alias("x"), m.alias("y")
     first = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
     alike = F.ceil(F.col("x.sig.n").cast("double") * F.col("y.sig.n") / (1 << 28))  # many times what is expected, 1 at least
@@ -236,13 +244,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = PERCENT) -
     part = connected(links)
 
     known = classes.join(part, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    known = known.groupBy("doc_id").agg(F.min("component_id").alias("component_id")) if repeats else known
     out = everyone.select("doc_id", "n_shingles").join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _repeats(docs: DataFrame) -> bool:
     """Whether a doc_id occurs in several rows."""
-    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not _twice(docs).isEmpty()
+
+
+def _twice(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

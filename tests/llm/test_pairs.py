@@ -84,6 +84,26 @@ def test_near_duplicates_odd_rows(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Several texts of one doc_id, some of them copies or near copies of others': one node each, every row back once."""
+    texts = list(near_copies(9).values())[:150]
+    rng = random.Random(1)
+    rows = [(rng.randrange(110), t) for t in texts] + [(1000, "alpha beta gamma"), (1001, "alpha beta gamma"), (1001, "delta epsilon zeta eta"), (1002, "delta epsilon zeta eta"), (None, "alpha beta gamma")]
+    rows += [(2000, "p q r s t"), (2000, "u v w x y"), (2001, "u v w x y"), (2002, "p q r s t"), (2000, None), (2000, "p q r s t")]
+    sets, links = [], []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(zip(w, w[1:])) or frozenset([(x,) for x in w]))
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if None not in (a, b) and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                links.append((a, b))
+    want = united({d for d, _ in rows if d is not None}, links)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles) for r in got) == sorted((d or -1, len(s)) for (d, _), s in zip(rows, sets))
+    assert all(r.component_id == want.get(r.doc_id) for r in got) and want[1002] == 1000 and want[2002] == 2000
+
+
 def test_signature_filter_lets_links_pass():
     """Minima that differ stay under the bound for sets at the threshold."""
     rng = np.random.default_rng(0)
