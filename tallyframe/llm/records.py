@@ -19,6 +19,7 @@ an empty table gives an index without rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -137,10 +138,18 @@ def with_starts(index: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of the records named by wanted (doc_id), in any order, by the offset index: files without one are not opened."""
+    """doc_id and ids of the records named by wanted (doc_id), in any order, by the offset index: only files that hold one are read.
+
+    The names of shards, one per shard_mb of input, are on the driver; records are cut out at their places."""
     places = spark.read.schema(INDEX_SCHEMA).parquet(f"{out}/index").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    by_file = places.groupBy("shard").agg(F.collect_list("record_at").alias("places"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/data").withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("long"))
+    by_file = common.stored(places.groupBy("shard").agg(F.collect_list("record_at").alias("places")), "records-wanted")
+    needed = {r.shard for r in by_file.select("shard").collect()}
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/data")
+    listed = [str(f.getPath().toString()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    paths = [p for p in listed if (m := re.search(r"/part-(\d+)[^/]*$", p)) and int(m[1]) in needed]
+    if not paths:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    files = spark.read.format("binaryFile").load(paths).withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("long"))
 
     def cut(batches):
         for batch in batches:

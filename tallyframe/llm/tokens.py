@@ -13,8 +13,9 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Latin letters and marks that end a piece: a cut between them is one between pre-tokens of either kind of file.
-_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r'[.,!?;:|$%&*#"]'
+#: Latin letters and marks that end a piece: a cut between them is one between pre-tokens of either kind of file. U+0130 is
+#: none of them, since its lower case ends in a combining mark.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-\u012F\u0131-ɏ]+", r'[.,!?;:|$%&*#"]'
 #: Pieces that keep the white space before them, and pieces without it.
 LEADING = re.compile(rf"[ \n]?{_LETTERS}(?=[ \n]|{_MARKS}|\Z)|{_MARKS}+(?=[ \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
 BARE = re.compile(rf"{_LETTERS}(?=[ \n]|{_MARKS}|\Z)|{_MARKS}+(?=[ \n]|\Z)|[^ \n]+")
