@@ -6,13 +6,14 @@ the type; further valid stretches are embedded media and can be carved out.
 
 Defined results: null bytes have no kind and no embedded media; bytes of no known format have kind null and
 keep their declared type; of overlapping stretches the one that begins first (then the longest) counts, but
-stretches inside the main one count as embedded; in `store`, a null text is empty and equal texts give equal
+stretches inside the main one count as embedded; `carved` gives the bytes of embedded ones, none for null bytes; in `store`, a null text is empty and equal texts give equal
 bytes; other columns pass through `sniff`, which replaces its own output columns; empty tables stay empty.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tallyframe.llm import common
 
@@ -183,9 +185,19 @@ def _gzip(d: memoryview) -> int | None:
     return at - len(z.unused_data) if z.eof else None
 
 
+#: The end of a section of a file, and what an update that is appended to it begins with.
+_PDF_END = re.compile(rb"startxref\s+(\d{1,20})\s+%%EOF")
+_PDF_MORE = re.compile(rb"\s*(?:%[^\r\n]*\s+)*(?:\d+ \d+ obj|xref\b)")
+
+
 def _pdf(d: memoryview) -> int | None:
-    end = bytes(d).rfind(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in bytes(d[max(0, end - 64) : end]) else None
+    """Sections follow each other while objects do; the cross-references of the last one must lie before its end."""
+    at = 5
+    while m := _PDF_END.search(d, at):
+        if not _PDF_MORE.match(d, m.end()):
+            return m.end() if int(m[1]) < m.start() else None
+        at = m.end()
+    return None
 
 
 VALIDATORS: dict[str, Callable[[memoryview], int | None]] = {"png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "pgm": _pgm, "wav": _wav, "gzip": _gzip, "pdf": _pdf}
@@ -205,8 +217,11 @@ def _automaton():
 def sniffed(data: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, length) of valid media: the main one, if one begins at 0, then what is embedded, in order."""
     view, found = memoryview(data), []
+    last = data.rfind(b"%%EOF")  # no document begins after it, however often its magic bytes occur
     for end, (kind, back) in _automaton().iter(data.decode("latin-1")):
         start = end - back
+        if kind == "pdf" and start > last:
+            continue
         if start >= 0 and (length := VALIDATORS[kind](view[start:])):
             found.append((start, -length, kind))
     out, reach = [], 0
@@ -315,6 +330,27 @@ def sniff(df: DataFrame, media: str = "media", declared: str = "declared_type")
     return out.withColumns({n: F.col(f"_sniffed.{n}") for n in names}).drop("_sniffed")
 
 
+def carved(df: DataFrame, media: str = "media") -> DataFrame:
+    """A row per embedded stretch of media: df's other columns, carved_kind, carved_start and carved_bytes; replaces columns of those names."""
+    own = ["carved_kind", "carved_start", "carved_bytes"]
+    df = df.drop(*own)
+    at = df.columns.index(media)
+    kept = [i for i in range(len(df.columns)) if i != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, 50):
+            rows = []
+            for i, data in enumerate(part.column(at)):
+                data = data.as_py()
+                rows += [(i, kind, start, data[start : start + n]) for kind, start, n in (sniffed(data) if data is not None else []) if start]
+            rest = part.select(kept).take(pa.array([r[0] for r in rows], pa.int64()))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.string()), (2, pa.int64()), (3, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, *own])
+
+    added = [StructField("carved_kind", StringType()), StructField("carved_start", LongType()), StructField("carved_bytes", BinaryType())]
+    return common.lean(df).mapInArrow(run, StructType([f for f in df.schema.fields if f.name != media] + added))
+
+
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, kind string, declared_ok boolean"
 
 

@@ -38,6 +38,22 @@ def test_validators(kind, data):
         assert media.sniffed(word) == []
 
 
+def test_pdf_ends_where_its_sections_end():
+    png = media.png_of(b"a" * 192)
+    data = PDF + b"\n" + png + PDF
+    assert media.sniffed(data) == [("pdf", 0, len(PDF)), ("png", len(PDF) + 1, len(png)), ("pdf", len(PDF) + 1 + len(png), len(PDF))]
+    updated = PDF + b"\n2 0 obj\nendobj\nstartxref\n50\n%%EOF"
+    assert media.sniffed(updated) == [("pdf", 0, len(updated))]
+    assert media.sniffed(b"%PDF-1.4\nstartxref\n99999\n%%EOF") == [] and media.sniffed(b"%PDF-" * 20_000) == []
+
+
+def test_carved_bytes_are_the_embedded_ones(spark):
+    png = media.png_of(b"a" * 192)
+    rows = [(1, PDF + b"\n" + png + PDF, "x"), (2, None, "x"), (3, b"", "y"), (4, b"plain", None), (5, png, "z"), (5, b"??" + GIF, "z")]
+    got = media.carved(spark.createDataFrame(rows, "id int, media binary, carved_kind string")).collect()
+    assert sorted((r.id, r.carved_kind, r.carved_start, bytes(r.carved_bytes)) for r in got) == [(1, "pdf", len(PDF) + 1 + len(png), PDF), (1, "png", len(PDF) + 1, png), (5, "gif", 2, GIF)]
+
+
 def test_embedded_media_are_found_inside():
     inner = media.png_of(b"x" * 192)
     payload = b"head" + inner + b"tail"
