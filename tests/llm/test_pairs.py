@@ -138,9 +138,97 @@ def test_dual_traversal_is_exact(n, t):
     assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
 
 
-@pytest.mark.parametrize("block", [2048, 40])
-def test_near_vectors(spark, monkeypatch, block):
-    monkeypatch.setattr(covertree, "BLOCK", block)
+@pytest.mark.parametrize("n", [1, 9, 60, 700])
+@pytest.mark.parametrize("t", [0.5, 0.9, 0.98])
+def test_counted_links(n, t):
+    """Counts and components of a tree against all pairs, also where whole nodes are taken together."""
+    rng = np.random.default_rng(n)
+    x = np.concatenate([clustered(rng, n), covertree.unit(np.ones(16) + rng.normal(size=(n, 16)) * 0.02)])
+    copies = rng.integers(1, 4, len(x))
+    tree = covertree.Tree(x)
+    counts, up = covertree.linked(tree, copies, t)
+    near = x @ x.T >= t
+    np.fill_diagonal(near, False)
+    assert (counts == (near * copies[None, :]).sum(1)).all()
+    root = united(range(len(x)), zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    assert up.tolist() == [root[i] for i in range(len(x))]
+    assert len(covertree.Traversal(tree, tree, covertree.reach_of(t)).whole) > 0
+
+
+def test_tree_is_a_cover_tree():
+    """Children's points are the node's, radii cover, at least halve by levels and are exact for what is told."""
+    rng = np.random.default_rng(5)
+    x = clustered(rng, 900)
+    a = covertree.Tree(x)
+    assert sorted(a.order.tolist()) == list(range(len(x)))
+    for k in range(len(a.centre)):
+        away = covertree.apart(x[a.centre[k]][None], x[a.order[a.lo[k] : a.hi[k]]])[0]
+        assert abs(away.max() - a.radius[k]) < covertree.MARGIN
+        if a.size[k]:
+            kids = range(a.first[k], a.first[k] + a.size[k])
+            assert a.centre[kids[0]] == a.centre[k] and a.lo[kids[0]] == a.lo[k] and a.hi[kids[-1]] == a.hi[k]
+            assert all(a.radius[c] <= 2.0 ** (np.ceil(np.log2(a.radius[k])) - 1) + covertree.MARGIN for c in kids)
+    told = a.told(0.1)
+    assert sorted(p for _, points, _ in told for p in points) == list(range(len(x))) and max(r for _, _, r in told) <= 0.1
+
+
+@pytest.mark.parametrize("n", [8_000, 32_000])
+def test_work_before_pruning_is_no_gram_matrix(n):
+    """Groups of four near copies in 32 dimensions: distances computed are far from all pairs."""
+    rng = np.random.default_rng(n)
+    x = covertree.unit(np.repeat(rng.normal(size=(n // 4, 32)), 4, 0) + rng.normal(size=(n, 32)) * 0.05)
+    tree = covertree.Tree(x)
+    walk = covertree.Traversal(tree, tree, covertree.reach_of(0.98))
+    assert walk.tried < 0.1 * n * n and covertree.linked(tree, np.ones(n, int), 0.98)[0].mean() >= 3
+
+
+def test_rows_sent_between_cells(spark, monkeypatch):
+    """Subtrees sent for each vector stay few with four times the vectors in cells of the same size: clusters of near copies."""
+    monkeypatch.setattr(covertree, "CELL", 512)
+    rate = {}
+    for n in (2_000, 8_000):
+        rng = np.random.default_rng(n)
+        hosts = rng.normal(size=(n // 500, 24))
+        centres = np.repeat(hosts, 125, 0) + rng.normal(size=(n // 4, 24)) * 0.3
+        x = covertree.unit(np.repeat(centres, 4, 0) + rng.normal(size=(n, 24)) * 0.01)
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        seen = []
+        between = covertree._between
+        monkeypatch.setattr(covertree, "_between", lambda found, t: seen.append(found) or between(found, t))
+        got = covertree.near_vectors(df).collect()
+        near = x @ x.T >= 0.98
+        np.fill_diagonal(near, False)
+        assert [r.n_links for r in sorted(got)] == near.sum(1).tolist()
+        monkeypatch.setattr(covertree, "_between", between)
+        rate[n] = sum(len(r.targets) for r in seen[0].where("targets is not null").select("targets").collect()) / n
+    print(rate)
+    assert max(rate.values()) < 0.4
+
+
+def test_vectors_of_repeated_ids(spark):
+    """Rows of one vec_id with different vectors, copies and near copies of them: every row back once."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 6))
+    rows = [(int(rng.integers(30)), (base[int(rng.integers(12))] + rng.choice([0, 0, 0.02, 0.2]) * rng.normal(size=6)).tolist(), int(rng.integers(2))) for _ in range(90)]
+    rows += [(100, base[0].tolist(), 0), (100, base[1].tolist(), 0), (101, base[1].tolist(), 0), (100, base[0].tolist(), 0), (None, base[1].tolist(), 0)]
+    rows += [(102, [-0.0, 1.0, 0, 0, 0, 0], 0), (103, [0.0, 1.0, 0, 0, 0, 0], 0)]
+    cos = lambda a, b: np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))
+    distinct = {(i, tuple(v), label) for i, v, label in rows if i is not None}
+    links = [(p, q) for p in distinct for q in distinct if p != q and p[2] == q[2] and cos(p[1], q[1]) >= 0.98]
+    root = united(sorted({p[0] for p in distinct}), [(p[0], q[0]) for p, q in links])
+    n = defaultdict(int)
+    for p, _ in links:
+        n[p] += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted((i if i is not None else -1, n[i, tuple(v), label], root.get(i, -1)) for i, v, label in rows)
+    assert sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id if r.component_id is not None else -1) for r in covertree.near_vectors(df).collect()) == want
+
+
+@pytest.mark.parametrize("cell", [16_384, 40])
+@pytest.mark.parametrize("grain", [0.5, 2.0])
+def test_near_vectors(spark, monkeypatch, cell, grain):
+    monkeypatch.setattr(covertree, "CELL", cell)
+    monkeypatch.setattr(covertree, "GRAIN", grain)
     rng = np.random.default_rng(9)
     x = clustered(rng, 300, 8)
     x[250:] = x[:50]
