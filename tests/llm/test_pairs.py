@@ -211,7 +211,7 @@ def test_vectors_of_repeated_ids(spark):
     base = rng.normal(size=(12, 6))
     rows = [(int(rng.integers(30)), (base[int(rng.integers(12))] + rng.choice([0, 0, 0.02, 0.2]) * rng.normal(size=6)).tolist(), int(rng.integers(2))) for _ in range(90)]
     rows += [(100, base[0].tolist(), 0), (100, base[1].tolist(), 0), (101, base[1].tolist(), 0), (100, base[0].tolist(), 0), (None, base[1].tolist(), 0)]
-    rows += [(102, [-0.0, 1.0, 0, 0, 0, 0], 0), (103, [0.0, 1.0, 0, 0, 0, 0], 0)]
+    rows += [(102, [-0.0, 1.0] + [0.0] * 4, 0), (103, [0.0, 1.0] + [0.0] * 4, 0)]
     cos = lambda a, b: np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))
     distinct = {(i, tuple(v), label) for i, v, label in rows if i is not None}
     links = [(p, q) for p in distinct for q in distinct if p != q and p[2] == q[2] and cos(p[1], q[1]) >= 0.98]
