@@ -1,18 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read a clause's words: insults and threats (weighted stems), targets (whom a clause speaks
-to or of), negation and reported speech. They are composed into one machine, whose best path through a clause
-gives what the clause does: an insult or threat, plain, at a target, negated or reported. A word alone scores
-nothing; a document's score is a logistic function of what its clauses do.
+Transducers for insults (stems by their strength), threats (an agent, a verb and a target), targets (whom a
+clause speaks to or of), negation, reported speech and insults that stand alone are composed into one machine.
+Its arcs are alternatives (a stem is an insult or a word like others, a target before or after it, a negation
+that turns what follows or is ignored), so a clause has many paths, and the best one by the weights of what
+arcs do gives the clause's weight: a plain, aimed, negated or reported insult, or a threat. A text's score is a
+logistic function of its clauses' weights: together, the largest, and how many; a text without clauses of some
+weight has the same score whatever its words are. A stem without any other word is no clause and weighs nothing.
 
 Stems come from a fixed list and from labelled rows: words and prefixes whose documents are toxic far more
-often than others (likelihood ratio over LEAST_RATIO). Rows for fitting are those of `train`, at most
-FIT_ROWS of them by a hash of the id; everything is fitted in one task on that bounded sample. Scoring reads
-whole texts, finds stems with one Aho-Corasick pass and runs the machine on clauses that hold any.
+often than others (likelihood ratio over LEAST_RATIO, MOST_STEMS of them); a stem's strength is its log odds. The
+weights of what arcs do are stated, those of the logistic function fitted. Rows for fitting are those of `train`, at
+most FIT_ROWS of them by a hash of the id; everything is fitted in one task on that bounded sample.
+Scoring reads whole texts, finds stems with one Aho-Corasick pass and runs the machine on clauses that hold any.
 
 Defined results: null and empty texts get the score of a text without hits; equal texts get equal scores;
-null labels are not used for fitting; without labels, or labels of one kind only, the fixed list and fixed
-weights score; other columns pass through `scored`, which replaces `score`; an empty table stays empty.
+null labels are not used for fitting, and of a doc_id's labels one of toxic decides; without labels, or labels of one
+kind only, the fixed list and stated weights score; other columns pass through `scored`, which replaces `score`; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -48,38 +53,43 @@ _CLAUSE = re.compile(r"[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
+SCOPE = 3
+#: Weights of what arcs do: a plain insult weighs by its stem's strength, of which the least is nothing.
+STATED = {"plain": -1.0, "odds": 0.8, "target": 1.0, "threat": 2.5, "negated": -1.5, "reported": -1.0, "ignored": -2.0, "alone": -4.0}
+ACTS = tuple(STATED)
+
+
 class Transducer:
-    """A weighted finite-state transducer: arcs (state, symbol) -> [(state, output, weight)], "*" for any other symbol."""
+    """A weighted finite-state transducer: arcs (state, symbol) -> [(state, output, acts)], "*" for any other symbol.
 
-    def __init__(self, arcs: dict[tuple, list[tuple]], start=0, final: Iterable | None = None):
-        self.arcs, self.start, self.final = arcs, start, None if final is None else set(final)
+    Several arcs are alternatives and an empty list ends a path; without an arc the symbol passes and the state stays.
+    acts are (name, amount) pairs, whose weights are a parameter of `best`."""
+
+    def __init__(self, arcs: dict[tuple, list[tuple]], start=0):
+        self.arcs, self.start = arcs, start
 
     def step(self, state, symbol: str) -> list[tuple]:
-        """Without an arc, the symbol passes and the state stays."""
         found = self.arcs.get((state, symbol))
         if found is None:
             found = self.arcs.get((state, "*"))
-        return [(s, symbol if o == "*" else o, w) for s, o, w in found] if found is not None else [(state, symbol, 0.0)]
+        return [(s, symbol if o == "*" else o, acts) for s, o, acts in found] if found is not None else [(state, symbol, ())]
 
     def __matmul__(self, other: Transducer) -> Transducer:
         """This one, then the other on its output."""
         return Composed(self, other)
 
-    def best(self, symbols: Iterable[str]) -> tuple[float, tuple[str, ...]]:
-        """Weight and output of the best path."""
-        paths = {self.start: (0.0, ())}
+    def best(self, symbols: Iterable[str], weights: dict[str, float]) -> tuple[float, tuple, tuple[str, ...]]:
+        """Weight, acts and output of the best path."""
+        paths = {self.start: (0.0, (), ())}
         for symbol in symbols:
             after: dict = {}
-            for state, (weight, out) in paths.items():
-                for to, put, w in self.step(state, symbol):
-                    if to not in after or weight + w > after[to][0]:
-                        after[to] = (weight + w, out + (put,))
+            for state, (weight, done, out) in paths.items():
+                for to, put, acts in self.step(state, symbol):
+                    w = weight + sum(weights[a] * n for a, n in acts)
+                    if to not in after or (w, done + acts) > after[to][:2]:
+                        after[to] = (w, done + acts, out + (put,))
             paths = after
-        ended = [p for s, p in paths.items() if self.accepts(s)]
-        return max(ended, key=lambda p: (p[0], p[1])) if ended else (0.0, ())
-
-    def accepts(self, state) -> bool:
-        return self.final is None or state in self.final
+        return max(paths.values(), key=lambda p: p[:2]) if paths else (0.0, (), ())
 
 
 class Composed(Transducer):
@@ -91,45 +101,65 @@ class Composed(Transducer):
 
     def step(self, state, symbol):
         if (state, symbol) not in self.known:
-            self.known[state, symbol] = [((s, t), put, w + v) for s, mid, w in self.first.step(state[0], symbol) for t, put, v in self.second.step(state[1], mid)]
+            self.known[state, symbol] = [((s, t), put, a + b) for s, mid, a in self.first.step(state[0], symbol) for t, put, b in self.second.step(state[1], mid)]
         return self.known[state, symbol]
 
-    def accepts(self, state) -> bool:
-        return self.first.accepts(state[0]) and self.second.accepts(state[1])
-
 
 def grammar() -> Transducer:
-    """Symbols: I insult (strong), i insult (weak), V threat verb, A agent, G target, N negation, R report, Q quote, x other."""
-    threat = Transducer({(0, "A"): [("will", "x", 0.0)], ("will", "V"): [("did", "v", 0.5)], ("will", "A"): [("will", "x", 0.0)], (0, "V"): [(0, "x", 0.0)],
-                         ("did", "G"): [(0, "T", 2.0)], ("did", "V"): [("did", "v", 0.5)]})
-    insult = Transducer({(0, "I"): [("on", "I", 1.0)], (0, "i"): [("on", "i", 0.3)], ("on", "I"): [("on", "I", 1.0)], ("on", "i"): [("on", "i", 0.3)]})
-    target = Transducer({(0, "G"): [("at", "x", 0.1)], ("at", "G"): [("at", "x", 0.0)], ("at", "I"): [("at", "IG", 0.5)], ("at", "i"): [("at", "iG", 0.2)],
-                         (0, "I"): [("named", "I", 0.0)], (0, "i"): [("named", "i", 0.0)], ("named", "G"): [("named", "G", 0.5)]})
-    turned = {"I": "nI", "IG": "nI", "i": "ni", "iG": "ni", "T": "nT"}
-    arcs: dict = {(0, "N"): [(3, "x", 0.0)]}
-    for left in (1, 2, 3):  # a negation reaches three words on
-        arcs |= {(left, s): [(left - 1, o, -0.8)] for s, o in turned.items()} | {(left, "*"): [(left - 1, "*", 0.0)], (left, "N"): [(3, "x", 0.0)]}
+    """Symbols: I1 to I6 a stem and its strength, V threat verb, A agent, G target, N negation, R report, x other, $ the clause's end."""
+    # a stem is an insult, or a word like others
+    insult = Transducer({(0, f"I{k}"): [(0, "I", (("plain", 1), ("odds", k))), (0, "x", ())] for k in range(1, 7)})
+    # an agent, a threat verb and a target, each at most SCOPE words from the one before, or words like others
+    arcs: dict = {(0, "A"): [(("will", SCOPE), "x", ()), (0, "x", ())], (0, "V"): [(0, "x", ())]}
+    for n in range(1, SCOPE + 1):
+        arcs[("will", n), "V"] = [(("did", SCOPE), "x", ())]
+        arcs[("did", n), "G"] = [(0, "T", (("threat", 1),))]
+        for at in ("will", "did"):
+            arcs[(at, n), "*"] = [((at, n - 1) if n > 1 else 0, "*", ())]
+            arcs[(at, n), "V"] = arcs.get(((at, n), "V"), [((at, n), "x", ())])
+    threat = Transducer(arcs)
+    # a target before an insult, or one that has to come after it: guessed there, and the path ends if it does not
+    arcs = {(0, "G"): [(("at", SCOPE + 1), "x", ())], (0, "I"): [(0, "I", ()), (("due", SCOPE), "IG", (("target", 1),))]}
+    for n in range(1, SCOPE + 2):
+        arcs[("at", n), "G"] = [(("at", SCOPE + 1), "x", ())]
+        arcs[("at", n), "I"] = [(("at", n), "IG", (("target", 1),))]
+        arcs[("at", n), "*"] = [(("at", n - 1) if n > 1 else 0, "*", ())]
+    for n in range(1, SCOPE + 1):
+        arcs[("due", n), "G"] = [(("at", SCOPE + 1), "x", ())]
+        arcs[("due", n), "$"] = []
+        arcs[("due", n), "*"] = [(("due", n - 1), "*", ())] if n > 1 else []
+    target = Transducer(arcs)
+    # a negation turns what comes within SCOPE words, unless it is ignored
+    arcs = {}
+    for n in range(SCOPE + 1):
+        arcs[n, "N"] = [(SCOPE, "x", ()), (n, "x", (("ignored", 1),))]
+        if n:
+            arcs |= {(n, s): [(n - 1, f"n{s}", (("negated", 1),))] for s in ("I", "IG", "T")} | {(n, "*"): [(n - 1, "*", ())]}
     negation = Transducer(arcs)
-    told = {"I": "rI", "IG": "rI", "i": "ri", "iG": "ri", "T": "rT"}
-    reported = Transducer({(0, "R"): [("said", "x", 0.0)]} | {("said", s): [("said", o, -0.6)] for s, o in told.items()})
-    return insult @ threat @ target @ negation @ reported
+    arcs = {(0, "R"): [("said", "x", ()), (0, "x", (("ignored", 1),))], ("said", "R"): [("said", "x", ())]}
+    reported = Transducer(arcs | {("said", s): [("said", f"r{s}", (("reported", 1),))] for s in ("I", "IG", "T", "nI", "nIG", "nT")})
+    # insults without any other word are no clause
+    words = [f"{a}{b}" for a in ("", "n", "r", "rn") for b in ("I", "IG")]
+    arcs = {(s, w): [("alone", "*", ())] for s in (0, "alone") for w in words} | {(s, "*"): [("with", "*", ())] for s in (0, "alone")}
+    alone = Transducer(arcs | {("alone", "$"): [("with", "*", (("alone", 1),))], (0, "$"): [("with", "*", ())], ("with", "*"): [("with", "*", ())]})
+    return insult @ threat @ target @ negation @ reported @ alone
 
 
-OUTPUTS = ("I", "IG", "nI", "rI", "i", "iG", "ni", "ri", "T", "nT", "rT")
-#: What the logistic function sees: damped counts of what clauses do, distinct stems, and the length of a text that has any.
-FEATURES = 1 + len(OUTPUTS) + 6
+#: What the logistic function sees of a text: its clauses' weights, together, the largest, and how many; if there are any, its
+#: length, and their weight by its length, to which DENSITY_AT characters are added.
+FEATURES, DENSITY_AT = 6, 200
 
 
 class Grammar:
-    """The machine with its stems: stem to weight; strong ones weigh at least 2."""
+    """The machine with its stems (stem to log odds), the weights of what arcs do, and those of the logistic function."""
 
     def __init__(self, stems: dict[str, float], weights: np.ndarray | None = None):
         import ahocorasick
 
+        weights = weights if weights is not None else fixed_weights()
         self.stems, self.machine = stems, grammar()
-        self.weights = weights if weights is not None else fixed_weights()
-        self.symbols = {w: s for words, s in ((AGENTS, "A"), (TARGETS, "G"), (NEGATIONS, "N"), (REPORTS, "R")) for w in words}
-        self.threats = frozenset(THREATS)
+        self.acts, self.weights = dict(zip(ACTS, weights.tolist())), weights[len(ACTS) :]
+        self.symbols = {w: s for words, s in ((AGENTS, "A"), (TARGETS, "G"), (NEGATIONS, "N"), (REPORTS, "R"), (THREATS, "V")) for w in words}
         self.find = ahocorasick.Automaton()
         for stem in {*stems, *THREATS}:
             self.find.add_word(stem, len(stem))
@@ -137,15 +167,13 @@ class Grammar:
         self.sizes = sorted({len(s) for s in stems}, reverse=True)
         self.memo: dict[tuple, tuple] = {}
 
-    def symbol(self, word: str) -> tuple[str, str]:
-        """Symbol and stem of a word; the stem with the largest weight counts."""
-        best = max((s for n in self.sizes if len(word) >= n and (s := word[:n]) in self.stems), key=self.stems.get, default="")
-        if best:
-            return ("I" if self.stems[best] >= 2 else "i"), best
-        return ("V" if word in self.threats else self.symbols.get(word, "x")), ""
+    def symbol(self, word: str) -> str:
+        """The stem with the largest odds counts."""
+        best = max((self.stems[s] for n in self.sizes if len(word) >= n and (s := word[:n]) in self.stems), default=0.0)
+        return f"I{min(6, max(1, round(best)))}" if best else self.symbols.get(word, "x")
 
     def clauses(self, text: str) -> Iterator[str]:
-        """Clauses of a lower-case text that hold a stem at the beginning of a word."""
+        """Clauses of a lower-case text that hold a stem or a threat verb at the beginning of a word."""
         at = -1
         for end, size in self.find.iter(text):
             start = end - size + 1
@@ -156,40 +184,31 @@ class Grammar:
             at = m.end() if m else len(text)
             yield text[before + 1 : at]
 
+    def parsed(self, clause: str) -> tuple[float, tuple, tuple[str, ...]]:
+        """Weight, acts and output of a clause's best path; longer runs of other words are as good as SCOPE + 2 of them."""
+        symbols: list[str] = []
+        for w in _WORD.findall(clause):
+            if (s := self.symbol(w)) != "x" or symbols[-SCOPE - 2 :] != ["x"] * (SCOPE + 2):
+                symbols.append(s)
+        key = tuple(symbols)
+        if key not in self.memo:
+            if len(self.memo) > 20_000:
+                self.memo.clear()
+            self.memo[key] = self.machine.best([*key, "$"], self.acts)
+        return self.memo[key]
+
     def features(self, text: str) -> np.ndarray:
-        counts, stems, strong, words = Counter(), set(), set(), 0
-        for clause in self.clauses(text.lower()):
-            found = [self.symbol(w) for w in _WORD.findall(clause)]
-            symbols = tuple(s for s, _ in found)
-            if symbols not in self.memo:
-                if len(self.memo) > 20_000:
-                    self.memo.clear()
-                self.memo[symbols] = self.machine.best(symbols)[1]
-            for put, (s, stem) in zip(self.memo[symbols], found):
-                if put in OUTPUTS:
-                    counts[put] += 1
-                if stem:
-                    stems.add(stem)
-                    words += 1
-                    if s == "I":
-                        strong.add(stem)
-        out = np.zeros(FEATURES)
-        out[0] = 1
-        out[1 : 1 + len(OUTPUTS)] = [math.log1p(counts[o]) for o in OUTPUTS]
-        out[-6:] = [len(strong) > 0, len(strong) > 1, math.log1p(len(stems)), min(10.0, sum(self.stems[s] for s in stems) / 10), math.log1p(words), math.log1p(len(text)) / 5 if stems else 0]
-        return out
+        found = [w for c in self.clauses(text.lower()) if (w := self.parsed(c)[0]) > 0]
+        total, length = sum(found), math.log1p(len(text)) / 5 if found else 0.0
+        return np.array([1, math.log1p(total), max(found, default=0.0), math.log1p(len(found)), length, math.log1p(1000 * total / (len(text) + DENSITY_AT))])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text or "") @ self.weights, -30, 30))))
 
 
 def fixed_weights() -> np.ndarray:
-    """Used where there is nothing to fit."""
-    w = np.zeros(FEATURES)
-    w[0] = -2.5
-    w[1 : 1 + len(OUTPUTS)] = [1.5, 3.0, -0.5, -0.3, 0.5, 1.0, -0.3, -0.2, 3.5, -0.5, -0.3]
-    w[-6:-2] = [1.0, 1.0, 0.3, 0.3]
-    return w
+    """Used where there is nothing to fit: acts as stated, then those of the logistic function."""
+    return np.array([*STATED.values(), -3.0, 0.7, 0.3, 0.6, 0.0, 0.9])
 
 
 def ratio(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
@@ -254,13 +273,13 @@ def fit(rows: list[tuple[str, int]]) -> tuple[dict[str, float], np.ndarray]:
     if not len(y) or y.min() == y.max():
         return stems, fixed_weights()
     g = Grammar(stems)
-    return stems, logistic(np.stack([g.features(t) for t, _ in rows]), y)
+    return stems, np.concatenate([list(STATED.values()), logistic(np.stack([g.features(t) for t, _ in rows]), y)])
 
 
 def model(docs: DataFrame, labels: DataFrame, train: Column | None = None, most: int = FIT_ROWS) -> tuple[dict[str, float], np.ndarray]:
     """Fits on rows of docs whose doc_id is labelled and in train; at most about `most` of them, chosen by a hash of the id."""
     labelled = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    labelled = labelled.where(train if train is not None else F.lit(True)).dropDuplicates(["doc_id"])
+    labelled = labelled.where(train if train is not None else F.lit(True)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labelled.count()
     if n > most:
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
@@ -277,7 +296,7 @@ def model(docs: DataFrame, labels: DataFrame, train: Column | None = None, most:
     got = {r.name: r.weight for r in common.lean(rows).repartition(1).mapInArrow(run, "name string, weight double").collect()}
     if not got:
         return {s: 3.0 for s in INSULTS}, fixed_weights()
-    return {k: v for k, v in got.items() if k[0] != "#"}, np.array([got[f"#{i}"] for i in range(FEATURES)])
+    return {k: v for k, v in got.items() if k[0] != "#"}, np.array([got[f"#{i}"] for i in range(len(ACTS) + FEATURES)])
 
 
 def scored(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray], column: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -129,21 +130,74 @@ def test_pages_of_the_tables(spark):
         assert got[r.page_id] == "\n\n".join(b for b in plain if b)
 
 
+def all_paths(machine, symbols, weights):
+    """Every path, step by step, without choosing."""
+    paths = [(machine.start, 0.0, ())]
+    for symbol in symbols:
+        paths = [(to, w + sum(weights[a] * n for a, n in acts), out + (put,)) for state, w, out in paths for to, put, acts in machine.step(state, symbol)]
+    return paths
+
+
+def read(symbols, weights=X.STATED):
+    return X.grammar().best([{"I": "I5", "i": "I2"}.get(s, s) for s in symbols] + ["$"], weights)
+
+
 def test_machine():
-    m = X.grammar()
-    for symbols, put in (("xIx", "I"), ("GxI", "IG"), ("NI", "nI"), ("NxxI", "nI"), ("NxxxI", "I"), ("RxI", "rI"), ("AVG", "v"), ("AxVG", "v"), ("VG", "x")):
-        assert put in m.best(tuple(symbols))[1], symbols
-    assert m.best("AVG")[1][2] == "T" and m.best("NAVG")[1][3] == "nT"
-    assert m.best(())[1] == ()
-    swap = X.Transducer({(0, "a"): [(0, "b", 1.0)]}) @ X.Transducer({(0, "b"): [(0, "c", 0.5)]}, final=[0])
-    assert swap.best("aab") == ((1.0 + 0.5) * 2 + 0.5, ("c", "c", "c"))
+    for symbols, put in (
+        ("xIx", "I"), ("GxI", "IG"), ("IxG", "IG"), ("xNI", "nI"), ("NxxIx", "nI"), ("NxxxI", "I"), ("RxI", "rI"), ("RGNI", "rnIG"), ("AVG", "T"), ("AxVxG", "T"), ("NAVG", "nT"),
+        ("AxxxxVG", "x"), ("VG", "x"), ("I", "x"), ("II", "I"), ("ix", "I"),
+    ):
+        assert put in read(symbols)[2], symbols
+    assert read("I")[0] == 0 and read("xN")[0] == 0 and read("")[0] == 0
+    assert "nI" not in read("xNII")[2] or read("xNII")[0] == max(w for _, w, _ in all_paths(X.grammar(), ["x", "N", "I5", "I5", "$"], X.STATED))
+    swap = X.Transducer({(0, "a"): [(0, "b", (("plain", 1),))]}) @ X.Transducer({(0, "b"): [(0, "c", (("odds", 2),)), (1, "d", ())], (1, "b"): []})
+    assert swap.best("aa", {"plain": 1.0, "odds": 0.25})[::2] == (3.0, ("c", "c")) and swap.best("aa", {"plain": 1.0, "odds": -1.0})[::2] == (0.0, ("c", "d"))
+
+
+def test_best_path_is_the_best_of_all_paths():
+    machine, rng = X.grammar(), random.Random(5)
+    for k in range(250):
+        symbols = [rng.choice(["I1", "I4", "I6", "A", "V", "G", "N", "R", "x", "x"]) for _ in range(rng.randrange(8))] + ["$"]
+        weights = X.STATED if k % 2 else {a: rng.uniform(-3, 3) for a in X.ACTS}
+        assert machine.best(symbols, weights)[0] == pytest.approx(max(w for _, w, _ in all_paths(machine, symbols, weights)))
+
+
+STEMS = {s: 6.0 for s in X.INSULTS}
 
 
 def test_clauses_decide():
-    g = X.Grammar({s: 3.0 for s in X.INSULTS})
-    plain, said, negated, clean = (g.score(t) for t in ("You are an idiot.", "He said the idiot left.", "You are not an idiot.", "A fine day. You are here."))
-    assert plain > said and plain > negated and plain > 0.3 > clean and g.score("I will kill you") > 0.3 > g.score("They kill time. You know")
+    g = X.Grammar(STEMS)
+    plain, said, negated, clean = (g.score(t) for t in ("You are an idiot.", "He said that you are an idiot.", "You are not an idiot.", "A fine day. You are here."))
+    assert plain > said > clean and plain > negated > clean and plain > 0.3 > clean and g.score("I will kill you") > 0.3 > g.score("They kill time. You know")
     assert g.score(None) == g.score("") == clean
+    for lone in ("idiot", "Idiot! Moron.", "stupid\nidiot"):  # words that are no clause
+        assert g.score(lone) == clean
+
+
+def test_weights_of_arcs_decide():
+    texts = ["You are an idiot.", "He said that you are an idiot.", "You are not an idiot", "I will kill you", "some trash here"]
+    scores = lambda weights: [X.Grammar(STEMS, np.concatenate([list(weights.values()), X.fixed_weights()[len(X.ACTS) :]])).score(t) for t in texts]
+    stated = scores(X.STATED)
+    assert len({*scores(dict.fromkeys(X.ACTS, 0.0))}) == 1
+    for act, moved in (("odds", [0, 1, 2, 4]), ("target", [0, 1, 2]), ("reported", [1]), ("negated", [2]), ("threat", [3])):
+        turned = scores(X.STATED | {act: X.STATED[act] * 1.5})
+        assert [i for i in range(5) if turned[i] != stated[i]] == moved, act
+
+
+@pytest.mark.parametrize("sf,recall,precision", [("sf0.1", 0.9, 0.95), ("sf0.01", 0.6, 0.9)])
+def test_held_out_recall_and_what_the_machine_is_for(sf, recall, precision):
+    """On held-out rows; without the machine's paths nothing is told apart."""
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '/root/testdata/{sf}/documents.parquet' JOIN '/root/testdata/{sf}/labels.parquet' USING (doc_id) ORDER BY ALL").fetchall()
+    out = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    stems, weights = X.fit([(t or "", y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2])
+    g = X.Grammar(stems, weights)
+    said = [(g.score(t) >= X.THRESHOLD, y) for t, y in out]
+    assert sum(p for p, y in said if y) >= recall * sum(y for _, y in out) and sum(y for p, y in said if p) >= precision * sum(p for p, _ in said)
+    g.machine = X.Transducer({})
+    g.memo.clear()
+    assert len({g.score(t) for t, _ in out}) == 1
 
 
 def test_fit_learns_stems():
@@ -171,6 +225,14 @@ def test_held_out_labels_do_not_matter(spark, documents):
     assert one[0] == two[0] and (one[1] == two[1]).all()
 
 
+def test_clashing_labels(spark):
+    """Of a doc_id's labels one of toxic decides, in any order."""
+    docs = spark.createDataFrame([(i, f"plain words {i}" if i % 2 else f"you are an idiot {i}") for i in range(40)], "doc_id long, text string")
+    rows = [(i, int(i % 2 == 0)) for i in range(40)] + [(i, 0) for i in range(0, 40, 2)]
+    one, two = (X.model(docs, spark.createDataFrame(r, "doc_id long, toxic int")) for r in (rows, rows[::-1]))
+    assert one[0] == two[0] and (one[1] == two[1]).all() and X.Grammar(*one).score("you are an idiot 7") > 0.5
+
+
 def test_scores_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (7, 0), (None, 1)], "doc_id long, toxic int")
     fitted = X.model(odd, labels)
