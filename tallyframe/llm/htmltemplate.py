@@ -3,15 +3,20 @@
 Every page is read as tags, each told apart by its path of open elements, and stretches of text. Over all
 pages of a host a token has an occurrence vector, its count on each page; tokens with equal vectors form an
 equivalence class. Vectors are compared by their number of pages and an order-free checksum, which partial
-sums give without gathering a host's pages. Classes found once a page on at least half of the pages are
-valid; nested by their paths they are the template, and what lies between their tokens are its slots:
+sums give without gathering a host's pages. A class is valid if its tokens are found once a page, on at least
+half of the pages, are LEAST_TOKENS or more and hold an element: what happens to be repeated, a stock line in
+some articles, has a vector of its own and is in no valid class. The class of the most pages is the template's
+root, and another is nested in it if all its tokens lie in one element of the template or of a class nested
+before. What lies between the template's tokens are its slots:
 
-- a slot whose text is itself a token of the template never varies, so it is not the page's own,
-- the deepest element of the template that holds nearly all text that varies is the main slot.
+- a text that is a token of the template never varies, so it is not the page's own,
+- the deepest element of the template that holds nearly all text that varies is the main slot, and what is in
+  it, with the page's first heading if that stands outside, is the article.
 
 Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments and the like by their
-names or attributes are never part of the article. Where a page marks its article up (article, main), that
-element is the region, and all in it that is left is kept, repeated or not. Hosts of one or two pages have no
+names or attributes are never part of the article. Marks of an article (article, main) check the result: on
+a page whose marked element holds other text than the main slot, the marked element is the region and all in
+it that is left is kept, repeated or not. Hosts of one or two pages, and pages without the main slot, have no
 template and rely on marks alone.
 
 Defined results: a null or empty html has an empty text; broken or cut-off markup is read as far as it goes;
@@ -24,7 +29,9 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +58,10 @@ NAMED = set(
     "pagination pager skip masthead topbar bottombar banner alert".split()
 )
 HEADS = set("header masthead".split())
+#: Of these, words that name other things too; inside a marked article they are left alone.
+LOOSE = set(
+    "related recommended recommendations share sharing social popup modal overlay toolbar login widget widgets pagination pager skip masthead topbar bottombar banner alert promo promos promotion".split()
+)
 ARTICLE_NAMES = {"articlebody", "article", "post", "entry", "story", "content", "main"}
 
 _TOKEN = re.compile(
@@ -85,7 +96,7 @@ def _judged(name: str, attrs: str, inside: bool) -> tuple[bool, int]:
     role, given = a.get("role", "").lower(), f"{a.get('class', '')} {a.get('id', '')}"
     words = {w.lower() for w in _WORD.findall(given)}
     hidden = "hidden" in a or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""))
-    if hidden or role in ROLES or name not in ("body", "html") and (words & NAMED or not inside and (words & HEADS or name == "header")):
+    if hidden or role in ROLES or name not in ("body", "html") and (words & (NAMED - LOOSE if inside else NAMED) or not inside and (words & HEADS or name == "header")):
         return True, 0
     if name in ("body", "html"):
         return False, 0
@@ -179,24 +190,41 @@ class Page:
         return f"{self.elements[t[1][-1]].path if t[1] else ''}#{' '.join(t[0].split())}"
 
 
+def _blocks(texts: list[tuple[str, tuple[int, ...], int]]) -> str:
+    blocks: dict[int, list[str]] = {}
+    for text, _, block in texts:
+        blocks.setdefault(block, []).append(text)
+    joined = (" ".join("".join(b).split()) for b in blocks.values())
+    return "\n\n".join(b for b in joined if b)
+
+
+def _slot(page: Page, own: list, main: str, constant: set[int] | frozenset[int]) -> list | None:
+    """What the main slot holds, without texts of the template, after the first heading of level one if the slot has none."""
+    slot = {e.order for e in page.elements if e.path == main}
+    inner = [t for t in own if not slot.isdisjoint(t[1])]
+    if not any(not t[0].isspace() for t in inner):
+        return None
+    heads = {e.order for e in page.elements if e.name == "h1"}
+    if all(heads.isdisjoint(t[1]) for t in inner):
+        first = next((i for t in own for i in t[1] if i in heads and not t[0].isspace()), None)
+        inner = [t for t in own if first is not None and first in t[1]] + inner
+    return [t for t in inner if t[0].isspace() or hashed(page.text_path(t)) not in constant]
+
+
 def extracted(source: str | None, main: str | None = None, constant: set[int] | frozenset[int] = frozenset()) -> str:
     """The article's blocks; main: path of the main slot, constant: hashes of texts of the template."""
     page = Page(source or "")
     own = page.own()
+    slot = _slot(page, own, main, constant) if main is not None else None
     marked = max((page.elements[i].article for t in own for i in t[1] if not t[0].isspace()), default=0)
-    if marked >= 2:
-        own = [t for t in own if any(page.elements[i].article == marked for i in t[1])]
-    else:
-        if main and (inner := [t for t in own if any(page.elements[i].path == main for i in t[1])]):
-            own = inner
-        elif marked:
-            own = [t for t in own if any(page.elements[i].article == 1 for i in t[1])]
-        own = [t for t in own if t[0].isspace() or hashed(page.text_path(t)) not in constant]
-    blocks: dict[int, list[str]] = {}
-    for text, _, block in own:
-        blocks.setdefault(block, []).append(text)
-    joined = (" ".join("".join(b).split()) for b in blocks.values())
-    return "\n\n".join(b for b in joined if b)
+    if slot is None:
+        if marked:
+            own = [t for t in own if any(page.elements[i].article == marked for i in t[1])]
+        return _blocks([t for t in own if t[0].isspace() or marked >= 2 or hashed(page.text_path(t)) not in constant])
+    text = _blocks(slot)
+    if marked >= 2 and (said := _blocks([t for t in own if any(page.elements[i].article == marked for i in t[1])])) != text:
+        return said
+    return text
 
 
 def hashed(token: str) -> int:
@@ -205,13 +233,13 @@ def hashed(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-TOKENS = "host string, token long, path string, depth int, count int, vector long, chars long"
+TOKENS = "host string, token long, path string, count int, vector long, chars long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per distinct token of a page: elements by their path, with the length of the text in them, and stretches of text, by # and the path above."""
     names = [x.split()[0] for x in TOKENS.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
     for part in common.slices(batches):
         rows = []
         for host, key, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
@@ -220,21 +248,21 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             under: dict[str, str] = {}
             for e in page.elements:
                 if not e.aside:
-                    found.setdefault((e.path, True), [e.path.count("/"), 0, 0])[1] += 1
+                    found.setdefault((e.path, True), [0, 0])[0] += 1
             for t in page.own():
                 if not t[0].isspace():
                     for path in {page.elements[i].path for i in t[1]}:
-                        found[path, True][2] += len(t[0])
-                    found.setdefault((page.text_path(t), False), [0, 0, len(t[0])])[1] += 1
+                        found[path, True][1] += len(t[0])
+                    found.setdefault((page.text_path(t), False), [0, len(t[0])])[0] += 1
                     under[page.text_path(t)] = "#" + (page.elements[t[1][-1]].path if t[1] else "")
-            for (path, element), (depth, count, chars) in found.items():
-                rows.append((host, hashed(path), path if element else under[path], depth, count, hashed(f"{key} {count}") >> 20, chars))
+            for (path, element), (count, chars) in found.items():
+                rows.append((host, hashed(path), path if element else under[path], count, hashed(f"{key} {count}") >> 20, chars))
         columns = zip(*rows) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-#: A template must be on this share of a host's pages, and on this many; texts that vary lie in the main slot to this share.
-SHARE, LEAST_PAGES, MAIN_SHARE = 0.5, 3, 0.8
+#: A class must be on this share of a host's pages, and on this many, and have so many tokens; texts that vary lie in the main slot to this share.
+SHARE, LEAST_PAGES, LEAST_TOKENS, MAIN_SHARE = 0.5, 3, 3, 0.8
 #: Templates of at most this many tokens in all are sent to every executor; beyond, the join is by host.
 MOST_SENT = 50_000
 
@@ -243,28 +271,46 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _inside(path: str, top: str) -> bool:
+    return path == top or path.startswith(f"{top}/") or top == ""
+
+
+def template(tokens: list[tuple[int, str, int, int, int]], least: int = LEAST_TOKENS) -> tuple[str | None, list[int]]:
+    """Main slot and constant texts from a host's tokens that are once a page on enough pages: (token, path, pages, vector, chars)."""
+    classes: dict[tuple[int, int], list] = {}
+    for t in tokens:
+        classes.setdefault((-t[2], t[3]), []).append(t)
+    valid = [(k, len(m), m) for k, m in classes.items() if len(m) >= least and any(not t[1].startswith("#") for t in m)]
+    elements: dict[str, int] = {}
+    texts: list[tuple[int, str, int]] = []
+    for _, _, members in sorted(valid, key=lambda c: (c[0][0], -c[1], c[0][1])):  # the most pages first, then the most tokens
+        paths = [t[1].lstrip("#") if t[1].startswith("#") else t[1].rpartition("/")[0] for t in members]
+        around = min(paths, key=len)  # the element that all are in, if they are in one
+        if elements and not (around in elements and all(_inside(p, around) for p in paths)):
+            continue
+        elements |= {t[1]: t[4] for t in members if not t[1].startswith("#")}
+        texts += [(t[0], t[1][1:], t[4]) for t in members if t[1].startswith("#")]
+    varies = {e: chars - sum(n for _, under, n in texts if _inside(under, e)) for e, chars in elements.items()}
+    most = max(varies.values(), default=0)
+    slots = [(e.count("/"), e) for e, n in varies.items() if most > 0 and n >= MAIN_SHARE * most]
+    return (max(slots)[1] if slots else None), sorted(t for t, _, _ in texts)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, main (path of the main slot), constant (hashes of the texts that the template holds)."""
     rows = common.lean(pages).select(host_of().alias("host"), F.xxhash64("page_id", "url").alias("key"), "html").mapInArrow(_tokens, TOKENS)
-    tokens = rows.groupBy("host", "token").agg(
-        F.max("path").alias("path"), F.max("depth").alias("depth"), F.count("*").alias("pages"), F.max("count").alias("most"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars")
-    )
+    tokens = rows.groupBy("host", "token").agg(F.max("path").alias("path"), F.count("*").alias("pages"), F.max("count").alias("most"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"))
     tokens = common.stored(tokens.where("pages > 1"), "html-tokens")
     n = common.stored(pages.groupBy(host_of().alias("host")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES), "html-hosts")
     n = common.small(n, n.count())  # so a large host's tokens are not dealt to one task
-    # classes by vector: once a page, on enough pages
-    valid = tokens.join(n, "host").where((F.col("most") == 1) & (F.col("pages") >= SHARE * F.col("n")))
-    classes = valid.groupBy("host", "pages", "vector").agg(F.collect_list(F.struct("path", "depth", "chars", "token")).alias("members"))
-    member = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
-    is_text = F.col("path").startswith("#")
-    texts = member.where(is_text).groupBy("host").agg(F.collect_list(F.struct(F.substring("path", 2, 1 << 20).alias("under"), "chars")).alias("texts"), F.array_sort(F.collect_set("token")).alias("constant"))
-    within = F.filter("texts", lambda t: (t["under"] == F.col("path")) | t["under"].startswith(F.concat("path", F.lit("/"))))
-    fixed = F.coalesce(F.aggregate(within, F.lit(0).cast("long"), lambda n, t: n + t["chars"]), F.lit(0))
-    slots = member.where(~is_text).join(texts, "host", "left").select("host", "depth", "path", (F.col("chars") - fixed).alias("varies"))
-    whole = slots.groupBy("host").agg(F.max("varies").alias("all"))
-    slot = slots.join(whole, "host").where((F.col("all") > 0) & (F.col("varies") >= MAIN_SHARE * F.col("all")))
-    slot = slot.groupBy("host").agg(F.max(F.struct("depth", "path")).alias("s")).select("host", F.col("s.path").alias("main"))
-    return whole.select("host").join(texts.select("host", "constant"), "host", "left").join(slot, "host", "left")
+    # at most twice the tokens that a page of the host has on average
+    valid = tokens.join(n, "host").where((F.col("most") == 1) & (F.col("pages") >= SHARE * F.col("n"))).select("host", "token", "path", "pages", "vector", "chars")
+
+    def run(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
+        main, constant = template(list(group[["token", "path", "pages", "vector", "chars"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"host": [key[0]], "main": [main], "constant": [constant]})
+
+    return valid.groupBy("host").applyInPandas(run, "host string, main string, constant array<long>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

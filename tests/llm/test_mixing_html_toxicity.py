@@ -110,6 +110,110 @@ def test_templates_find_the_slot(spark):
     assert got[99][0].startswith("Welcome to us\n\nStory x") and got[100] == ("", 0) and got[101] == ("", 0)
 
 
+def site(rng, n):
+    """Pages without marks: (html, blocks of the article). A stock line, a box and most of a footer are on some pages only."""
+    words = [f"w{i}" for i in range(500)]
+    out = []
+    for i in range(n):
+        title, paragraphs = f"Title {i} {rng.choice(words)}", [" ".join(rng.choices(words, k=rng.randrange(8, 40))) + "." for _ in range(rng.randrange(2, 6))]
+        if rng.random() < 0.7:
+            paragraphs.insert(rng.randrange(len(paragraphs) + 1), "A stock line that many articles hold.")
+        box = "<div class=box><h4>More of it</h4><div><span>Read on</span><p>All our stories</p></div></div>" if rng.random() < 0.7 else ""
+        low = "<div class=low><p>All rights held</p><i>by us</i></div>" if i % 4 else ""
+        inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+        html = f"<html><head><title>{title}</title></head><body class=b><div class=top><b>Welcome</b><i>to us</i></div><div class=wrap><h1>{title}</h1><div class=text>{inner}{box}</div></div>{low}</body></html>"
+        out.append((html, [title, *paragraphs]))
+    return out
+
+
+def deduced(pages, least=3):
+    """Texts of a host's pages by the same rules, with whole occurrence vectors, from the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.stack, self.elements, self.texts = [], [], []
+            self.feed(html)
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(f"{tag}[{attrs}]" if attrs else tag)
+            self.elements.append(tuple(self.stack))
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.texts.append((tuple(self.stack), data))
+
+    read = [Reader(h) for h in pages]
+    read = [(r.elements, [t for t in r.texts if "title" not in t[0]]) for r in read]
+    tokens = {t for elements, texts in read for t in (*elements, *texts) if t[-1] != "title"}
+    vectors = {t: tuple(e.count(t) + x.count(t) for e, x in read) for t in tokens}
+    classes = defaultdict(set)
+    for t, v in vectors.items():
+        if max(v) == 1 and sum(v) >= len(pages) / 2:
+            classes[v].add(t)
+    is_text = lambda t: isinstance(t[0], tuple)
+    above = lambda t: t[0] if is_text(t) else t[:-1]
+    accepted: set = set()
+    for v, members in sorted(classes.items(), key=lambda c: (-sum(c[0]), -len(c[1]))):
+        if len(members) < least or least > 1 and all(map(is_text, members)):
+            continue
+        around = min(map(above, members), key=len)
+        if least == 1 or not accepted or around in accepted and all(above(t)[: len(around)] == around for t in members):
+            accepted |= members
+    constant = {t for t in accepted if is_text(t)}
+    own = {e: sum(len(d) for _, texts in read for p, d in texts if p[: len(e)] == e and (p, d) not in constant) for e in accepted - constant}
+    main = max((len(e), e) for e, n in own.items() if n >= 0.8 * max(own.values()))[1]
+    out = []
+    for _, texts in read:
+        inside = [t for t in texts if t[0][: len(main)] == main]
+        if not any("h1" in t[0] for t in inside):
+            inside = [t for t in texts if "h1" in t[0]][:1] + inside
+        out.append("\n\n".join(d for p, d in inside if (p, d) not in constant))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_templates_against_whole_vectors(spark, monkeypatch, seed):
+    """Unmarked pages of two hosts: the planted blocks, and those that plain loops deduce. Without classes, texts that recur are lost."""
+    rng = random.Random(seed)
+    sites = {"one.example": site(rng, 9), "two.example": site(rng, 14)}
+    rows = [(k, f"http://{host}/{k}", html) for host, pages in sites.items() for k, (html, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((f"http://{host}/{k}", "\n\n".join(blocks)) for host, pages in sites.items() for k, (_, blocks) in enumerate(pages))
+    assert sorted((r.url, r.text) for r in H.main_text(df).collect()) == want
+    assert sorted((f"http://{host}/{k}", t) for host, pages in sites.items() for k, t in enumerate(deduced([h for h, _ in pages]))) == want
+    if not seed:
+        tokens = [(1, "/b/div", 9, 1, 500), (2, "/b", 9, 1, 900), (3, "#/b", 9, 1, 20), (4, "#/b/div", 6, 7, 80)]
+        assert H.template(tokens) == ("/b", [3]) and H.template(tokens, 1)[1] == [3] and H.template(tokens[:1] + tokens[1:3] + [(4, "/b/div/i", 6, 7, 0), (5, "#/b/div", 6, 7, 9), (6, "#/b/div/i", 6, 7, 9)])[1] == [3, 5, 6]
+
+
+def test_without_templates_or_classes_the_result_is_another():
+    """An ablation: no template; tokens by their frequency alone instead of nested classes."""
+    pages = site(random.Random(7), 12)
+    want = ["\n\n".join(b) for _, b in pages]
+    assert deduced([h for h, _ in pages]) == want and deduced([h for h, _ in pages], least=1) != want
+    assert all(H.extracted(h) != w for (h, _), w in zip(pages, want))
+
+
+def test_marked_pages_come_through_their_slot(spark):
+    """Over the table, with the marks taken out of the pages: the same texts, from the template alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = pages.groupBy(H.host_of().alias("host")).count().where("count >= 4")
+    some = pages.join(hosts, H.host_of() == F.col("host")).select("page_id", "url", "html")
+    bare = some.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1section>"))
+    one, two = ({r.page_id: r.text for r in H.main_text(d).collect()} for d in (some, bare))
+    same = sum(one[i] == two[i] for i in one)
+    assert len(one) > 50 and same >= 0.95 * len(one), (same, len(one))
+
+
+def test_words_that_name_other_things_stay_in_articles():
+    inner = "<article><p class='market-share'>One</p><div class=alert><p>Two</p></div><p class='related work'>Three</p><div class=advert>Buy</div><div class=comments>So</div></article><div class=share>Tell</div>"
+    assert H.extracted(PAGE % inner) == "One\n\nTwo\n\nThree"
+
+
 def test_equal_pages_keep_marked_text(spark):
     rows = [(i, "http://h/x", PAGE % "<article><p>Same text &amp; more</p></article>") for i in range(5)]
     df = spark.createDataFrame([(*r, "m") for r in rows], "page_id long, url string, html string, main string")
