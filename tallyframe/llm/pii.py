@@ -1,13 +1,15 @@
 """Surrogate generation: personal data replaced by keyed values of the same type and format.
 
-An entity's surrogate is a keyed permutation of the values of its own shape. A value is read as a number in
-mixed radix (digits stay digits, vowels vowels, consonants consonants of the same script, an octet keeps its
-number of digits, a card its brand digit and the validity of its check digit) and mapped by a cycle: the
-inverse of a keyed Feistel network, one step on, and the network again. That is one to one, never the value
-itself, and the same wherever the entity occurs, so distinct entities stay distinct and one entity stays one,
-in any number of documents, without a table of what has been seen. `collisions` checks it on a corpus. Case
-is taken off before and put on after, separators stay, and a name keeps its last letter, which in the
-languages covered carries the gender.
+An entity's value is brought to one form first (digits of a phone or card number, an IBAN without blanks,
+lower case, the eight groups of an address), so that it is the same however it is written. Its surrogate is a
+keyed permutation of the values of its own shape: a value is read as a number in mixed radix (digits stay
+digits, vowels vowels, consonants consonants of the same script, an octet keeps its number of digits, a card
+its brand digit and the validity of its check digit, an IBAN its country and that of its check digits, a phone
+number its country code) and mapped by a cycle: the inverse of a keyed Feistel network, one step on, and the
+network again. That is one to one, never the value itself, and the same wherever the entity occurs, so
+distinct entities stay distinct and one entity stays one, in any number of documents, without a table of what
+has been seen. The format is put back after: separators, case, groups and leading zeros. A name's last letter
+stays among endings of its gender, frequent consonants stay frequent. `checked` holds a corpus against it.
 
 Defined results: a null text stays null with no entities; an empty one stays empty; texts without entities
 come back unchanged; all other columns pass through (`text` is replaced, n_entities and entities are new and
@@ -31,7 +33,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from tallyframe.llm import common
 
 KEY = b"tallyframe surrogate key"
-ENTITY = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("original", StringType()), StructField("surrogate", StringType())])
+#: original and surrogate as written, value and stands_in without format.
+NAMES = ("kind", "start", "original", "surrogate", "value", "stands_in")
+ENTITY = StructType([StructField(n, IntegerType() if n == "start" else StringType()) for n in NAMES])
 
 # Titles before a name, by gender, and phrases before one's own name.
 TITLES = {
@@ -44,7 +48,7 @@ PHRASES = ("my name is", "mein Name ist", "ich heiße", "je m'appelle", "me llam
 _NAME = r"[^\W\d_][\w'’-]*"
 _TITLED = re.compile(rf"\b(?:(?P<f>{'|'.join(TITLES['f'])})|(?P<m>{'|'.join(TITLES['m'])})|(?P<x>{'|'.join(TITLES['x'])}))\b\.? (?P<name>{_NAME}(?: {_NAME})?)")
 _PHRASED = re.compile(rf"(?i:{'|'.join(map(re.escape, PHRASES))})\s+(?P<name>{_NAME}(?: {_NAME})?)")
-_LOCAL, _DOMAIN = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]*$"), re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}")
+_LOCAL, _DOMAIN = frozenset("_.!#$%&'*+/=?^`{|}~-"), re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}")
 _SECRET = re.compile(
     r"""(?i)\b(?:[\w-]*(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key))["']?\s*[:=]\s*(?P<q>["']?)(?P<a>[^\s"'<>]{6,})(?P=q)"""
     r"""|\b(?P<b>(?-i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}))"""
@@ -54,7 +58,8 @@ _SECRET = re.compile(
 _SECRET_HINTS = ("AKIA", "gh", "sk-", "xox", "eyJ")
 _FOLDED_HINTS = ("token", "secret", "passw", "pwd", "key")
 _TITLE_HINTS = tuple(t + mark for titles in TITLES.values() for t in titles for mark in (" ", ". "))
-_DIGIT, _HEX = re.compile(r"[0-9]"), re.compile(r"[0-9a-fA-F]{32}")
+_DIGIT, _HEX, _ALL_HEX = re.compile(r"[0-9]"), re.compile(r"[0-9a-fA-F]{32}"), re.compile("[0-9a-fA-F]+")
+_OWNS = re.compile("['’]s?$")
 _JOINED = re.compile(r"[0-9A-Fa-f][:-][0-9A-Fa-f]|::")
 _H, _V4 = "[0-9A-Fa-f]{1,4}", r"(?:\d{1,3}\.){3}\d{1,3}"
 _DIGITS = re.compile(
@@ -163,36 +168,166 @@ def _octets(text: str, key: bytes) -> str:
     return ".".join(str(v + a) for v, (a, _) in zip(got, kinds))
 
 
-def _card(text: str, key: bytes) -> str:
-    digits = [int(c) for c in text if c.isdigit()]
+def _card(value: str, key: bytes) -> str:
+    digits = [int(c) for c in value]
     body, off = digits[:-1], (digits[-1] - luhn(digits[:-1])) % 10
     body = body[:1] + _mixed(body[1:], [10] * (len(body) - 1), _keyed(key, f"card{len(digits)}{body[0]}"))
-    fresh = iter(body + [(luhn(body) + off) % 10])
-    return "".join(str(next(fresh)) if c.isdigit() else c for c in text)
+    return "".join(map(str, body + [(luhn(body) + off) % 10]))
+
+
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _phone(value: str, key: bytes) -> str:
+    """Country code and trunk zeros stay; in a number of ten digits a digit from 2 to 9 that begins a group of the North American plan stays one."""
+    head = 0
+    if value.startswith("+"):
+        head = 2 if value[1] in "17" else 3 if value[1:3] in TWO_DIGIT_CODES else 4
+    rest = value[head:]
+    held = frozenset(range(len(rest) - len(rest.lstrip("0"))))
+    firsts = {0, 3} if len(rest) == 10 and (not head or value[:2] == "+1") else set()
+    first = len(held)  # it stays other than zero
+    groups = ["" if i in held or i == first and i in firsts and c == "1" else "23456789" if i in firsts and c in "23456789" else "01" if i in firsts else "123456789" if i == first else "0123456789" for i, c in enumerate(rest)]
+    return value[:head] + _by_groups(rest, groups, key, f"phone{value[:head]}")
+
+
+def iban_check(country: str, account: str) -> int:
+    """The two check digits of an IBAN, by its remainder of 97."""
+    return 98 - int("".join(str(int(c, 36)) for c in f"{account}{country}00")) % 97
+
+
+def _iban(value: str, key: bytes) -> str:
+    country, check, account = value[:2], int(value[2:4]), value[4:]
+    off = (check - iban_check(country, account)) % 97
+    groups = ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in account]
+    account = _by_groups(account, groups, key, f"iban{country}")
+    return f"{country}{(iban_check(country, account) + off - 2) % 97 + 2:02d}{account}"
+
+
+def _ipv6_groups(text: str) -> list[int]:
+    whole = int(ipaddress.IPv6Address(text))
+    return [whole >> 16 * i & 0xFFFF for i in range(7, -1, -1)]
+
+
+def _ipv6(value: str, key: bytes) -> str:
+    """Groups keep their number of digits, so those of zero are zero; an IPv4 address in one stays one."""
+    if value.startswith("0:0:0:0:0:ffff:"):
+        inner = [int(g, 16) for g in value.split(":")[6:]]
+        octets = [int(o) for o in _octets(".".join(str(n >> s & 255) for n in inner for s in (8, 0)), key).split(".")]
+        return f"0:0:0:0:0:ffff:{octets[0] << 8 | octets[1]:x}:{octets[2] << 8 | octets[3]:x}"
+    sizes = [len(g) if g != "0" else 0 for g in value.split(":")]
+    low = [16 ** (n - 1) if n > 1 else 1 for n in sizes]
+    radix = [16**n - a if n else 1 for n, a in zip(sizes, low)]
+    got = _mixed([int(g, 16) - a if n else 0 for g, a, n in zip(value.split(":"), low, sizes)], radix, _keyed(key, f"ipv6{sizes}"))
+    return ":".join(f"{v + a:x}" if n else "0" for v, a, n in zip(got, low, sizes))
+
+
+def _by_groups(text: str, groups: list[str], key: bytes, kind: str) -> str:
+    """text with each character replaced within its group, where it has one."""
+    at = [i for i, g in enumerate(groups) if g]
+    if not at:
+        return text
+    shape = "".join(f"{len(g)}," if g else c for c, g in zip(text, groups))
+    got = _mixed([groups[i].index(text[i]) for i in at], [len(groups[i]) for i in at], _keyed(key, f"{kind}|{shape}"))
+    out = list(text)
+    for i, v in zip(at, got):
+        out[i] = groups[i][v]
+    return "".join(out)
+
+
+# Letters of names by how frequent they are, and what last letters stay among, by gender.
+NAME_CLASSES = ("aeiouy", "bdgklmnprstv", "cfhjqwxz")
+ENDINGS = {"f": ("a", "eiy"), "m": ("o", "ei", "au"), "x": ()}
+
+
+def _name(value: str, key: bytes, gender: str) -> str:
+    groups = [next((c for c in NAME_CLASSES if x in c), None) or _CLASS.get(x) or _block(x) or "" for x in value]
+    if len(value) > 2:
+        last = value[-1]
+        groups[-1] = "" if gender == "x" else next((e for e in ENDINGS[gender] if last in e), groups[-1])
+    return _by_groups(value, groups, key, "name")
+
+
+def canonical(kind: str, text: str) -> str:
+    """An entity's value, the same however it is written."""
+    if kind in ("email", "mac") or kind.startswith("name") or kind == "secret" and _ALL_HEX.fullmatch(text):
+        low = text.lower() if len(text.lower()) == len(text) else text
+        return re.sub("[:-]", "", low) if kind == "mac" else low
+    if kind in ("card", "ssn"):
+        return "".join(c for c in text if c.isdigit())
+    if kind == "phone":
+        return "+" * text.startswith("+") + "".join(c for c in text.replace("(0)", "") if c.isdigit())
+    if kind == "iban":
+        return "".join(text.split())
+    if kind == "ipv6":
+        return ":".join(f"{g:x}" for g in _ipv6_groups(text))
+    return text
 
 
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+def stand_in(kind: str, value: str, key: bytes = KEY) -> str:
+    """The value that stands for a canonical one."""
     if kind == "email":
-        local, _, domain = text.rpartition("@")
+        local, _, domain = value.rpartition("@")
         name, _, top = domain.rpartition(".")
         return f"{permuted(local, key, 'local')}@{permuted(name, key, 'domain')}.{top}"
-    if kind == "ipv4":
-        return _octets(text, key)
-    if kind == "card":
-        return _card(text, key)
-    if kind == "phone" and text.startswith("+"):
-        return permuted(text, key, kind, frozenset(range(re.match(r"\+\d{1,3}?(?=\D)|\+\d", text).end())))
-    if kind == "ipv6" and "." in text:
-        head, _, tail = text.rpartition(":")
-        return f"{permuted(head + ':', key, kind, alphabet='0123456789abcdef')}{_octets(tail, key)}"
-    if kind in ("mac", "ipv6") or kind == "secret" and re.fullmatch("[0-9a-fA-F]+", text):
-        return permuted(text, key, kind, alphabet="0123456789abcdef")
-    if kind == "iban":
-        return permuted(text, key, kind, frozenset(range(2)))
+    if kind == "mac" or kind == "secret" and _ALL_HEX.fullmatch(value):
+        return permuted(value, key, kind, alphabet="0123456789abcdef")
     if kind.startswith("name"):
-        return permuted(text, key, "name", frozenset([len(text) - 1]) if len(text) > 2 else frozenset())
-    return permuted(text, key, kind)
+        return _name(value, key, kind[-1])
+    known = {"ipv4": _octets, "card": _card, "phone": _phone, "iban": _iban, "ipv6": _ipv6}.get(kind)
+    return known(value, key) if known else permuted(value, key, kind)
+
+
+def _placed(text: str, fresh: str, wanted) -> str:
+    """Characters of fresh where text has wanted ones, the others as they are."""
+    it = iter(fresh)
+    return "".join(next(it) if wanted(c) else c for c in text)
+
+
+def _cased(text: str, fresh: str) -> str:
+    return "".join(f.upper() if was != was.lower() and len(f.upper()) == 1 else f for was, f in zip(text, fresh))
+
+
+def formatted(kind: str, text: str, fresh: str) -> str:
+    """A canonical value in the format of text."""
+    if kind == "phone":
+        parts = text.split("(0)")
+        it = iter(fresh.lstrip("+"))
+        return "(0)".join("".join(next(it) if c.isdigit() else c for c in p) for p in parts)
+    if kind in ("card", "ssn"):
+        return _placed(text, fresh, str.isdigit)
+    if kind == "iban":
+        return _placed(text, fresh, lambda c: not c.isspace())
+    if kind == "mac" or kind == "secret" and _ALL_HEX.fullmatch(text):
+        out = _placed(text, fresh, lambda c: c not in ":-")
+        return out.upper() if text != text.lower() and text == text.upper() else out
+    if kind == "ipv6":
+        return _ipv6_like(text, [int(g, 16) for g in fresh.split(":")])
+    return _cased(text, fresh) if len(text) == len(fresh) else fresh
+
+
+def _ipv6_like(text: str, groups: list[int]) -> str:
+    """Groups where text has them: zeros that it leaves out, leading zeros, case, and a tail in decimal octets."""
+    tail = ""
+    if "." in text:
+        text = text.rpartition(":")[0] + ":"
+        tail, groups = ".".join(str(n >> s & 255) for n in groups[6:] for s in (8, 0)), groups[:6]
+        text = text if text.endswith("::") else text[:-1]
+    before, gap, after = text.partition("::")
+    left = [p for p in before.split(":") if p]
+    right = [p for p in after.split(":") if p]
+    some = groups[: len(left)] + (groups[len(groups) - len(right) :] if right else [])
+    upper = text != text.lower() and text == text.upper()
+    shown = [f"{g:0{len(p)}x}" if p[0] == "0" else f"{g:x}" for p, g in zip(left + right, some)]
+    shown = [g.upper() for g in shown] if upper else shown
+    out = ":".join(shown[: len(left)]) + gap + ":".join(shown[len(left) :])
+    return f"{out}{'' if not tail or out.endswith('::') else ':'}{tail}"
+
+
+def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+    return formatted(kind, text, stand_in(kind, canonical(kind, text), key))
 
 
 def _is_ipv6(text: str) -> bool:
@@ -216,9 +351,12 @@ def detected(text: str) -> list[tuple[int, int, str]]:
 
     at = text.find("@")
     while at >= 0:
-        before, after = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if after and before.group().strip("."):
-            add(before.end() - len(before.group().lstrip(".'`*_~|#$%&!?{}=^/")), after.end(), "email")
+        start = at
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in _LOCAL):
+            start -= 1
+        after = _DOMAIN.match(text, at + 1)
+        if after and text[start:at].strip("."):
+            add(at - len(text[start:at].lstrip(".'`*_~|#$%&!?{}=^/")), after.end(), "email")
         at = text.find("@", at + 1)
     digits, low = _DIGIT.search(text), text.casefold()
     if any(h in text for h in _SECRET_HINTS) or any(h in low for h in _FOLDED_HINTS) or digits and _HEX.search(text):
@@ -237,6 +375,7 @@ def detected(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text) if hinted else ():
             gender = next((g for g in "fmx" if m.groupdict().get(g)), "x")
             for part in m.group("name").split(" "):
+                part = _OWNS.sub("", part)
                 if part[:1].isupper():
                     names.setdefault(part, f"name-{gender}")
                 else:
@@ -261,29 +400,44 @@ def surrogates(docs: DataFrame, column: str = "text", key: bytes = KEY) -> DataF
     """docs with entities in `column` replaced, n_entities and entities."""
     docs = docs.drop("n_entities", "entities")
     at = docs.columns.index(column)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
-    names = ("kind", "start", "original", "surrogate")
+    kind = pa.list_(pa.struct([(n, pa.int32() if n == "start" else pa.string()) for n in NAMES]))
+
+    def entity(kind: str, start: int, original: str, surrogate: str) -> dict:
+        value = canonical(kind, original)
+        return dict(zip(NAMES, (kind, start, original, surrogate, value, stand_in(kind, value, key))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
             done = [(None, []) if t is None else replaced(t, key) for t in part.column(at).to_pylist()]
             columns = part.columns
             columns[at] = pa.array([d[0] for d in done], pa.string())
-            columns += [pa.array([len(d[1]) for d in done], pa.int32()), pa.array([[dict(zip(names, e)) for e in d[1]] for d in done], kind)]
+            columns += [pa.array([len(d[1]) for d in done], pa.int32()), pa.array([[entity(*e) for e in d[1]] for d in done], kind)]
             yield pa.RecordBatch.from_arrays(columns, part.schema.names + ["n_entities", "entities"])
 
     added = [StructField("n_entities", IntegerType()), StructField("entities", ArrayType(ENTITY))]
     return common.lean(docs).mapInArrow(run, StructType(docs.schema.fields + added))
 
 
+class Collision(ValueError):
+    """Two entities have one surrogate, or one has two."""
+
+
 def collisions(done: DataFrame) -> DataFrame:
-    """Surrogates that stand for two entities of one kind, or entities with two surrogates: none, if all is well."""
-    one = done.select(F.explode("entities").alias("e")).select("e.kind", F.lower("e.original").alias("original"), F.lower("e.surrogate").alias("surrogate")).distinct()
+    """Values that stand for two of a kind, or that have two: none, if all is well. Values are compared without their format."""
+    one = done.select(F.explode("entities").alias("e")).select("e.kind", F.col("e.value").alias("original"), F.col("e.stands_in").alias("surrogate")).distinct()
     two = one.groupBy("kind", "surrogate").count().where("count > 1").select("kind", F.col("surrogate").alias("value"))
     return two.union(one.groupBy("kind", "original").count().where("count > 1").select("kind", "original"))
 
 
+def checked(done: DataFrame) -> DataFrame:
+    """done, written and held against collisions."""
+    done = common.stored(done, "pii-surrogates")
+    if not collisions(done).isEmpty():
+        raise Collision("surrogates are not one to one")
+    return done
+
+
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = surrogates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = checked(surrogates(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), "|")
     return done.select("doc_id", "text", "n_entities", kinds.alias("kinds"))

@@ -111,6 +111,83 @@ def test_surrogates_keep_type_and_format():
     assert pii.replaced(TEXT, b"another key")[0] != out and pii.replaced(TEXT)[0] == out
 
 
+def test_one_entity_however_it_is_written():
+    forms = {
+        "phone": (["555-123-4567", "555.123.4567", "(555) 123-4567"], ["+49 30 123456", "+49 (30) 123456", "+4930-12-34-56", "+49 (0)30 123456"]),
+        "iban": (["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],),
+        "card": (["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],),
+        "mac": (["aa:bb:cc:dd:ee:0f", "AA-BB-CC-DD-EE-0F"],),
+        "ipv6": (["2001:db8::1", "2001:0db8:0:0:0:0:0:1", "2001:0DB8::0001"], ["::ffff:192.168.10.7", "::ffff:c0a8:a07"]),
+        "email": (["A.B@Mail.org", "a.b@mail.org"],),
+        "name-f": (["Maria", "MARIA"],),
+    }
+    for kind, groups in forms.items():
+        for texts in groups:
+            out = [pii.surrogate(kind, t) for t in texts]
+            assert len({pii.canonical(kind, o) for o in out}) == 1, (kind, out)
+            for was, now in zip(texts, out):
+                assert now != was and (len(now) == len(was) or ":c0a8" in was)
+                assert [c for c in was if not c.isalnum()] == [c for c in now if not c.isalnum()] and (was == was.upper()) == (now == now.upper())
+    assert pii.surrogate("phone", "+4930123456").startswith("+49") and pii.surrogate("phone", "555-123-4567")[0] in "23456789"
+
+
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "DE00370400440532013000"])
+def test_ibans_stay_as_valid_as_they_were(iban):
+    number = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+    now = pii.surrogate("iban", iban)
+    assert now[:2] == iban[:2] and len(now) == len(iban) and (number(now) == 1) == (number(iban) == 1)
+    assert [c.isdigit() for c in now] == [c.isdigit() for c in iban]
+
+
+def test_names_match_their_gender():
+    assert pii.surrogate("name-f", "Maria") != pii.surrogate("name-m", "Maria") and pii.surrogate("name-f", "Maria")[-1] == "a" and pii.surrogate("name-m", "Marco")[-1] == "o"
+    assert pii.surrogate("name-f", "Keller") == pii.surrogate("name-m", "Keller")
+    text, _ = pii.replaced("Frau Anna Meier came. Meier's car and Anna’s dog.")
+    _, given, family = text.split(" came")[0].split(" ")
+    assert f"{family}'s car" in text and f"{given}’s dog" in text and "Meier" not in text
+
+
+@pytest.mark.parametrize("kind,alphabet,length", [("phone", "0123456789", 4), ("name-f", "abey", 4), ("name-m", "aoxn", 4), ("name-x", "aoxn", 4), ("ssn", "0123456789", 3), ("secret", "aB1", 5), ("mac", "0af", 5)])
+def test_every_value_of_a_shape_has_its_own(kind, alphabet, length):
+    """All values over an alphabet, by brute force: one to one, and never the value itself."""
+    from itertools import product
+
+    values = {"".join(v) for v in product(alphabet, repeat=length)}
+    out = {v: pii.stand_in(kind, pii.canonical(kind, v)) for v in values}
+    canon = {pii.canonical(kind, v) for v in values}
+    assert len(set(out.values())) == len(canon) and sum(a == b for a, b in out.items()) <= sum(len(set(v)) == 1 and v[0] == "0" for v in values)
+
+
+def test_replacement_by_plain_search(spark):
+    """Texts put together from known values: their places, everything between them, and one surrogate each."""
+    import random
+
+    rng = random.Random(11)
+    values = ["jo@mail1.example.com", "555-123-4567", "(555) 123-4567", "10.20.30.40", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "123-45-6789", "aa:bb:cc:dd:ee:ff", "2001:db8::7", "x" * 90 + "@mail2.example.com"]
+    docs = []
+    for i in range(60):
+        parts = [rng.choice([f" word{rng.randrange(9)}, ", " and then ", " (so) "]) if k % 2 == 0 else rng.choice(values) for k in range(2 * rng.randrange(1, 9) + 1)]
+        docs.append((i, "".join(parts), parts))
+    done = {r.doc_id: r for r in pii.checked(pii.surrogates(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"))).collect()}
+    seen: dict = {}
+    for i, _, parts in docs:
+        assert [e.original for e in done[i].entities] == parts[1::2]
+        rebuilt = [seen.setdefault(p, e.surrogate) for p, e in zip(parts[1::2], done[i].entities)]
+        assert done[i].text == "".join(x for pair in zip(parts[::2], [*rebuilt, ""]) for x in pair)
+    assert len(set(seen.values())) == len(values) and not set(seen) & set(seen.values())
+    assert "".join(filter(str.isdigit, seen["555-123-4567"])) == "".join(filter(str.isdigit, seen["(555) 123-4567"]))
+
+
+def test_collisions_are_found(spark):
+    row = lambda v, s: [("card", 0, v, s, v, s)]
+    done = spark.createDataFrame([(1, row("1", "2")), (2, row("3", "2")), (3, row("1", "2"))], f"doc_id int, entities array<{pii.ENTITY.simpleString()}>")
+    with pytest.raises(pii.Collision):
+        pii.checked(done)
+    with pytest.raises(pii.Collision):
+        pii.checked(spark.createDataFrame([(1, row("1", "2")), (2, row("1", "4"))], done.schema))
+    assert pii.checked(done.where("doc_id <> 2")).count() == 2
+
+
 def test_other_scripts_keep_their_letters():
     for name in ("Мария", "Ελένη", "Łukasz", "田中"):
         now = pii.surrogate("name-x", name)
