@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -105,6 +105,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+#: Of this worker: the operator that ran last, and what empties the memories of each.
+_RAN: list[str] = [""]
+_EMPTIES: dict[str, Callable[[], None]] = {}
+
+
+def begin(name: str, empty: Callable[[], None] | None = None) -> None:
+    """Called as an operator's task begins: where another ran before in this worker, its memory goes back to the system."""
+    if empty is not None:
+        _EMPTIES[name] = empty
+    if _RAN[0] not in ("", name):
+        if _RAN[0] in _EMPTIES:
+            _EMPTIES[_RAN[0]]()
+        release()
+    _RAN[0] = name
+
+
 def release() -> None:
     """Gives freed memory back to the system, where the C library can: workers are used again by later stages."""
     import ctypes

@@ -116,6 +116,7 @@ def signed(text: str | None, n: int) -> tuple:
 
 def _sign(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("minhash", _words.cache_clear)
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
         names = [x.split()[0] for x in SIGNED.split(", ")]
         for batch in common.slices(batches):
@@ -128,6 +129,7 @@ def _sign(n: int):
 
 def _confirm(n: int, percent: int, repeats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("minhash", _words.cache_clear)
         last: tuple = (None, None)
         for batch in common.slices(batches):
             a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
@@ -145,6 +147,7 @@ def _confirm(n: int, percent: int, repeats: bool):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("minhash", _words.cache_clear)
         for part in common.slices(batches):
             whole = [shingles(t.as_py(), n) for t in part.column(1)]
             sums = np.array([s.sum(dtype=np.uint64) for s in whole], np.uint64).view(np.int64)

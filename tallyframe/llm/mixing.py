@@ -120,7 +120,7 @@ def filled(units: list[int], left: int, later: int | None) -> list[int]:
 
 
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.groupby("perm", sort=True, as_index=False).agg({"skey": "first", "block": "first", "left": "first", "later": "first", "size": "sum"})
+    group = group.sort_values("perm", ignore_index=True)
     later = group["later"].iloc[0]
     chosen = filled([int(n) for n in group["size"]], int(group["left"].iloc[0]), None if pd.isna(later) else int(later))
     return group.iloc[chosen][["skey", "block", "perm", "size"]]
@@ -147,6 +147,7 @@ def _rest(sized: DataFrame, blocks: DataFrame, left: dict[str, int]) -> tuple[Da
         n_fits = fits.count()
         over = fits.where("not full").select("skey", "block", (F.col("left") - F.col("before")).alias("left"), "later")
         units = sized.select("skey", "block", "perm", "size").join(common.small(over, len(state)), ["skey", "block"]).where("size > 0")
+        units = units.groupBy("skey", "block", "left", "later", "perm").agg(F.sum("size").alias("size"))  # equal rows are one unit, however many
         chosen = common.stored(units.groupBy("skey").applyInPandas(_fill, "skey string, block long, perm long, size long"), "mix-filled")
         parts = fits.where("full and fit < words").select("skey", "block")
         used.append(fits.select("skey", "block", (~F.col("full") | (F.col("fit") < F.col("words"))).alias("part")))
@@ -237,4 +238,5 @@ def mix(docs: DataFrame, seed: int = 2) -> DataFrame:
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, _, draws, single = plan(common.table(spark, sf_dir, "documents"))
-    return with_draws(sized, draws, single).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source", F.size("draws").alias("times"))
+    shards = F.transform("draws", lambda d: d["shard"]).alias("shards")
+    return with_draws(sized, draws, single).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "source", F.size("draws").alias("times"), shards)

@@ -76,6 +76,7 @@ def curve_keys(texts: list[str]) -> np.ndarray:
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes by cell of the curve."""
+    common.begin("packing", encoder.cache_clear)
     for part in common.slices(batches):
         texts = part.column(0).to_pylist()
         cells = curve_keys(texts) >> DIMS * BITS - 16
@@ -130,6 +131,7 @@ def _packed(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.begin("packing", encoder.cache_clear)
         enc, layout = encoder(path), Layout(TaskContext.get().partitionId() << 40, size)
         end, kind = end_id.to_bytes(enc.width, "little"), f"<u{enc.width}"
         names = [x.split()[0] for x in PIECES.split(", ")]

@@ -407,6 +407,7 @@ def surrogates(docs: DataFrame, column: str = "text", key: bytes = KEY) -> DataF
         return dict(zip(NAMES, (kind, start, original, surrogate, value, stand_in(kind, value, key))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("pii", stand_in.cache_clear)
         for part in common.slices(batches):
             done = [(None, []) if t is None else replaced(t, key) for t in part.column(at).to_pylist()]
             columns = part.columns

@@ -286,6 +286,7 @@ def model(docs: DataFrame, labels: DataFrame, train: Column | None = None, most:
     rows = docs.select("doc_id", common.text_or_empty().alias("text")).join(labelled, "doc_id").select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("toxicity fit")
         held = sorted((d, t, int(y > 0)) for b in batches for d, t, y in zip(*(c.to_pylist() for c in b.columns)))
         stems, weights = fit([(t, y) for _, t, y in held])
         names = [*stems, *(f"#{i}" for i in range(len(weights)))]
@@ -305,6 +306,7 @@ def scored(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray], column:
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("toxicity")
         g = Grammar(*fitted)
         for part in common.slices(batches):
             scores = pa.array([g.score(t.as_py()) for t in part.column(at)], pa.float64())
@@ -317,6 +319,7 @@ def score_table(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray]) ->
     """doc_id and score only: the texts go in and do not come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("toxicity")
         g = Grammar(*fitted)
         for part in common.slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.score(t.as_py()) for t in part.column(1)], pa.float64())], ["doc_id", "score"])
@@ -329,6 +332,7 @@ def kept(docs: DataFrame, fitted: tuple[dict[str, float], np.ndarray], cut: floa
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("toxicity")
         g = Grammar(*fitted)
         for part in common.slices(batches):
             yield part.filter(pa.array([g.score(t.as_py()) < cut for t in part.column(at)], pa.bool_()))

@@ -63,6 +63,23 @@ def test_mixture(documents):
     assert sorted(map(str, rows)) == sorted(map(str, draws(documents.repartition(7))))
 
 
+def test_shards_hold_the_quotas_of_the_tree(documents, monkeypatch):
+    """Block draws by source and shard, as the query's rows have them, are the splitting tree's."""
+    monkeypatch.setattr(M, "SHARD_WORDS", 5_000)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 4)
+    quotas, split = [], M.split
+    monkeypatch.setattr(M, "split", lambda counts, shards, seed: quotas.append(split(counts, shards, seed)) or quotas[-1])
+    sized, _, plan, single = M.plan(documents)
+    drawn = M.with_draws(sized, plan, single).select("skey", "block", "draws").collect()
+    blocks = {(r.skey, r.block, d.copy, d.shard) for r in drawn for d in r.draws}
+    assert len(blocks) == len({b[:3] for b in blocks})  # a draw of a block goes to one shard as a whole
+    (quota,) = quotas
+    keys, counts = sorted({r.skey for r in drawn}), Counter((b[0], b[3]) for b in blocks)
+    missing = [quota[s, i] - counts[k, s] for i, k in enumerate(keys) for s in range(len(quota))]
+    assert len(quota) > 3 and quota.shape[1] == len(keys)
+    assert min(missing) >= 0 and sum(missing) <= len(keys)  # a source's last block may turn out to have no row that fits
+
+
 def test_mix_gives_the_drawn_rows(documents, monkeypatch):
     monkeypatch.setattr(M, "SHARD_WORDS", 5_000)
     times = {r.doc_id: r.times for r in draws(documents)}
