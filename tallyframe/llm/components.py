@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
 Both steps keep the graph's components and replace edges by edges to smaller nodes, until every component is
-a star around its smallest node. A node's minimum is aggregated before the shuffle and joined back, so a node
-with very many edges is neither gathered in one task nor expanded into pairs. Each round is written to the
-shared folder; the number of rounds is logarithmic in a component's diameter.
+a star around its smallest node. A node's minimum is aggregated before the shuffle, written, and joined back,
+so that both sides of the join are dealt anew and the edges of a node that has very many of them can be divided
+among tasks; they are not expanded into pairs. Each round is written to the shared folder; the number of rounds
+is logarithmic in a component's diameter.
 """
 
 from __future__ import annotations
@@ -14,10 +15,17 @@ from pyspark.sql import functions as F
 from tallyframe.llm import common
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """edges (a, b): every neighbour above a node is linked to the node's smallest neighbour (or itself)."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select("b", "a"))
+
+
+def minima(both: DataFrame) -> DataFrame:
+    """Of every node the smallest neighbour, or itself."""
+    return both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+
+
+def large_star(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges both ways: every neighbour above a node is linked to the node's smallest neighbour (or itself)."""
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
@@ -35,8 +43,10 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     e, path = _kept(e, label)
     was = e.agg(state).first()[0]
     while was[0]:
-        fresh, at = _kept(small_star(large_star(e)), label)
-        common.remove(e.sparkSession, path)
+        least, beside = _kept(minima(both_ways(e)), label)
+        fresh, at = _kept(small_star(large_star(both_ways(e), least)), label)
+        for gone in (path, beside):
+            common.remove(e.sparkSession, gone)
         e, path, now = fresh, at, fresh.agg(state).first()[0]
         if now == was:
             break
