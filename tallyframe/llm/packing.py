@@ -132,7 +132,7 @@ def _packed(path: str, end_id: int, size: int):
         from pyspark import TaskContext
 
         common.begin("packing", encoder.cache_clear)
-        enc, layout = encoder(path), Layout(TaskContext.get().partitionId() << 40, size)
+        enc, layout = encoder(path, 250_000), Layout(TaskContext.get().partitionId() << 40, size)
         end, kind = end_id.to_bytes(enc.width, "little"), f"<u{enc.width}"
         names = [x.split()[0] for x in PIECES.split(", ")]
 

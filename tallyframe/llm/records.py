@@ -71,7 +71,7 @@ def unframe(data, at: int) -> tuple[int | None, np.ndarray, int]:
 
 def _framed(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, 800_000)
+        enc = encoder(path, 500_000)
         end = end_id.to_bytes(enc.width, "little")
         for batch in batches:
             out, held = [], 0

@@ -85,7 +85,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     names = [x.split()[0] for x in SPANS.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-    for part in common.slices(batches, 500):
+    common.begin("spans")
+    for part in common.slices(batches, 100):
         rows = []
         for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
             if not (text := text.as_py()):
