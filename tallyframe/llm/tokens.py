@@ -24,6 +24,10 @@ _NOT_LATIN = re.compile("[^\x00-\u012F\u0131-\u024F]")
 _OTHER_SPACE = re.compile(r"[^\S \n]|<\|")
 
 
+#: Pieces encoded by one call.
+AT_ONCE = 4096
+
+
 class Whole(Exception):
     """The text must be encoded in one call."""
 
@@ -64,9 +68,11 @@ class Encoder:
         if any("<|" in p for p in fresh) or self.strict and _OTHER_SPACE.search("".join(fresh)):
             raise Whole
         kind = "H" if self.width == 2 else "I"
-        for piece, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[piece] = array(kind, got.ids).tobytes()
-            self.held += len(piece)
+        for at in range(0, len(fresh), AT_ONCE):  # the library's results are large
+            some = fresh[at : at + AT_ONCE]
+            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[piece] = array(kind, got.ids).tobytes()
+                self.held += len(piece)
 
     def encode(self, text: str) -> bytes:
         if self.pattern is None:
