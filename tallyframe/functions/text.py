@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space and marks that do not count in comparisons, and decoding damage.
-IGNORED = r"[\s，。、,.：:；;（）()“”\"'`·]"
+IGNORED = " \t\n\x0b\f\r，。、,.：:；;（）()“”\"'`·"
 DAMAGE = "(?:Ã.|Â.|â.|ï¿½|锟斤拷)"
 #: Fixed value: what stands between tokens.
 BETWEEN_TOKENS = r"[^a-z0-9一-鿿]+"
@@ -24,7 +24,7 @@ def hex_color(c: Column, default: str) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, IGNORED, ""))
+    return F.lower(F.translate(c, IGNORED, ""))
 
 
 def tokens(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as T
+from tallyframe.sources import scratch
 
 # Identifier prefixes and labels by category.
 PREFIXES = {
@@ -41,6 +42,7 @@ def unique_items(raw: DataFrame, category: str, key: str, size: str, ordinal: st
     number in the category and an identifier. Only partial sums of a group are dealt out, so a group may be of any size."""
     best = F.max_by(F.col(ordinal), F.struct(F.col(size), -F.col(ordinal)))
     groups = raw.groupBy(category, key).agg(best.alias(f"rep_{ordinal}"), F.count("*").alias("occurrences"))
+    groups = scratch.stored(groups, "catalog-groups")  # numbering uses them twice, and the records would be read again
     return numbered(groups, category, key).withColumn("item_id", T.sequence_id(F.col(category), F.col("number"), PREFIXES))
 
 
@@ -56,8 +58,9 @@ def style_signature(width: Column, height: Column, rotation: Column, *rest: Colu
     return F.sha1(F.to_json(F.struct(ratio.alias("ratio_bucket"), turn.alias("rotation_bucket"), *rest)))
 
 
-def counts(items: DataFrame, category: str) -> DataFrame:
-    return items.groupBy(category).agg(F.count("*").alias("uniques"))
+def counts(raw: DataFrame, category: str, key: str, source: str) -> DataFrame:
+    """Distinct keys, records and sources of a category, from one pass over the records."""
+    return raw.groupBy(category).agg(F.count_distinct(key).alias("uniques"), F.count("*").alias("raw_records"), F.count_distinct(source).alias("sources"))
 
 
 def upsert(prior: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

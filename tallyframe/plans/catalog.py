@@ -34,8 +34,7 @@ def catalog_sources(spark, d):
 @query("catalog_counts", UNIQUE + """ SELECT category, count(*) AS uniques, (SELECT count(*) FROM inventory v WHERE v.category = items.category) AS raw_records,
 (SELECT count(DISTINCT source) FROM inventory v WHERE v.category = items.category) AS sources FROM items GROUP BY category""")
 def catalog_counts(spark, d):
-    raw = inventory(spark, d).groupBy("category").agg(F.count("*").alias("raw_records"), F.count_distinct("source").alias("sources"))
-    return C.counts(items(spark, d), "category").join(raw, "category").orderBy("category")
+    return C.counts(inventory(spark, d), "category", "key", "source").orderBy("category")
 
 
 @query("listed_slide_count", "SELECT count(DISTINCT (lang, source)) AS slides FROM documents WHERE lang IN ('en', 'de')")

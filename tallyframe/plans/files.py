@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyframe.operators import catalog as C
 from tallyframe.plans.registry import query, table
 from tallyframe.sources import files as S
+from tallyframe.sources import scratch
 
 
 def _folder(spark) -> str:
-    """In the shared folder, if one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='files-')}/f"
+    return scratch.folder(spark, "files")
 
 
 @query("event_log_round_trip", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -70,49 +69,43 @@ def _stream(spark, d):
     return E, E.read_events(spark, d, "events.parquet", table(spark, d, "events").schema)
 
 
-def _checkpoint(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
+HOURS = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL"
 
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stream-")
 
-
-@query("stream_tumbling")
+@query("stream_tumbling", HOURS)
 def stream_tumbling(spark, d):
     """Hourly counts by type, as a stream that is read to its end."""
-    import uuid
-
     E, s = _stream(spark, d)
-    out = E.drained(E.tumbling(s), f"tumbling_{uuid.uuid4().hex}", _checkpoint(spark), "complete")
-    return out.select(F.col("window.start").alias("hour"), "event_type", "n")
+    return E.drained(E.tumbling(s), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE AS goes_on FROM events),
+s AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS begins, max(ts) + INTERVAL 30 MINUTE AS ends, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(spark, d):
-    import uuid
-
+    """Sessions that are over by the watermark, an hour behind the last event."""
     E, s = _stream(spark, d)
-    out = E.drained(E.sessions(s), f"sessions_{uuid.uuid4().hex}", _checkpoint(spark))
-    return out.select("user_id", F.col("session_window.start").alias("begins"), F.col("session_window.end").alias("ends"), "n", F.round("total", 4).alias("total"))
+    begins, ends = (F.col(f"session_window.{c}").cast("timestamp_ntz") for c in ("start", "end"))
+    return E.drained(E.sessions(s)).select("user_id", begins.alias("begins"), ends.alias("ends"), "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_latest")
+@query("stream_latest", "SELECT user_id, e.ts AS ts, e.event_id AS event_id, e.event_type AS event_type, events FROM (SELECT user_id, arg_max({'ts': ts, 'event_id': event_id, 'event_type': event_type}, (ts, event_id)) AS e, count(*) AS events FROM events GROUP BY user_id)")
 def stream_latest(spark, d):
     """Each user's current state by a stateful operator; the last update of each counts."""
-    import uuid
-
     E, s = _stream(spark, d)
-    name, provider = f"latest_{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    provider = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = E.drained(E.latest_state(s), name, _checkpoint(spark), "update")
+        out = E.drained(E.latest_state(s), "update")
     finally:
         spark.conf.set(provider, was)
-    return out.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type", "events"), "events").alias("s")).select("user_id", "s.*")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "event_type", "events"), "events").alias("s")).select("user_id", "s.*")
+    return last.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("batch_tumbling", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("batch_tumbling", HOURS)
 def batch_tumbling(spark, d):
     e = table(spark, d, "events")
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"))

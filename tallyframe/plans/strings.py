@@ -47,14 +47,16 @@ def squeezed_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.squeezed(F.col("text"))).alias("digest"))
 
 
-DAMAGED = """damaged AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Ã¼Â©' || substr(text, 1, 12) WHEN doc_id % 10 = 1 THEN chr(65533) || text ELSE text END AS t FROM documents)"""
+#: Every tenth text behind pairs of damage, some of them enough for its length and some not.
+DAMAGED = """damaged AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN repeat('Ã¼Â©', CAST(1 + length(text) // (10 + doc_id // 10 % 30) AS INTEGER)) || text WHEN doc_id % 10 = 1 THEN chr(65533) || text ELSE text END AS t FROM documents)"""
 HITS = "CAST(len(regexp_extract_all(t, 'Ã.|Â.|â.|ï¿½|锟斤拷')) AS INTEGER)"
 CORRUPT = f"t <> '' AND (contains(t, chr(65533)) OR {HITS} >= greatest(2, ceil(length(t) * 0.08)))"
 
 
 def damaged(spark, d):
     k = F.col("doc_id") % 10
-    return table(spark, d, "documents").select("doc_id", F.when(k == 0, F.concat(F.lit("Ã¼Â©"), F.substring("text", 1, 12))).when(k == 1, F.concat(F.lit("�"), "text")).otherwise(F.col("text")).alias("t"))
+    pairs = F.repeat(F.lit("Ã¼Â©"), (1 + F.floor(F.length("text") / (10 + F.floor(F.col("doc_id") / 10) % 30))).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.when(k == 0, F.concat(pairs, "text")).when(k == 1, F.concat(F.lit("�"), "text")).otherwise(F.col("text")).alias("t"))
 
 
 @query("mojibake_filter", f"WITH {DAMAGED} SELECT doc_id, {HITS} AS hits, {CORRUPT} AS corrupt FROM damaged")

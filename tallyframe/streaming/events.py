@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tallyframe.sources import scratch
+
 
 def read_events(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """Event files as a stream: the Parquet file, or the files in the folder, of that name. ts becomes a timestamp, which a watermark needs."""
@@ -66,9 +68,21 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(Latest(), "user_id long, ts timestamp, event_id long, event_type string, events long", "Update", "none")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What a stream gives once it has read all that is there, as a table in memory (for tests and reports)."""
-    spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once it has read all that is there, as a table in the shared folder.
+
+    Every batch is written under its number, so one that is run again replaces itself; of a complete output the last counts."""
+    spark, out = stream.sparkSession, scratch.folder(stream.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/log").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/table")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{out}/table")
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")

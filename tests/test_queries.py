@@ -62,3 +62,23 @@ def test_pushdown(spark):
 
 def test_top_k_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in registry.QUERIES["topk_hybrid"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalogue_reads_the_texts_once(spark):
+    """Groups are written before they are numbered; counts are one pass."""
+    plan = registry.QUERIES["catalog_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") + plan.count("FileScan parquet") >= 1 and plan.count("documents.parquet") <= 1 and "regexp_replace" not in plan
+    plan = registry.QUERIES["catalog_dedupe"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+
+
+def test_intermediate_files_need_a_shared_folder():
+    """Without one, a session of several processes is refused."""
+    from types import SimpleNamespace
+
+    from tallyframe.sources import scratch
+
+    none = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: none, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        scratch.shared(SimpleNamespace(conf=none, sparkContext=context))
