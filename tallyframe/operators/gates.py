@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions import text as T
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -152,6 +154,30 @@ def action_contract(box: Column, crop: Column, confidence: Column, parent: Colum
     return F.coalesce(confidence.between(0.80, 1.0) & (F.trim(parent) != "") & z.isNotNull() & encloses, F.lit(False))
 
 
+# Operations and kinds of repair actions by type, and what is never drawn natively.
+REPAIR_OPERATIONS = {"native": ("replace_existing_native", "add_missing_native"), "image": ("add_missing_asset",), "fixed": ("add_fixed_decoration",)}
+NATIVE_KINDS = ("rect", "roundRect", "ellipse", "line", "triangle", "trapezoid", "chevron", "rightArrow", "downArrow")
+NOT_NATIVE = r"(?i)\b(icon|logo|watermark|ribbon|flow|curved|wave|skyline|mountain|chart|illustration|progression arrows|multi[- ]stage)\b"
+
+
+def repair_allowed(type_: Column, operation: Column, kind: Column, semantic: Column, prompt: Column) -> Column:
+    """Whether a complete action is one of its type: a native shape by kind and meaning, an image or a fixed decoration by what it shows."""
+    known = F.lit(False)
+    for t, operations in REPAIR_OPERATIONS.items():
+        known = known | ((type_ == t) & operation.isin(*operations))
+    meant = F.when(F.coalesce(semantic, F.lit("")) == "", kind).otherwise(semantic)
+    shown = (T.squeezed(F.coalesce(semantic, F.lit(""))) != "") & (T.squeezed(F.coalesce(prompt, F.lit(""))) != "")
+    fits = F.when(type_ == "native", kind.isin(*NATIVE_KINDS) & ~meant.rlike(NOT_NATIVE)).otherwise(shown)
+    return F.coalesce(known & fits, F.lit(False))
+
+
+def repair_id(type_: Column, page: Column, ordinal: Column) -> Column:
+    """By the place among all actions of the type, those that are left out counted."""
+    word = F.when(type_ == "native", "native").when(type_ == "image", "img").otherwise("fixed")
+    two = lambda c: F.when(c < 100, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
+    return F.when(type_ == "native", F.concat(F.lit("repair-native-"), two(page), F.lit("-"), two(ordinal))).otherwise(F.concat(F.lit("repair-s"), two(page), F.lit("-"), word, F.lit("-"), two(ordinal)))
+
+
 def element_failures(cls: Column, box_ok: Column, z: Column, confidence: Column, impact: Column, status: Column, vetoes: Column, gallery: Column, kind: Column, payload: Column) -> Column:
     """All violations of the element contract (the first alone would stop a run; here each is named)."""
     semantic = cls != "decorative_fixed"

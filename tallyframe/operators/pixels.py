@@ -4,13 +4,24 @@ No image library is needed: decoding is left to the caller. Pixels are never exp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+# Thresholds of active pixels and of parts made of them.
+CHROMA, GRADIENT, GROWN, SHRUNK, LEAST_PART, MOST_OF_CANVAS, TEXT_ALONE, LEAST_ACTIVE = 26, 30, 5, 3, 18, 0.98, 0.86, 0.12
+# Cells, colour levels and weights by which pictures are compared; what is not visible counts LEAST_SEEN.
+CELLS, LEVELS, LEAST_SEEN, LUMA = 96, 12, 0.2, (0.299, 0.587, 0.114)
+SLOPES, ASPECT_SLOPE, WEIGHTS = (120.0, 14.0), 0.8, (0.45, 0.35, 0.20)
+# Fixed value: the share of a square that the visible part of a normalized picture fills.
+FILLED = 0.84
+
+
 def applied(images: DataFrame, id_: str, kernel: Callable[[np.ndarray], list[tuple]], out: str) -> DataFrame:
     """kernel(rgb of shape h, w, 3) gives rows; each comes out after the image's id."""
     fields = [f.split(" ", 1) for f in out.split(", ")]
@@ -38,14 +49,14 @@ def difference(a: np.ndarray, axis: int) -> np.ndarray:
     return np.abs(np.diff(a, axis=axis, prepend=first))
 
 
-def active_mask(rgb: np.ndarray, excluded: list[tuple[int, int, int, int]] = (), chroma: int = 26, gradient: int = 30) -> np.ndarray:
+def active_mask(rgb: np.ndarray, excluded: list[tuple[int, int, int, int]] = (), chroma: int = CHROMA, gradient: int = GRADIENT) -> np.ndarray:
     """Coloured pixels or edges outside of excluded boxes."""
-    x = rgb.astype(np.int16)
-    g = gray(rgb)
-    mask = (x.max(2) - x.min(2) >= chroma) | (np.maximum(difference(g, 1), difference(g, 0)) >= gradient)
+    light = gray(rgb)
+    edge = np.maximum(difference(light, 1), difference(light, 0)) >= gradient
+    free = np.ones(edge.shape, bool)
     for left, top, w, h in excluded:
-        mask[top : top + h, left : left + w] = False
-    return mask
+        free[top : top + h, left : left + w] = False
+    return free & (edge | (np.ptp(rgb.astype(np.int16), axis=2) >= chroma))
 
 
 def window(mask: np.ndarray, size: int, top: bool) -> np.ndarray:
@@ -92,15 +103,18 @@ def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple[int, int,
 def candidates(rgb: np.ndarray, texts: list[tuple[int, int, int, int]] = ()) -> list[tuple]:
     """(x, y, w, h, active share, text share, pixels) of parts that are large enough and not text alone."""
     active = active_mask(rgb, list(texts))
-    merged = window(window(active, 5, True), 3, False)
     height, width = active.shape
+    sums = np.zeros((height + 1, width + 1), np.int64)  # of all active pixels above and to the left
+    sums[1:, 1:] = active.cumsum(0).cumsum(1)
     out = []
-    for x, y, w, h, n in components(merged):
-        if w < 18 or h < 18 or n < 18 or (w > width * 0.98 and h > height * 0.98):
+    for x, y, w, h, n in components(window(window(active, GROWN, True), SHRUNK, False)):
+        whole = w > width * MOST_OF_CANVAS and h > height * MOST_OF_CANVAS
+        if min(w, h, n) < LEAST_PART or whole:
             continue
-        share = float(active[y : y + h, x : x + w].mean())
-        text = min(1.0, sum(max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b)) for a, b, c, d in texts) / max(1, w * h))
-        if not (text > 0.86 and share < 0.12):
+        share = float(sums[y + h, x + w] - sums[y, x + w] - sums[y + h, x] + sums[y, x]) / (w * h)
+        covered = sum(max(0, min(x + w, a + c) - max(x, a)) * max(0, min(y + h, b + d) - max(y, b)) for a, b, c, d in texts)
+        text = min(1.0, covered / (w * h))
+        if text <= TEXT_ALONE or share >= LEAST_ACTIVE:
             out.append((x, y, w, h, round(share, 4), round(text, 4), n))
     return sorted(out, key=lambda r: (r[1], r[0], -(r[2] * r[3])))
 
@@ -112,9 +126,14 @@ def dhash(gray_small: np.ndarray) -> str:
 
 
 def shrunk(a: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Means of h x w cells."""
-    ys, xs = np.arange(h + 1) * a.shape[0] // h, np.arange(w + 1) * a.shape[1] // w
-    return np.array([[a[ys[i] : max(ys[i] + 1, ys[i + 1]), xs[j] : max(xs[j] + 1, xs[j + 1])].mean((0, 1)) for j in range(w)] for i in range(h)])
+    """Means of h x w cells, from sums of all that is above and to the left."""
+    sums = np.zeros((a.shape[0] + 1, a.shape[1] + 1, *a.shape[2:]))
+    sums[1:, 1:] = a.astype(float).cumsum(0).cumsum(1)
+    y0, x0 = np.arange(h) * a.shape[0] // h, np.arange(w) * a.shape[1] // w
+    y1, x1 = np.maximum(y0 + 1, np.arange(1, h + 1) * a.shape[0] // h), np.maximum(x0 + 1, np.arange(1, w + 1) * a.shape[1] // w)
+    total = sums[np.ix_(y1, x1)] - sums[np.ix_(y0, x1)] - sums[np.ix_(y1, x0)] + sums[np.ix_(y0, x0)]
+    n = np.outer(y1 - y0, x1 - x0)
+    return total / n.reshape(h, w, *[1] * (a.ndim - 2))
 
 
 def color_signature(rgb: np.ndarray, alpha: np.ndarray | None = None) -> tuple[int, int, int, float]:
@@ -134,13 +153,52 @@ def alpha_box(alpha: np.ndarray) -> tuple[int, int, int, int]:
     return int(cols[0]), int(rows[0]), int(cols[-1] - cols[0] + 1), int(rows[-1] - rows[0] + 1)
 
 
-def features(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Normalized edge map of 96 x 96 cells, normalized 3 x 12 histogram, aspect ratio."""
-    small = shrunk(rgb.astype(float), 96, 96) / 255
-    g = small @ (0.299, 0.587, 0.114)
-    edge = difference(g, 1) + difference(g, 0)
-    hist = np.concatenate([np.histogram(small[..., c], 12, (0, 1), density=True)[0] for c in range(3)])
-    return edge / max(1e-6, edge.sum()), hist / max(1e-6, hist.sum()), rgb.shape[1] / max(1, rgb.shape[0])
+class Look(NamedTuple):
+    """What pictures are compared by: where edges are, how often colour levels occur, and the shape."""
+
+    edges: np.ndarray
+    colours: np.ndarray
+    aspect: float
+
+
+def squared(rgb: np.ndarray, alpha: np.ndarray, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The visible part scaled into the middle of a transparent square, by nearest pixels: colours and alpha."""
+    x, y, w, h = alpha_box(alpha)
+    most = int(size * FILLED)
+    scale = min(most / w, most / h)
+    nw, nh = max(1, round(w * scale)), max(1, round(h * scale))
+    ys, xs = y + np.minimum((np.arange(nh) / scale).astype(int), h - 1), x + np.minimum((np.arange(nw) / scale).astype(int), w - 1)
+    left, top = (size - nw) // 2, (size - nh) // 2
+    out, seen = np.zeros((size, size, 3), np.uint8), np.zeros((size, size), np.uint8)
+    out[top : top + nh, left : left + nw], seen[top : top + nh, left : left + nw] = rgb[np.ix_(ys, xs)], alpha[np.ix_(ys, xs)]
+    return out, seen
+
+
+def padding_faults(alpha: np.ndarray, least: int) -> list[str]:
+    """What is wrong with the margin around the visible part: nothing visible, less than `least` on a side, visible pixels on the border."""
+    if not alpha.any():
+        return ["empty"]
+    x, y, w, h = alpha_box(alpha)
+    faults = ["padding"] if min(x, y, alpha.shape[1] - x - w, alpha.shape[0] - y - h) < least else []
+    return faults + (["edge"] if touches_edge(alpha, 1) else [])
+
+
+def look(rgb: np.ndarray, alpha: np.ndarray | None = None) -> Look:
+    """Edges and colour levels as shares of all; edges count by how visible a cell is, and a little where it is not."""
+    cells = shrunk(rgb, CELLS, CELLS) / 255
+    seen = np.ones((CELLS, CELLS)) if alpha is None else shrunk(alpha, CELLS, CELLS) / 255
+    light, steps = cells @ LUMA, np.zeros((CELLS, CELLS))
+    steps[:, 1:] += np.abs(light[:, 1:] - light[:, :-1])
+    steps[1:] += np.abs(light[1:] - light[:-1])
+    steps *= np.maximum(seen, LEAST_SEEN)
+    level = np.minimum((cells * LEVELS).astype(int), LEVELS - 1) + LEVELS * np.arange(3)
+    return Look(steps / max(1e-6, steps.sum()), np.bincount(level.ravel(), minlength=3 * LEVELS) / level.size, rgb.shape[1] / max(1, rgb.shape[0]))
+
+
+def likeness(a: Look, b: Look) -> float:
+    near = [max(0.0, 1 - slope * float(np.abs(x - y).mean())) for slope, x, y in zip(SLOPES, a[:2], b[:2])]
+    shape = math.exp(-ASPECT_SLOPE * abs(math.log(max(1e-6, a.aspect / b.aspect))))
+    return sum(w * v for w, v in zip(WEIGHTS, (*near, shape)))
 
 
 def fill_class(ring: np.ndarray) -> str:

@@ -47,6 +47,15 @@ def page_documents(spark, d):
     return docs.select("page_id", F.length("html").cast("long").alias("n"))
 
 
+@query("document_round_trip", "SELECT n_nationkey, n_name FROM nation")
+def document_round_trip(spark, d):
+    """A document written twice: the second write takes the first one's place as a whole."""
+    at, rows = _folder(spark), table(spark, d, "nation").select("n_nationkey", "n_name")
+    S.write_document(rows.where("n_nationkey < 3"), at)
+    S.write_document(rows, at)
+    return S.json_lines(spark, at, rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+
+
 @query("file_scan")
 def file_scan(spark, d):
     """The tables' own files, by glob, without two of them."""

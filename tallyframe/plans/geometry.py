@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions import boxes as B
@@ -93,6 +94,33 @@ def repair_contracts(spark, d):
     return b.select("g", "i", G.action_contract(B.box().struct(), crop, 0.7 + F.col("part") % 40 / 100, parent, n).alias("complete"))
 
 
+TYPES, OPERATIONS, MEANINGS = ("native", "image", "fixed"), ("replace_existing_native", "add_missing_native", "add_missing_asset", "add_fixed_decoration"), ("bar", "Flow of steps", "  ", "wavelike line", "multi-stage plan")
+SHAPE_KINDS = ("rect", "ellipse", "star", "chevron")
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+ACTIONS = f"""{BOXES}, actions AS (
+  SELECT g, i, part, supp, {_LIST(TYPES)}[1 + part % 3] AS type, {_LIST(OPERATIONS)}[1 + supp % 4] AS operation, {_LIST(SHAPE_KINDS)}[1 + (part + n) % 4] AS kind,
+         {_LIST(MEANINGS)}[1 + (supp + n) % 5] AS semantic, CASE WHEN (part + supp) % 6 <> 0 THEN 'a picture' END AS prompt, (0.7::DOUBLE + (part % 40) / 100.0::DOUBLE) BETWEEN 0.80 AND 1.0 AS complete FROM boxes
+), placed AS (SELECT *, row_number() OVER (PARTITION BY g, type ORDER BY i) AS ordinal FROM actions)"""
+
+
+@query("repair_actions", f"""WITH {ACTIONS} SELECT g, CASE type WHEN 'native' THEN 'repair-native-' ELSE 'repair-s' END || CASE WHEN g % 90 < 10 THEN '0' ELSE '' END || g % 90 || CASE type WHEN 'native' THEN '-' WHEN 'image' THEN '-img-' ELSE '-fixed-' END
+|| CASE WHEN ordinal < 10 THEN '0' ELSE '' END || ordinal AS id, type, operation FROM placed WHERE complete AND CASE type
+WHEN 'native' THEN operation IN ('replace_existing_native', 'add_missing_native') AND kind IN ('rect', 'ellipse', 'chevron') AND NOT regexp_matches(lower(semantic), '\\b(flow|wave|multi[- ]stage)\\b')
+WHEN 'image' THEN operation = 'add_missing_asset' AND trim(semantic) <> '' AND prompt IS NOT NULL ELSE operation = 'add_fixed_decoration' AND trim(semantic) <> '' AND prompt IS NOT NULL END""")
+def repair_actions(spark, d):
+    """Actions of three types by their own rules, numbered before any is left out."""
+    b = boxes(spark, d)
+    part, supp, n = F.col("part"), F.col("supp"), F.col("n")
+    at = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    a = b.select(
+        "g", "i", at(TYPES, part % 3).alias("type"), at(OPERATIONS, supp % 4).alias("operation"), at(SHAPE_KINDS, (part + n) % 4).alias("kind"), at(MEANINGS, (supp + n) % 5).alias("semantic"),
+        F.when((part + supp) % 6 != 0, "a picture").alias("prompt"), G.action_contract(B.box().struct(), B.box().struct(), 0.7 + part % 40 / 100, F.lit("page"), n).alias("complete"),
+    )
+    a = a.withColumn("ordinal", F.row_number().over(W.partitionBy("g", "type").orderBy("i")))
+    kept = a.where(F.col("complete") & G.repair_allowed(*map(F.col, ("type", "operation", "kind", "semantic", "prompt"))))
+    return kept.select("g", G.repair_id(F.col("type"), F.col("g") % 90, F.col("ordinal")).alias("id"), "type", "operation")
+
+
 @query("boxes_in_crops", f"WITH {BOXES} SELECT g, i FROM boxes WHERE x >= 100 AND y >= 50 AND x + w <= 1300 AND y + h <= 700")
 def boxes_in_crops(spark, d):
     return boxes(spark, d).where(B.contains(B.Box(*map(F.lit, (100, 50, 1200, 650))), B.box())).select("g", "i")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,13 @@ def joined_by_stem(*sources: DataFrame) -> DataFrame:
 
 def uploads(spark: SparkSession, path: str, most_bytes: int = 25 << 20, most_files: int = 50) -> DataFrame:
     """Accepted uploads with their type and digest: PNG or JPEG by their first bytes, within the size; the first ones by path."""
-    df = files(spark, path).withColumn("mime", image_type(F.col("content"))).where(F.col("mime").isNotNull() & (F.col("length") <= most_bytes) & (F.col("length") > 0))
-    return df.withColumn("sha256", F.sha2("content", 256)).orderBy("path").limit(most_files)
+    return accepted(files(spark, path), most_bytes).orderBy("path").limit(most_files)
+
+
+def accepted(df: DataFrame, most_bytes: int = 25 << 20) -> DataFrame:
+    """Of rows with length and content those that are images of an allowed size, with mime and sha256."""
+    df = df.withColumn("mime", image_type(F.col("content"))).where(F.col("mime").isNotNull() & F.col("length").between(1, most_bytes))
+    return df.withColumn("sha256", F.sha2("content", 256))
 
 
 def image_type(content: Column) -> Column:
@@ -64,6 +70,21 @@ def jpeg_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
+def sized(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with width and height of its images by their headers: PNG in the JVM, JPEG in batches of their first 64 kB; null for others."""
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    inner = StructType([StructField("width", IntegerType()), StructField("height", IntegerType())])
+
+    @F.pandas_udf(inner)
+    def of_jpeg(heads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(jpeg_size(bytes(h)) if h is not None else None) or (None, None) for h in heads], columns=["width", "height"]).astype("Int32")
+
+    head = F.when(image_type(F.col(content)) == "image/jpeg", F.substring(content, 1, 1 << 16))
+    size = F.coalesce(png_size(F.col(content)), of_jpeg(head))
+    return df.withColumns({"width": size["width"], "height": size["height"]})
+
+
 def write_document(df: DataFrame, path: str) -> None:
     """Rows as JSON; the commit protocol shows all of it or nothing."""
     df.write.mode("overwrite").json(path)

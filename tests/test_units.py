@@ -159,3 +159,29 @@ def test_missing_commas():
     for bad in ('{"a": }', "", "{", '{"a" 1}'):
         with pytest.raises(ValueError):
             parsed(bad)
+
+
+def test_cell_means_and_looks_by_plain_loops():
+    rng = np.random.default_rng(4)
+    for shape in ((7, 9), (150, 40), (96, 96)):
+        rgb, alpha = rng.integers(0, 256, (*shape, 3), dtype=np.uint8), rng.integers(0, 2, shape, dtype=np.uint8) * 255
+        n = 12
+        ys, xs = ([k * s // n for k in range(n + 1)] for s in shape)
+        want = [[rgb[ys[i] : max(ys[i] + 1, ys[i + 1]), xs[j] : max(xs[j] + 1, xs[j + 1])].reshape(-1, 3).mean(0) for j in range(n)] for i in range(n)]
+        assert np.allclose(pixels.shrunk(rgb, n, n), want)
+        cells, seen = pixels.shrunk(rgb, 96, 96) / 255, pixels.shrunk(alpha, 96, 96) / 255
+        light = cells @ np.array([0.299, 0.587, 0.114])
+        edges = np.array([[(abs(light[i, j] - light[i, j - 1]) if j else 0) + (abs(light[i, j] - light[i - 1, j]) if i else 0) for j in range(96)] for i in range(96)]) * np.maximum(seen, 0.2)
+        colours = np.concatenate([np.histogram(cells[..., c], 12, (0, 1), density=True)[0] for c in range(3)])
+        got = pixels.look(rgb, alpha)
+        assert np.allclose(got.edges, edges / edges.sum()) and np.allclose(got.colours, colours / colours.sum()) and got.aspect == shape[1] / shape[0]
+        assert pixels.likeness(got, got) == 1.0 > pixels.likeness(got, pixels.look(255 - rgb[::-1]))
+
+
+def test_squares_and_padding():
+    alpha = np.zeros((20, 30), np.uint8)
+    alpha[5:9, 10:20] = 255
+    rgb, seen = pixels.squared(np.full((20, 30, 3), 9, np.uint8), alpha, 50)
+    assert pixels.alpha_box(seen) == (4, 16, 42, 17) and (rgb[seen > 0] == 9).all() and not rgb[seen == 0].any()
+    assert pixels.padding_faults(alpha, 5) == [] and pixels.padding_faults(alpha, 6) == ["padding"] and pixels.padding_faults(alpha * 0, 1) == ["empty"]
+    assert pixels.padding_faults(alpha[5:], 1) == ["padding", "edge"]
