@@ -14,44 +14,99 @@ from tallyframe.plans.views import BOXES, boxes
 READING = ["y", "x", "i"]
 
 
-@query("suppress_fold")
+def _meet(a: str, b: str) -> str:
+    return f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"
+
+
+def _iou(a: str, b: str) -> str:
+    return f"({_meet(a, b)}::DOUBLE / ({a}.w * {a}.h + {b}.w * {b}.h - {_meet(a, b)}))"
+
+
+BOX = "STRUCT(i BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT, kind VARCHAR, t VARCHAR)"
+ITEM = "{'i': r.i, 'x': r.x, 'y': r.y, 'w': r.w, 'h': r.h, 'kind': r.kind, 't': r.t}"
+
+
+def _fold_sql(order: str, start: str, step: str, source: str = "boxes", state: str = "s") -> str:
+    """A recursion over the page's rows in order: the state after each row, and the last of each page."""
+    return f"""WITH RECURSIVE {BOXES}, ranked AS (SELECT *, lower(kind) || CASE WHEN n % 2 = 0 THEN 'x' ELSE '' END AS t, row_number() OVER (PARTITION BY g ORDER BY {order}) AS pos FROM {source}),
+fold AS (SELECT g, 0::BIGINT AS pos, 0::BIGINT AS i, {start} AS {state} FROM ranked GROUP BY g UNION ALL
+SELECT r.g, r.pos, r.i, {step} FROM fold f JOIN ranked r ON r.g = f.g AND r.pos = f.pos + 1), ends AS (SELECT f.g, f.{state} FROM fold f JOIN (SELECT g, max(pos) AS pos FROM ranked GROUP BY g) USING (g, pos))"""
+
+
+def _kept_sql(order: str, clash: str, full: str = "false") -> str:
+    return _fold_sql(order, f"[]::{BOX}[]", f"CASE WHEN {full} OR len(list_filter(f.s, lambda k: {clash})) > 0 THEN f.s ELSE list_append(f.s, {ITEM}) END")
+
+
+TWIN = f"{_meet('k', 'r')}::DOUBLE / least(k.w * k.h, r.w * r.h) > 0.1 AND k.t <> '' AND r.t <> '' AND (contains(k.t, r.t) OR contains(r.t, k.t))"
+AT = f"coalesce(list_position(list_transform(f.s, lambda k: {TWIN}), true), 0)"
+DUPLICATES = _fold_sql("i", f"[]::{BOX}[]", f"CASE WHEN {AT} = 0 THEN list_append(f.s, {ITEM}) ELSE list_transform(f.s, lambda k, ix: CASE WHEN ix = {AT.replace('lambda k:', 'lambda q:').replace('k.', 'q.')} AND length(r.t) > length(k.t) THEN {ITEM} ELSE k END) END")
+NEAR = "coalesce(list_position(list_transform(f.s, lambda v: abs(v - r.y) <= {0}), true), 0)"
+CLUSTERS = _fold_sql("y, i", "[]::DOUBLE[]", f"CASE WHEN {NEAR.format(32)} = 0 THEN list_append(f.s, r.y::DOUBLE) ELSE f.s END")
+LEVELS = _fold_sql("y", "[]::DOUBLE[]", f"CASE WHEN {NEAR.format(28)} = 0 THEN list_append(f.s, r.y::DOUBLE) ELSE list_transform(f.s, lambda v, ix: CASE WHEN ix = {NEAR.format(28).replace('lambda v: abs(v', 'lambda q: abs(q')} THEN floor((v + r.y) / 2 + 0.5) ELSE v END) END",
+                   "(SELECT DISTINCT g, y, NULL::BIGINT AS i, NULL::VARCHAR AS kind, 0 AS n FROM boxes)")
+AWAY = "abs(t.x + t.w / 2.0 - r.x - r.w / 2.0) + abs(t.y + t.h / 2.0 - r.y - r.h / 2.0)"
+CHOSEN = f"list_sort(list_transform(list_filter(c.ts, lambda t: NOT list_contains(f.taken, t.i)), lambda t: {{'d': ({AWAY})::DOUBLE, 't': t.i}}))[1]"
+ASSIGNED = f"""WITH RECURSIVE {BOXES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i) AS pos FROM boxes WHERE kind = 'A'),
+targets AS (SELECT g, list({{'i': i, 'x': x, 'y': y, 'w': w, 'h': h}}) AS ts FROM boxes WHERE kind <> 'A' GROUP BY g),
+fold AS (SELECT g, 0::BIGINT AS pos, 0::BIGINT AS asset, NULL::STRUCT(d DOUBLE, t BIGINT) AS best, []::BIGINT[] AS taken FROM targets UNION ALL
+SELECT g, pos, asset, best, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.t) END FROM (SELECT r.g, r.pos, r.i AS asset, {CHOSEN} AS best, f.taken FROM fold f JOIN ranked r ON r.g = f.g AND r.pos = f.pos + 1 JOIN targets c ON c.g = f.g))
+SELECT g, asset, best.t AS target, best.d AS distance FROM fold WHERE best IS NOT NULL"""
+
+
+def _joined_sql(near: str) -> str:
+    """Hulls of a page joined by pairs, the first that is near at a time, until none is."""
+    hull = "STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT, m BIGINT)"
+    pairs = f"list_filter(list_transform(range(0, len(s) * len(s)), lambda k: [k // len(s) + 1, k % len(s) + 1]), lambda p: p[1] < p[2] AND {near.replace('a.', 's[p[1]].').replace('b.', 's[p[2]].')})"
+    one, two = "s[hit[1]]", "s[hit[2]]"
+    both = f"{{'x': least({one}.x, {two}.x), 'y': least({one}.y, {two}.y), 'w': greatest({one}.x + {one}.w, {two}.x + {two}.w) - least({one}.x, {two}.x), 'h': greatest({one}.y + {one}.h, {two}.y + {two}.h) - least({one}.y, {two}.y), 'm': {one}.m + {two}.m}}"
+    return f"""WITH RECURSIVE {BOXES}, start AS (SELECT g, list({{'x': x, 'y': y, 'w': w, 'h': h, 'm': 1::BIGINT}}::{hull} ORDER BY y, x, w, h) AS s FROM boxes GROUP BY g),
+turns AS (SELECT g, s, {pairs}[1] AS hit FROM start UNION ALL SELECT g, s, {pairs}[1] FROM (
+SELECT g, list_append(list_transform(list_filter(list_transform(s, lambda v, ix: {{'v': v, 'ix': ix}}), lambda q: q.ix <> hit[1] AND q.ix <> hit[2]), lambda q: q.v), {both}) AS s FROM turns WHERE hit IS NOT NULL))
+SELECT g, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.m AS members FROM (SELECT g, unnest(s) AS b FROM turns WHERE hit IS NULL)"""
+
+
+MERGED = _joined_sql("a.x <= b.x + b.w + 2 AND b.x <= a.x + a.w + 2 AND a.y <= b.y + b.h + 2 AND b.y <= a.y + a.h + 2")
+AGGLOMERATED = _joined_sql("greatest(greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w), greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h)) <= 12")
+
+
+@query("suppress_fold", _kept_sql("y, x, i", _iou("k", "r") + " >= 0.3", "len(f.s) >= 48") + " SELECT g, k.i AS i, k.x AS x, k.y AS y, k.w AS w, k.h AS h FROM (SELECT g, unnest(s) AS k FROM ends)")
 def suppress_fold(spark, d):
     return O.suppressed(boxes(spark, d), "g", READING, ["n"], 0.3, most=48).select("g", "i", "x", "y", "w", "h")
 
 
-@query("suppress_same_kind_fold")
+@query("suppress_same_kind_fold", _kept_sql("y, x, i", f"k.kind = r.kind AND {_iou('k', 'r')} >= 0.1") + " SELECT g, k.i AS i, k.kind AS kind FROM (SELECT g, unnest(s) AS k FROM ends)")
 def suppress_same_kind_fold(spark, d):
     return O.suppressed(boxes(spark, d), "g", READING, [], 0.1, same=["kind"]).select("g", "i", "kind")
 
 
-@query("dup_text_fold")
+@query("dup_text_fold", DUPLICATES + " SELECT g, k.i AS i, k.t AS t FROM (SELECT g, unnest(s) AS k FROM ends)")
 def dup_text_fold(spark, d):
     b = boxes(spark, d).withColumn("t", T.normalized(F.concat("kind", F.when(F.col("n") % 2 == 0, " x").otherwise(""))))
     return O.without_duplicate_texts(b, "g", ["i"], "t", [], 0.1).select("g", "i", "t")
 
 
-@query("row_cluster_fold")
+@query("row_cluster_fold", CLUSTERS + " SELECT f.g, f.i, CAST(list_position(list_transform(f.s, lambda v: abs(v - r.y) <= 32), true) AS INTEGER) AS cluster FROM fold f JOIN ranked r USING (g, pos)")
 def row_cluster_fold(spark, d):
     return O.row_clusters(boxes(spark, d), "g", ["y", "i"], "y", []).select("g", "i", "cluster")
 
 
-@query("row_levels_fold")
+@query("row_levels_fold", LEVELS + " SELECT g, CAST(ix - 1 AS INTEGER) AS level, s[ix] AS value FROM (SELECT g, s, unnest(range(1, len(s) + 1)) AS ix FROM ends)")
 def row_levels_fold(spark, d):
     return O.row_levels(boxes(spark, d), "g", "y")
 
 
-@query("greedy_assign")
+@query("greedy_assign", ASSIGNED)
 def greedy_assign(spark, d):
     b = boxes(spark, d)
     return O.assigned(b.where("kind = 'A'"), b.where("kind <> 'A'"), "g", "i")
 
 
-@query("merged_rectangles")
+@query("merged_rectangles", MERGED.replace(", b.m AS members", ""))
 def merged_rectangles(spark, d):
     return O.merged_rectangles(boxes(spark, d), "g")
 
 
-@query("agglomerated_boxes")
+@query("agglomerated_boxes", AGGLOMERATED)
 def agglomerated_boxes(spark, d):
     return O.agglomerated(boxes(spark, d), "g", 12)
 
