@@ -8,6 +8,7 @@ from tallyframe.functions import boxes as B
 from tallyframe.functions import text as T
 from tallyframe.operators import folds as O
 from tallyframe.operators import spatial as S
+from tallyframe.operators import synthesis as Y
 from tallyframe.plans.registry import query, table
 from tallyframe.plans.views import BOXES, boxes
 
@@ -169,20 +170,35 @@ def text_fit(spark, d):
     return fitted(table(spark, d, "benchmark").select("item_id", "text"), "text", 400.0, 120.0)
 
 
-@query("card_synthesis")
-def card_synthesis(spark, d):
-    """Hosts, tabs, accents and underlines made for each box that begins a column of a row."""
-    b = boxes(spark, d).withColumn("r", F.floor(F.col("y") / 100))
-    return synthesized(S.column_widths(b, "g", "r", "i"))
+#: Numbers, titles and bodies on a loose grid, three to a row, some without number, title or body.
+CARD_TEXTS = """texts AS (SELECT g, 3 * (i - 1) + k AS id, CASE k WHEN 0 THEN CASE WHEN part % 11 = 0 THEN 'no' ELSE ' 0' || i END WHEN 1 THEN 'Title' ELSE 'Body' END AS text,
+nx + [0, 90, 130][k + 1] AS x, ny + CASE k WHEN 0 THEN 0 WHEN 1 THEN part % 40 ELSE 50 + supp % 5 END AS y, [40, 200, 250][k + 1] AS w, CASE k WHEN 0 THEN 30 WHEN 1 THEN 24 ELSE 30 + h % 90 END AS h
+FROM (SELECT *, 100 + (i - 1) % 3 * 480 + part % 7 AS nx, 300 + (i - 1) // 3 * 180 + supp % 9 AS ny FROM boxes), (SELECT unnest([0, 1, 2]) AS k))"""
+
 
+def card_texts(spark, d):
+    b, i, part, supp = boxes(spark, d), F.col("i"), F.col("part"), F.col("supp")
+    at = b.select("g", "i", "part", "supp", "h", (100 + (i - 1) % 3 * 480 + part % 7).alias("nx"), (300 + F.floor((i - 1) / 3) * 180 + supp % 9).alias("ny"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k"))
+    of = lambda *v: F.element_at(F.array(*(F.lit(x) if isinstance(x, (int, str)) else x for x in v)), F.col("k") + 1)
+    word = of(F.when(part % 11 == 0, "no").otherwise(F.concat(F.lit(" 0"), i.cast("string"))), "Title", "Body")
+    return at.select("g", (3 * (i - 1) + F.col("k")).alias("id"), word.alias("text"), (F.col("nx") + of(0, 90, 130)).alias("x"), (F.col("ny") + of(F.lit(0).cast("long"), part % 40, 50 + supp % 5)).alias("y"),
+                     of(40, 200, 250).alias("w"), of(F.lit(30).cast("long"), F.lit(24).cast("long"), 30 + F.col("h") % 90).alias("h"))
 
-def synthesized(cards):
-    x, y, h = F.greatest(F.lit(0), F.col("x") - 16), F.greatest(F.lit(0), F.col("y") - 12), F.greatest(F.lit(118), F.col("h") + 28)
-    w = F.least(B.CANVAS_W - x, F.greatest(F.lit(320), F.col("width")))
 
-    def part(name, px, py, pw, ph):
-        return F.struct(F.lit(name).alias("part"), *(v.cast("long").alias(c) for c, v in zip("xywh", (px, py, pw, ph))))
+CARDS = f"""WITH {BOXES}, {CARD_TEXTS}, n0 AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM texts WHERE regexp_matches(trim(text), '^[0-9][0-9]$') AND y > 250 AND y < 800),
+n1 AS (SELECT *, sum(CASE WHEN step > 32 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY y, id ROWS UNBOUNDED PRECEDING) AS r FROM (SELECT *, y - lag(y) OVER (PARTITION BY g ORDER BY y, id) AS step FROM n0 WHERE c >= 4)),
+n2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY g, r) AS in_row, CAST(floor(avg(y) OVER (PARTITION BY g, r) + 0.5) AS BIGINT) AS top, min(y) OVER (PARTITION BY g, r) AS first_y, lead(x) OVER (PARTITION BY g, r ORDER BY x, id) AS next_x FROM n1) WHERE in_row >= 2),
+n3 AS (SELECT *, greatest(0, x - 16) AS lft, avg(CASE WHEN next_x - x - 34 BETWEEN 320 AND 650 THEN next_x - x - 34 END) OVER (PARTITION BY g, r) AS usual FROM n2 QUALIFY count(*) OVER (PARTITION BY g) >= 4),
+n4 AS (SELECT g, id AS number_id, trim(text) AS number, x AS number_x, top, lft, CASE WHEN next_x IS NOT NULL THEN next_x - 16 - lft - 34 ELSE coalesce(CAST(floor(usual + 0.5) AS BIGINT), 455) END AS width,
+ coalesce((SELECT min(o.first_y) FROM n3 o WHERE o.g = n3.g AND o.first_y > n3.top + 40) - 20, least(780, top + 190)) AS low FROM n3),
+others AS (SELECT t.* FROM texts t WHERE NOT EXISTS (SELECT 1 FROM n3 WHERE n3.g = t.g AND n3.id = t.id)),
+titled AS (SELECT n4.*, t.y AS ty, t.h AS th FROM n4 JOIN others t ON t.g = n4.g AND t.y BETWEEN top - 8 AND top + 25 AND t.x > number_x + 60 AND t.x < lft + width QUALIFY row_number() OVER (PARTITION BY n4.g, number_id ORDER BY t.x, t.id) = 1),
+cards AS (SELECT c.g, number, lft AS x, top - 12 AS y, width AS w, greatest(118, max(t.y + t.h) - (top - 12) + 16) AS h, ty, th FROM titled c JOIN others t ON t.g = c.g AND t.y > ty + 30 AND t.y < low AND t.x > lft + 105 AND t.x < lft + width - 10
+ GROUP BY c.g, number_id, number, lft, top, width, ty, th QUALIFY count(*) OVER (PARTITION BY c.g) >= 4)"""
 
-    tab = F.lit(100), F.lit(68)
-    parts = F.array(part("host", x, y, w, h), part("tab", x, y, *tab), part("accent", x + 100, y, F.lit(18), F.lit(68)), part("underline", x + 112, F.col("y") + F.col("h") + 10, F.greatest(F.lit(120), w - 142), F.lit(2)))
-    return cards.select("g", "i", F.explode(parts).alias("p")).select("g", "i", "p.*")
+
+@query("card_synthesis", CARDS + """ SELECT g, number, 'host' AS part, x::BIGINT AS x, y::BIGINT AS y, w::BIGINT AS w, h::BIGINT AS h FROM cards UNION ALL SELECT g, number, 'tab', x, y, 100, 68 FROM cards
+UNION ALL SELECT g, number, 'accent', x + 100, y, 18, 68 FROM cards UNION ALL SELECT g, number, 'underline', x + 112, ty + th + 10, greatest(120, w - 142), 2 FROM cards""")
+def card_synthesis(spark, d):
+    """Hosts, tabs, accents and underlines of cards in a grid of numbers with titles and bodies."""
+    return Y.card_parts(Y.numbered_cards(card_texts(spark, d), "g"), "g")
