@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyframe.sources import scratch
+
 # The order in which issues are repaired, and words that raise an asset's priority.
 ISSUES = ("missing_elements", "wrong_classification_or_match", "geometry_and_scale", "color_and_style", "layering_and_occlusion", "text_nontext_fusion")
 VISUAL = "logo|icon|chart|arrow|ribbon|illustration|flow"
@@ -25,6 +27,23 @@ def numbered(df: DataFrame, page: list[str], name: str, *order: Column | str) ->
     return df.withColumn(name, F.row_number().over(W.partitionBy(*page).orderBy(*order)).cast("long"))
 
 
+def numbered_spread(df: DataFrame, group: str, name: str, *order: Column | str) -> DataFrame:
+    """As `numbered`, for few groups of any size: no group is sorted in one task.
+
+    Rows are dealt by ranges of group and order and numbered in their ranges, once and for all as they are written; what
+    comes before a range is a sum over one row for each group and range. order must tell rows of a group apart."""
+    at = F.monotonically_increasing_id()  # the partition in the upper bits, then the place
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_at", at)
+    rows = scratch.stored(rows.withColumn("_range", F.shiftright("_at", 33)), "numbered")
+    ranges = rows.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select(F.col(group).alias("_g"), "_range", "_first", before.alias("_before"))
+    out = rows.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (rows["_range"] == starts["_range"]))
+    number = (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long")
+    return out.select(*[rows[c] for c in df.columns if c != name], number.alias(name))
+
+
 def z_order(z: Column, rank: Column, ordinal: Column) -> list[Column]:
     return [F.coalesce(z, rank), ordinal]
 
@@ -36,7 +55,11 @@ def priority(area: Column, words: Column) -> Column:
 def batches(df: DataFrame, page: list[str], size: int, name: str, *order: Column | str) -> DataFrame:
     """Adds the place in the order and the batch of `size` that it falls into, both from 1."""
     at = F.row_number().over(W.partitionBy(*page).orderBy(*order))
-    return df.withColumn("place", at.cast("long")).withColumn(name, F.floor((F.col("place") - 1) / size) + 1)
+    return df.withColumn("place", at.cast("long")).withColumn(name, batch_of(F.col("place"), size))
+
+
+def batch_of(place: Column, size: int) -> Column:
+    return F.floor((place - 1) / size) + 1
 
 
 def limited(df: DataFrame, page: list[str], most: int, *order: Column | str) -> DataFrame:

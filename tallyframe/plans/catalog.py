@@ -72,7 +72,7 @@ def shapes(spark, d):
     )
 
 
-CATEGORY = f"""CASE WHEN w * h / 1440000 >= 0.58 THEN 'backgrounds'
+CATEGORY = f"""CASE WHEN p_partkey % 13 = 0 THEN 'charts' WHEN p_partkey % 17 = 0 THEN 'tables' WHEN w * h / 1440000 >= 0.58 THEN 'backgrounds'
  WHEN kind IN (11,13,28,29) AND regexp_matches(key, '{K.LOGO}') THEN 'logos' WHEN kind IN (11,13,28,29) AND regexp_matches(key, '{K.ICON}') THEN 'icons'
  WHEN kind IN (11,13,28,29) AND w * h / 1440000 <= 0.055 AND w <= 480 AND h <= 270 THEN 'icons' WHEN kind IN (11,13,28,29) THEN 'decorative_visuals'
  WHEN kind = 9 AND connector THEN 'connectors' WHEN kind = 9 THEN 'lines'
@@ -85,8 +85,8 @@ CATEGORY = f"""CASE WHEN w * h / 1440000 >= 0.58 THEN 'backgrounds'
 SELECT p_partkey, base, CASE WHEN base <> 'connectors' AND kind NOT IN (11,13,28,29) AND least(w, h) <= 5 AND greatest(w, h) >= 20 THEN 'lines'
  WHEN base = 'icons' AND kind IN (11,13,28,29) AND t <= 900 * 0.14 AND l + w >= 1600 * 0.74 THEN 'logos' ELSE base END AS category FROM c""")
 def classify_rules(spark, d):
-    pw, ph, no = F.lit(1600.0), F.lit(900.0), F.lit(False)
-    c = shapes(spark, d).withColumn("base", K.shape_category(F.col("kind"), F.col("auto"), F.col("key"), F.col("w"), F.col("h"), pw, ph, no, no, F.col("connector")))
+    pw, ph, chart, grid = F.lit(1600.0), F.lit(900.0), F.col("p_partkey") % 13 == 0, F.col("p_partkey") % 17 == 0
+    c = shapes(spark, d).withColumn("base", K.shape_category(F.col("kind"), F.col("auto"), F.col("key"), F.col("w"), F.col("h"), pw, ph, chart, grid, F.col("connector")))
     return c.select("p_partkey", "base", K.category_overrides(F.col("base"), F.col("kind"), F.col("l"), F.col("t"), F.col("w"), F.col("h"), pw, ph).alias("category"))
 
 
@@ -132,7 +132,7 @@ def labels_by_key(spark, d):
 
 @query("sequence_ids", """SELECT p_partkey, lower(p_brand) || '-' || lpad(CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS VARCHAR), 4, '0') AS item_id FROM part""")
 def sequence_ids(spark, d):
-    n = R.numbered(table(spark, d, "part"), ["p_brand"], "number", "p_partkey")
+    n = R.numbered_spread(table(spark, d, "part").select("p_brand", "p_partkey"), "p_brand", "number", "p_partkey")
     return n.select("p_partkey", T.sequence_id(F.lower("p_brand"), F.col("number"), {}).alias("item_id"))
 
 
@@ -159,7 +159,7 @@ def manifest_csv_rows(spark, d):
 @query("contact_sheets", """WITH n AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part)
 SELECT p_partkey, p_brand, CAST(pos // 16 AS BIGINT) AS sheet, CAST(pos % 16 // 4 AS BIGINT) AS sheet_row, CAST(pos % 4 AS BIGINT) AS sheet_column FROM n""")
 def contact_sheets(spark, d):
-    n = R.numbered(table(spark, d, "part"), ["p_brand"], "place", "p_partkey").withColumn("s", R.sheet(F.col("place")))
+    n = R.numbered_spread(table(spark, d, "part").select("p_brand", "p_partkey"), "p_brand", "place", "p_partkey").withColumn("s", R.sheet(F.col("place")))
     return n.select("p_partkey", "p_brand", F.col("s.sheet").alias("sheet"), F.col("s.row").alias("sheet_row"), F.col("s.column").alias("sheet_column"))
 
 

@@ -30,12 +30,15 @@ def manifest_round_trip(spark, d):
     return S.json_lines(spark, at, "p_partkey long, p_name string, category string").groupBy("category").agg(F.count("*").alias("items"), F.sum("p_partkey").alias("ids"))
 
 
-@query("csv_round_trip", "SELECT count(*) AS items, sum(p_partkey)::BIGINT AS ids FROM part")
+@query("csv_round_trip", """SELECT p_partkey AS id, replace(p_name, ' ', '|') AS keywords, p_brand AS category, p_type AS kind, CAST(p_size AS BIGINT) AS size, true AS marked, 18::BIGINT AS columns FROM part""")
 def csv_round_trip(spark, d):
-    at = _folder(spark)
-    C.summary_csv(table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("keywords")), at)
+    """A summary of 18 columns with a header and a byte order mark, lists joined, read back column by column."""
+    at, p = _folder(spark), table(spark, d, "part")
+    rest = [F.lit(k).alias(f"c{k}") for k in range(13)]
+    C.summary_csv(p.select("p_partkey", F.split("p_name", " ").alias("keywords"), F.col("p_brand").alias("category"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), *rest), at)
     back = spark.read.option("header", True).csv(at)
-    return back.select(F.col(back.columns[0]).cast("long").alias("id")).agg(F.count("*").alias("items"), F.sum("id").alias("ids"))
+    marked = S.files(spark, at, "part-*").agg(F.min(F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("marked"))
+    return back.crossJoin(F.broadcast(marked)).select(F.col(back.columns[0]).cast("long").alias("id"), "keywords", "category", "kind", F.col("size").cast("long").alias("size"), "marked", F.lit(len(back.columns)).cast("long").alias("columns"))
 
 
 @query("page_documents", "SELECT page_id, length(html) AS n FROM pages")

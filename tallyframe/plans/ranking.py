@@ -64,7 +64,8 @@ def route_execution(spark, d):
 @query("batches", """WITH n AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size * 100 + CASE WHEN regexp_matches(lower(p_name), 'logo|icon|chart|arrow|ribbon|illustration|flow') THEN 25000 ELSE 0 END DESC, p_partkey) AS place FROM part) SELECT p_partkey, place, (place - 1) // 10 + 1 AS batch FROM n""")
 def batches(spark, d):
     p = table(spark, d, "part").withColumn("pr", K.priority(F.col("p_size") * 100, F.col("p_name")))
-    return K.batches(p, ["p_brand"], 10, "batch", F.desc("pr"), "p_partkey").select("p_partkey", "place", "batch")
+    placed = K.numbered_spread(p.select("p_brand", "p_partkey", "pr"), "p_brand", "place", F.desc("pr"), "p_partkey")
+    return placed.select("p_partkey", "place", K.batch_of(F.col("place"), 10).alias("batch"))
 
 
 ISSUE = "['missing_elements','wrong_classification_or_match','geometry_and_scale','color_and_style','layering_and_occlusion','text_nontext_fusion','other']"
@@ -126,7 +127,7 @@ def robust_stats(spark, d):
     """Exact order statistics from counts of each distinct value: groups of a few values, however many rows."""
     li = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("v"))
     med = li.groupBy("l_returnflag").agg(F.median("v").alias("med"))
-    j = li.join(F.broadcast(med), "l_returnflag")
+    j = li.join(med, "l_returnflag")
     return j.groupBy("l_returnflag").agg(F.round(F.avg("v"), 6).alias("mean"), F.first("med").alias("median_"), F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"), F.round(F.stddev_pop("v"), 6).alias("std"), F.percentile("v", F.lit(0.9)).alias("p90"))
 
 

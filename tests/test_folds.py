@@ -122,26 +122,48 @@ def test_assigned(frame, boxes):
     assert {(r.g, r.asset, r.target) for r in got} == want
 
 
+def joined_until_stable(parts, near):
+    """Any two that are near become one, in any order, until none are: (box corners, members)."""
+    parts = [(b, 1) for b in parts]
+    while True:
+        pair = next(((p, q) for k, p in enumerate(parts) for q in parts[:k] if near(p[0], q[0])), None)
+        if pair is None:
+            return sorted(parts)
+        (a, n), (b, m) = pair
+        for p in pair:
+            parts.remove(p)
+        parts.append(((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), n + m))
+
+
+def corners(rows):
+    return [(b[2], b[3], b[2] + b[4], b[3] + b[5]) for b in rows]
+
+
 def test_merged_rectangles(frame, boxes):
-    few = frame.where("i < 8")
     got = defaultdict(list)
-    for r in O.merged_rectangles(few, "g").collect():
+    for r in O.merged_rectangles(frame, "g").collect():
         got[r.g].append((r.x, r.y, r.x + r.w, r.y + r.h))
-    for g, hulls in got.items():
-        for n, a in enumerate(hulls):
-            assert all(not (a[0] <= b[2] + 2 and a[2] + 2 >= b[0] and a[1] <= b[3] + 2 and a[3] + 2 >= b[1]) for b in hulls[n + 1 :])
-        for b in (b for b in boxes if b[0] == g and b[1] < 8):
-            assert any(h[0] <= b[2] and h[1] <= b[3] and h[2] >= b[2] + b[4] and h[3] >= b[3] + b[5] for h in hulls)
+    for g, rows in pages(boxes).items():
+        want = joined_until_stable(corners(rows), lambda a, b: a[0] <= b[2] + 2 and b[0] <= a[2] + 2 and a[1] <= b[3] + 2 and b[1] <= a[3] + 2)
+        assert sorted(got[g]) == [b for b, _ in want]
 
 
-def test_agglomerated_counts_everything(frame):
-    assert O.agglomerated(frame, "g", 3).agg({"members": "sum"}).first()[0] == 180
+@pytest.mark.parametrize("within", [0, 3, 12])
+def test_agglomerated(frame, boxes, within):
+    got = defaultdict(list)
+    for r in O.agglomerated(frame, "g", within).collect():
+        got[r.g].append(((r.x, r.y, r.x + r.w, r.y + r.h), r.members))
+    for g, rows in pages(boxes).items():
+        assert sorted(got[g]) == joined_until_stable(corners(rows), lambda a, b: a[0] - b[2] <= within and b[0] - a[2] <= within and a[1] - b[3] <= within and b[1] - a[3] <= within)
 
 
 def test_tightened_keeps_outer_edges(spark):
-    rows = [(1, 1, 0.0, 0.0, 100.0, 20.0), (1, 2, 30.0, 0.0, 100.0, 20.0)]
-    out = {r.i: r for r in O.tightened(spark.createDataFrame(rows, "g long, i long, x double, y double, w double, h double"), "g", ["i"], 0.58).collect()}
-    assert (out[1].x, out[1].w) == (0.0, 63.0) and (out[2].x, out[2].w) == (67.0, 63.0)
+    rows = [(1, 1, 0.0, 0.0, 100.0, 20.0), (1, 2, 30.0, 0.0, 100.0, 20.0), (2, 1, 0.0, 0.0, 20.0, 100.0), (2, 2, 0.0, 30.0, 20.0, 100.0), (3, 1, 0.0, 0.0, 50.0, 50.0), (3, 2, 1.0, 1.0, 50.0, 50.0), (4, 1, 0.0, 0.0, 50.0, 50.0), (4, 2, 40.0, 0.0, 50.0, 50.0)]
+    out = {(r.g, r.i): r for r in O.tightened(spark.createDataFrame(rows, "g long, i long, x double, y double, w double, h double"), "g", ["i"], 0.58).collect()}
+    assert (out[1, 1].x, out[1, 1].w) == (0.0, 63.0) and (out[1, 2].x, out[1, 2].w) == (67.0, 63.0)  # side by side
+    assert (out[2, 1].y, out[2, 1].h) == (0.0, 63.0) and (out[2, 2].y, out[2, 2].h) == (67.0, 63.0)  # one above the other
+    for g in (3, 4):  # centres too near, overlap too small
+        assert all(tuple(out[g, r[1]])[-4:] == r[2:] for r in rows if r[0] == g)
 
 
 def test_grid_pairs_are_the_same(frame):

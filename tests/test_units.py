@@ -185,3 +185,20 @@ def test_squares_and_padding():
     assert pixels.alpha_box(seen) == (4, 16, 42, 17) and (rgb[seen > 0] == 9).all() and not rgb[seen == 0].any()
     assert pixels.padding_faults(alpha, 5) == [] and pixels.padding_faults(alpha, 6) == ["padding"] and pixels.padding_faults(alpha * 0, 1) == ["empty"]
     assert pixels.padding_faults(alpha[5:], 1) == ["padding", "edge"]
+
+
+@pytest.mark.parametrize("name", ["recognition", "review", "images"])
+def test_pauses_by_what_is_called(name):
+    waited = []
+
+    def refused():
+        raise scorers.Refused(503)
+
+    with pytest.raises(scorers.Refused):
+        scorers.with_retries(refused, 4, scorers.PAUSES[name], waited.append)
+    one, two = scorers.PAUSES[name]
+    assert waited == [one, two, two]
+    waited.clear()
+    with pytest.raises(scorers.Refused):
+        scorers.with_retries(refused, 3, 0.9, waited.append)
+    assert waited == [0.9, 1.8]
