@@ -15,13 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and the session runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        base = held or f"file://{tempfile.mkdtemp(prefix='tallyframe-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tallyframe-')}"
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 

@@ -280,6 +280,55 @@ def test_runs_are_shortest_and_cover():
     assert spans.runs([1, 2]) == set() and spans.runs([]) == set() and spans.runs([45]) == {(0, 0)}
 
 
+def cut_by_hand(text):
+    """(start, end, start of the next) of sentences, character by character."""
+    out, start, i, n = [], None, 0, len(text)
+    while i < n:
+        c = text[i]
+        if start is None:
+            if not c.isspace():
+                start = i
+                continue
+            i += 1
+            continue
+        end = i + 1 if c in ".!?" and i + 1 < n and text[i + 1].isspace() else i if c == "\n" else None
+        if end is None:
+            i += 1
+            continue
+        i = end
+        while i < n and text[i].isspace():
+            i += 1
+        out.append((start, end, i))
+        start = None
+    if start is not None:
+        out.append((start, n, n))
+    return out
+
+
+def runs_by_hand(counts):
+    """All runs that are long enough and from or to a sentence the shortest such."""
+    n = len(counts)
+    fit = [(a, b) for a in range(n) for b in range(a, n) if sum(counts[a : b + 1]) >= 14 or b > a and sum(counts[a : b + 1]) >= 10]
+    return {min((r for r in fit if r[0] == a), key=lambda r: r[1]) for a, _ in fit} | {max((r for r in fit if r[1] == b), key=lambda r: r[0]) for _, b in fit}
+
+
+def test_spans_against_plain_loops(spark, documents):
+    """Nothing of the module is used: sentences, runs, first occurrences and what is left."""
+    texts = {r.doc_id: r.text for r in documents.collect() if r.text and len(r.text) < 6_000}
+    cut = {i: cut_by_hand(t) for i, t in texts.items()}
+    found, drop = defaultdict(list), defaultdict(set)
+    for i in sorted(texts):
+        words = [texts[i][a:b].encode().lower().split() for a, b, _ in cut[i]]
+        for a, b in runs_by_hand([len(w) for w in words]):
+            found[b" ".join(w for k in range(a, b + 1) for w in words[k])].append((i, a, b))
+    for places in found.values():
+        for i, a, b in sorted(places)[1:]:
+            drop[i] |= set(range(a, b + 1))
+    want = {i: "".join(t[a:c] for k, (a, _, c) in enumerate(cut[i]) if k not in drop[i]).rstrip() if drop[i] else t for i, t in texts.items()}
+    got = spans.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == want and sum(map(len, drop.values())) > 20
+
+
 def test_spans_of_the_tables(documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
     got = {r.doc_id: r.text for r in spans.without_repeats(documents).collect()}
