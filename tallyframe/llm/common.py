@@ -85,16 +85,18 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts make batches of that many rows
-#: large, and they lie in memory outside of the heap, once in the executor and once in its Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults of 10,000 and 64 MB: batches lie in memory outside of
+#: the heap, once in the executor and once in its Python worker, and in a join a long text stands in many rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": (f"{64 << 20}b", BATCH_BYTES)}
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, with batches for Python kept small in its session."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name)) == 10_000:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """df, with batches for Python kept small in its session from now on, where it has Spark's defaults."""
+    conf = df.sparkSession.conf
+    for name, (default, most) in _LIMITS.items():
+        if conf.get(name, default) == default:
+            conf.set(name, str(most))
     return df
 
 
