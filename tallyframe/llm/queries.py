@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-from tallyframe.llm import covertree
+from tallyframe.llm import centroids, covertree
 
 #: Query to its module; the function has the query's name.
 MODULES = {
@@ -19,6 +19,7 @@ MODULES = {
     "op8_sentence_spans": "spans",
     "op9_binary_records": "records",
     "op10_html_template": "htmltemplate",
+    "op13_weighted_lloyd": "centroids",
 }
 
 
@@ -27,5 +28,5 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Vectors alone: fitted scores, hashes, tokenizers and markup are not in SQL's reach, and pairs of whole shingle sets are too slow there."""
-    return {"op3_cover_tree": covertree.ORACLE}
+    """Vectors and ranked search: fitted scores, hashes, tokenizers and markup are not in SQL's reach, and pairs of whole shingle sets are too slow there."""
+    return {"op3_cover_tree": covertree.ORACLE, "op13_weighted_lloyd": centroids.ORACLE}
