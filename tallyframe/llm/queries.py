@@ -19,6 +19,7 @@ MODULES = {
     "op8_sentence_spans": "spans",
     "op9_binary_records": "records",
     "op10_html_template": "htmltemplate",
+    "op11_lexicon_bpe": "lexicon",
     "op13_weighted_lloyd": "centroids",
 }
 
