@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-from tallyframe.llm import centroids, covertree
+from tallyframe.llm import centroids, covertree, impacts
 
 #: Query to its module; the function has the query's name.
 MODULES = {
@@ -20,6 +20,7 @@ MODULES = {
     "op9_binary_records": "records",
     "op10_html_template": "htmltemplate",
     "op11_lexicon_bpe": "lexicon",
+    "op12_impact_search": "impacts",
     "op13_weighted_lloyd": "centroids",
 }
 
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     """Vectors and ranked search: fitted scores, hashes, tokenizers and markup are not in SQL's reach, and pairs of whole shingle sets are too slow there."""
-    return {"op3_cover_tree": covertree.ORACLE, "op13_weighted_lloyd": centroids.ORACLE}
+    return {"op3_cover_tree": covertree.ORACLE, "op12_impact_search": impacts.ORACLE, "op13_weighted_lloyd": centroids.ORACLE}
