@@ -27,6 +27,7 @@ import mmap
 import os
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm import common
 
 #: Words in the automaton, and bytes of one; distinct parts of texts that a task counts before it hands them over; bytes
-#: of texts encoded together; a rank that no pair has.
-LEXICON_WORDS, LONGEST, COUNTED, AT_ONCE, NONE = 65_536, 32, 300_000, 12 << 20, 1 << 30
+#: of texts encoded together; words looked up at once; a rank that no pair has.
+LEXICON_WORDS, LONGEST, COUNTED, AT_ONCE, LOOKED_UP, NONE = 65_536, 32, 200_000, 8 << 20, 32_768, 1 << 30
 #: White space of the library's patterns, and the pattern of byte-level files.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -59,8 +60,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id, all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    letters, ids, added = byte_letters(), file["model"]["vocab"], file.get("added_tokens") or []
+    out = [b""] * (max([*ids.values(), *(t["id"] for t in added)]) + 1)
+    for token, i in ids.items():
+        out[i] = bytes(map(letters.__getitem__, token))
+    for t in added:
+        out[t["id"]] = t["content"].encode()
+    return out
+
+
+def text_of(ids: Iterable[int], of: list[bytes]) -> str:
+    return b"".join(map(of.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class Vocabulary:
-    """Ranks of pairs, ids of single bytes, bytes of ids and strings of added tokens of a byte-level file."""
+    """Ranks of pairs, ids of single bytes and strings of added tokens of a byte-level file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -82,12 +101,7 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
-        self.bytes = [b""] * (max([*ids.values(), *(t["id"] for t in added)]) + 1)
-        for token, i in ids.items():
-            self.bytes[i] = bytes(map(letters.__getitem__, token))
         self.added = {t["content"]: t["id"] for t in added}
-        for content, i in self.added.items():
-            self.bytes[i] = content.encode()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.unsure = self._unsure()
@@ -199,9 +213,6 @@ class Vocabulary:
         back[order] = np.arange(len(order))
         return counts, taken(ends, np.concatenate(found), back)[1]
 
-    def text(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
 
 def taken(ends: np.ndarray, ids: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and ids, in order, of the runs numbered by which; a run ends where ends says and begins where the one before ends."""
@@ -224,7 +235,9 @@ def ragged(chunk: str) -> bool:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    found = Vocabulary(path)
+    common.release()  # the parsed file
+    return found
 
 
 class _State:
@@ -363,45 +376,46 @@ class Encoder:
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ends of each word's ids, and the ids of all in order."""
-        raw = [w.encode() for w in words]
-        held, counts, found = self.lexicon.find(raw)
-        unseen = [raw[i] for i in np.flatnonzero(~held).tolist()]
-        self.looked_up, self.merges = self.looked_up + len(words), self.merges + len(unseen)
-        counts[~held], own = self.vocabulary.merged_all(unseen)
-        ends = np.cumsum(counts)
-        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        of_held = np.repeat(held, counts)
-        ids[of_held], ids[~of_held] = found, own
-        return ends, ids
+        sizes, all_ids = [], []
+        for at in range(0, len(words), LOOKED_UP):
+            raw = [w.encode() for w in words[at : at + LOOKED_UP]]
+            held, counts, found = self.lexicon.find(raw)
+            unseen = [raw[i] for i in np.flatnonzero(~held).tolist()]
+            self.looked_up, self.merges = self.looked_up + len(raw), self.merges + len(unseen)
+            counts[~held], own = self.vocabulary.merged_all(unseen)
+            ids, of_held = np.empty(int(counts.sum()), np.int32), np.repeat(held, counts)
+            ids[of_held], ids[~of_held] = found, own
+            sizes.append(counts)
+            all_ids.append(ids)
+        return np.cumsum(np.concatenate(sizes or [[]]), dtype=np.int64), np.concatenate(all_ids or [np.empty(0, np.int32)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Distinct parts of all texts are divided into words once, and distinct words looked up once."""
-        v, parts, whole, spaced = self.vocabulary, [], {}, {}
+        v, parts, number, bad = self.vocabulary, [], {}, set()  # what no space stands before is in a tuple
         for text in texts:
-            pieces = v.cut.split(text) if v.cut is not None and "<" in text and v.cut.search(text) else (text,)
-            run = [v.added[p] if p in v.added else (p, *chunks(p)) for p in pieces if p]
-            parts.append(run)
-            for part in run:
-                if not isinstance(part, int):
-                    for c in set(part[2]).difference(spaced):
-                        spaced[c] = len(spaced)
-        bad = {c for c in spaced if ragged(c)}
-        for run in parts:
-            for i, part in enumerate(run):
-                if not isinstance(part, int):
-                    piece, head, rest = part
+            run: list = []
+            for piece in v.cut.split(text) if v.cut is not None and "<" in text and v.cut.search(text) else (text,):
+                if piece in v.added:
+                    run.append(v.added[piece])
+                elif piece:
+                    head, rest = chunks(piece)
+                    for c in set(rest).difference(number):
+                        number[c] = len(number)
+                        if ragged(c):
+                            bad.add(c)
                     if head and head[-1].isspace() and rest or not bad.isdisjoint(rest):
                         head, rest = piece, ()
-                    first = [len(spaced) + whole.setdefault(head, len(whole))] if head else []
-                    run[i] = np.fromiter((*first, *map(spaced.__getitem__, rest)), np.int64, len(first) + len(rest))
+                    first = [number.setdefault((head,), len(number))] if head else []
+                    run.append(np.fromiter((*first, *map(number.__getitem__, rest)), np.int32, len(first) + len(rest)))
+            parts.append(run)
         words: dict[str, int] = {}
-        of_part = [v.words(c) for c in ((" " + c if c not in bad else "") for c in spaced)] + [v.words(c) for c in whole]
+        of_part = (v.words(c[0] if type(c) is tuple else "" if c in bad else " " + c) for c in number)
+        index, part_ends = array("i"), []
         for found in of_part:
-            for w in found:
-                words.setdefault(w, len(words))
+            index.extend([words.setdefault(w, len(words)) for w in found])
+            part_ends.append(len(index))
         ends, ids = self.ids(list(words))
-        part_ends = np.cumsum([len(f) for f in of_part], dtype=np.int64)
-        index = np.fromiter((words[w] for found in of_part for w in found), np.int64, int(part_ends[-1]) if len(part_ends) else 0)
+        index, part_ends = np.frombuffer(index, np.int32) if len(index) else np.empty(0, np.int32), np.array(part_ends, np.int64)
         sizes, ids = taken(ends, ids, index) if len(index) else (index, ids)
         before = np.concatenate([[0], np.cumsum(sizes)])
         ends = before[part_ends] if len(part_ends) else part_ends
@@ -500,10 +514,11 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids and text of rows of doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(tokenizer)
+        of = token_bytes(tokenizer)
         for batch in batches:
-            texts = [v.text(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.values is not None else ()) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for part in common.slices([batch]):
+                texts = [text_of(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.values is not None else (), of) for ids in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

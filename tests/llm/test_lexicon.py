@@ -33,7 +33,7 @@ def library(text):
 def test_ids_and_texts_of_the_library(texts):
     for text, ids in zip(texts, encoder().encode(texts)):
         assert ids.tolist() == library(text)
-        assert VOCABULARY.text(ids.tolist()) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
+        assert L.text_of(ids.tolist(), L.token_bytes(FILE)) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
 
 
 def test_special_strings_and_long_words():
