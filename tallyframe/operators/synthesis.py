@@ -21,7 +21,8 @@ def _half_up(c):
 
 
 def numbered_cards(texts: DataFrame, page: str) -> DataFrame:
-    """Of texts (page, id, text, x, y, w, h) the cards of pages that have LEAST_CARDS of them: page, number, x, y, w, h, and the title's place.
+    """Of texts (page, id, text, x, y, w, h) the cards of pages that have LEAST_CARDS of them: page, number, x, y, w, h,
+    the title's place, the number's id, place and row, and where the body begins.
 
     A number that has no title beside it or no body below is no card; ties go to the smaller id."""
     numbers = texts.where(F.trim("text").rlike(NUMBER) & (F.col("y") > TOP) & (F.col("y") < LOW))
@@ -39,7 +40,7 @@ def numbered_cards(texts: DataFrame, page: str) -> DataFrame:
     tops = numbers.groupBy(page).agg(F.array_sort(F.collect_set("_first")).alias("_tops"))
     below = F.array_min(F.filter("_tops", lambda t: t > F.col("top") + 40))
     cards = numbers.withColumns({"left": left, "width": width}).join(tops, page).withColumn("low", F.coalesce(below - 20, F.least(F.lit(780), F.col("top") + 190)))
-    cards = cards.select(page, F.col("id").alias("number_id"), F.trim("text").alias("number"), F.col("x").alias("number_x"), "top", "left", "width", "low")
+    cards = cards.select(page, F.col("id").alias("number_id"), F.trim("text").alias("number"), F.col("x").alias("number_x"), "top", "left", "width", "low", "cluster")
 
     others = texts.join(numbers.select(page, "id"), [page, "id"], "left_anti").select(page, F.struct("x", "id", "y", "w", "h").alias("t"))
     met = cards.join(others, page)
@@ -48,10 +49,12 @@ def numbered_cards(texts: DataFrame, page: str) -> DataFrame:
     titles = met.where(beside).groupBy(page, "number_id").agg(F.min("t").alias("title"))
     met = met.join(titles, [page, "number_id"])
     under = (F.col("t.y") > F.col("title.y") + 30) & (F.col("t.y") < F.col("low")) & (F.col("t.x") > F.col("left") + 105) & (F.col("t.x") < right - 10)
-    cards = met.where(under).groupBy(page, "number_id", "number", "left", "width", "top", "title").agg(F.max(F.col("t.y") + F.col("t.h")).alias("bottom"), F.count("*").alias("bodies"))
+    cards = met.where(under).groupBy(page, "number_id", "number", "number_x", "cluster", "left", "width", "top", "title").agg(
+        F.max(F.col("t.y") + F.col("t.h")).alias("bottom"), F.count("*").alias("bodies"), F.min("t.x").alias("body_left"), F.min("t.y").alias("body_top")
+    )
     cards = cards.withColumn("_n", F.count("*").over(W.partitionBy(page))).where(F.col("_n") >= LEAST_CARDS)
     y = F.col("top") - 12
-    return cards.select(page, "number", F.col("left").alias("x"), y.alias("y"), F.col("width").alias("w"), F.greatest(F.lit(HEIGHT), F.col("bottom") - y + 16).alias("h"), "title", "bodies")
+    return cards.select(page, "number", F.col("left").alias("x"), y.alias("y"), F.col("width").alias("w"), F.greatest(F.lit(HEIGHT), F.col("bottom") - y + 16).alias("h"), "title", "bodies", "number_id", "number_x", "cluster", "body_left", "body_top")
 
 
 def card_parts(cards: DataFrame, page: str) -> DataFrame:

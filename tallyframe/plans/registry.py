@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("catalog", "strings", "geometry", "joins", "folds", "gates", "ranking", "state", "files", "kernels", "temporal")
+MODULES = ("catalog", "strings", "geometry", "joins", "folds", "gates", "ranking", "state", "files", "kernels", "temporal", "cards")
 
 
 def query(name: str, oracle: str | None = None):
