@@ -196,3 +196,38 @@ def embedded_text(spark, d):
     covered = S.joined_boxes(b.where("kind = 'N'"), b.where("kind = 'R'"), "g", B.intersects(a, other) & (B.overlap_first(a, other) >= 0.3), "left_semi").select("g", "i")
     glyph = b.where("kind = 'N'").where((F.col("part") % 11 == 0) & (F.col("h") >= 28) & (F.col("w") <= F.col("h") * 1.45)).select("g", "i")
     return covered.union(glyph).distinct()
+
+
+#: Line items' boxes and near copies of some of them, as expected; the same moved a little, some gone, some of another kind, as found.
+EXPECTED = """expected AS (SELECT g, 2 * i + c AS id, CASE WHEN part % 2 = 0 THEN 'icon' ELSE 'shape' END AS kind, x + 9 * c AS x, y + 4 * c AS y, w + 20 AS w, h + 20 AS h FROM boxes, (SELECT unnest([0, 1]) AS c) WHERE c = 0 OR part % 4 < 3)"""
+FOUND = """found AS (SELECT g, 3 * i + c AS id, CASE WHEN (part // 2 + c) % 11 = 0 THEN 'shape' WHEN part % 2 = 0 THEN 'icon' ELSE 'shape' END AS kind, x + part % 7 - 3 + 6 * c AS x, y + supp % 5 - 2 + 3 * c AS y, w + 20 + part % 3 AS w, h + 20 - supp % 3 AS h
+ FROM boxes, (SELECT unnest([0, 1, 2]) AS c) WHERE (part + c) % 5 > 0 AND (c < 2 OR part % 3 = 0))"""
+
+
+def expected_found(spark, d):
+    b, part, supp, c = boxes(spark, d), F.col("part"), F.col("supp"), F.col("c")
+    kind = F.when(part % 2 == 0, "icon").otherwise("shape")
+    e = b.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).where((c == 0) | (part % 4 < 3))
+    e = e.select("g", (2 * F.col("i") + c).alias("id"), kind.alias("kind"), (F.col("x") + 9 * c).alias("x"), (F.col("y") + 4 * c).alias("y"), (F.col("w") + 20).alias("w"), (F.col("h") + 20).alias("h"))
+    f = b.withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where(((part + c) % 5 > 0) & ((c < 2) | (part % 3 == 0)))
+    f = f.select("g", (3 * F.col("i") + c).alias("id"), F.when((F.floor(part / 2) + c) % 11 == 0, "shape").otherwise(kind).alias("kind"), (F.col("x") + part % 7 - 3 + 6 * c).alias("x"), (F.col("y") + supp % 5 - 2 + 3 * c).alias("y"), (F.col("w") + 20 + part % 3).alias("w"), (F.col("h") + 20 - supp % 3).alias("h"))
+    return e, f
+
+
+@query("match_metrics", f"""WITH RECURSIVE {BOXES}, {EXPECTED}, {FOUND},
+pairs AS (SELECT * FROM (SELECT a.g, a.kind, a.id AS a, b.id AS b, CAST({INTER} AS DOUBLE) / greatest(1, a.w * a.h + b.w * b.h - ({INTER})) AS iou FROM expected a JOIN found b ON a.g = b.g AND a.kind = b.kind) WHERE iou >= 0.5),
+ups AS (SELECT g, kind, a, min(b) AS low, max(b) AS high FROM pairs GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY g, kind, part ORDER BY a) AS k FROM (SELECT *, sum(CASE WHEN low > seen THEN 1 ELSE 0 END) OVER (PARTITION BY g, kind ORDER BY low, a ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, coalesce(max(high) OVER (PARTITION BY g, kind ORDER BY low, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seen FROM ups))),
+tries AS (SELECT DISTINCT g, kind, part, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, 0.0::DOUBLE AS total FROM turns
+ UNION ALL SELECT t.g, t.kind, t.part, u.k, CASE WHEN p.b IS NULL THEN used ELSE list_append(used, p.b) END, total + coalesce(p.iou, 0) FROM tries t JOIN turns u ON u.g = t.g AND u.kind = t.kind AND u.part = t.part AND u.k = t.k + 1
+  JOIN (SELECT g, kind, a, b, iou FROM pairs UNION ALL SELECT g, kind, a, NULL, NULL FROM ups) p ON p.g = u.g AND p.kind = u.kind AND p.a = u.a WHERE p.b IS NULL OR NOT list_contains(used, p.b)),
+best AS (SELECT g, kind, part, max({{'n': len(used), 'total': total}}) AS m FROM tries t WHERE k = (SELECT max(k) FROM turns u WHERE u.g = t.g AND u.kind = t.kind AND u.part = t.part) GROUP BY ALL),
+sums AS (SELECT kind, CAST(sum(m.n) AS BIGINT) AS matched, sum(m.total) AS total FROM best GROUP BY kind)
+SELECT e.kind, e.n AS expected, f.n AS found, matched, round(matched / e.n, 9) AS recall, round(matched / f.n, 9) AS precision, round(total / matched, 9) AS mean_iou
+FROM (SELECT kind, count(*) AS n FROM expected GROUP BY kind) e JOIN (SELECT kind, count(*) AS n FROM found GROUP BY kind) f USING (kind) JOIN sums USING (kind)""")
+def match_metrics(spark, d):
+    """Recall, precision and mean overlap by kind, after the best one-to-one matching on each page."""
+    from tallyframe.operators import matching
+
+    m = matching.metrics(*expected_found(spark, d), "g", "kind")
+    return m.select("kind", "expected", "found", "matched", *(F.round(c, 9).alias(c) for c in ("recall", "precision", "mean_iou")))
