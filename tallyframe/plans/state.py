@@ -109,3 +109,40 @@ def stream_latest(spark, d):
 def batch_tumbling(spark, d):
     e = table(spark, d, "events")
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+#: A job that runs or waits half a day fails, a failed one is forgotten after two days; known jobs run since their first view.
+LIMIT, FORGET = 12 * 3_600_000, 48 * 3_600_000
+STATUS = {"signup": "queued", "view": "running", "click": "needs_review", "purchase": "completed", "error": "failed"}
+_STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " END"
+_FOLLOWS_SQL = "CASE s2 " + " ".join(f"WHEN '{k}' THEN st IN ({', '.join(repr(x) for x in v)})" for k, v in S.FOLLOWS.items() if v) + " ELSE false END"
+
+
+@query("job_moves", f"""WITH RECURSIVE e0 AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, {_STATUS_SQL} AS st FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+known AS (SELECT user_id, min(ms) AS ms FROM e0 WHERE st = 'running' AND user_id % 3 = 0 GROUP BY user_id),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id IS NULL, ms, event_id) AS k FROM (SELECT * FROM e0 UNION ALL SELECT DISTINCT user_id, (SELECT max(ms) FROM e0) - 3600000, NULL, NULL FROM e0)),
+s AS (SELECT u.user_id, CAST(0 AS BIGINT) AS k, CASE WHEN n.ms IS NOT NULL THEN 'running' END AS status, n.ms + {LIMIT} AS due, NULL::BIGINT AS o_at, NULL::VARCHAR AS o_from, NULL::BIGINT AS f_at, NULL::BIGINT AS ms, NULL::BIGINT AS event_id, NULL::VARCHAR AS s2, NULL::VARCHAR AS st, NULL::BOOLEAN AS legal
+ FROM (SELECT DISTINCT user_id FROM e0) u LEFT JOIN known n USING (user_id)
+ UNION ALL SELECT user_id, k, CASE WHEN legal THEN nullif(st, 'completed') ELSE s2 END, CASE WHEN legal THEN CASE WHEN st IN ('running', 'needs_review') THEN ms + {LIMIT} WHEN st IN ('failed', 'cancelled') THEN ms + {FORGET} END ELSE d2 END,
+  CASE WHEN late THEN d0 END, CASE WHEN late THEN s0 END, CASE WHEN gone THEN d1 END, ms, event_id, s2, st, legal FROM (
+  SELECT *, coalesce(CASE WHEN s2 IS NULL THEN st = 'queued' ELSE {_FOLLOWS_SQL} END, false) AS legal FROM (
+  SELECT *, CASE WHEN gone THEN NULL ELSE s1 END AS s2, CASE WHEN gone THEN NULL ELSE d1 END AS d2 FROM (
+  SELECT *, coalesce(s1 IN ('failed', 'cancelled') AND d1 < ms, false) AS gone FROM (
+  SELECT *, CASE WHEN late THEN 'failed' ELSE s0 END AS s1, CASE WHEN late THEN d0 + {FORGET} ELSE d0 END AS d1 FROM (
+  SELECT s.user_id, e.k, s.status AS s0, s.due AS d0, e.ms, e.event_id, e.st, coalesce(s.status IN ('running', 'needs_review') AND s.due < e.ms, false) AS late FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))))))
+SELECT user_id, make_timestamp(t * 1000) AS "at", event_id, before, after, verdict FROM (
+ SELECT user_id, o_at AS t, NULL AS event_id, o_from AS before, 'failed' AS after, 'timed_out' AS verdict FROM s WHERE o_at IS NOT NULL
+ UNION ALL SELECT user_id, f_at, NULL, 'failed', NULL, 'forgotten' FROM s WHERE f_at IS NOT NULL
+ UNION ALL SELECT user_id, ms, event_id, s2, st, CASE WHEN legal THEN 'moved' ELSE 'illegal' END FROM s WHERE event_id IS NOT NULL)""")
+def job_moves(spark, d):
+    """Every move of every job by the status machine with timers, as a stream with jobs known from before."""
+    from tallyframe.streaming import machine as M
+
+    E, s = _stream(spark, d)
+    of = F.create_map(*(F.lit(x) for item in STATUS.items() for x in item))
+    named = s.select("user_id", "ts", "event_id", F.element_at(of, F.col("event_type")).alias("status"))
+    batch = table(spark, d, "events").where("event_type = 'view' AND user_id % 3 = 0")
+    known = batch.groupBy("user_id").agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ms")).select("user_id", F.lit("running").alias("status"), "ms")
+    with M.rocksdb(spark):
+        out = E.drained(M.moves(named, LIMIT, FORGET, known=known))
+    return out.select("user_id", F.timestamp_millis("ms").cast("timestamp_ntz").alias("at"), "event_id", "before", "after", "verdict")

@@ -68,11 +68,13 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(Latest(), "user_id long, ts timestamp, event_id long, event_type string, events long", "Update", "none")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """What a stream gives once it has read all that is there, as a table in the shared folder.
 
+    folder: that of an earlier call goes on where it ended; the table then holds what both gave.
+
     Every batch is written under its number, so one that is run again replaces itself; of a complete output the last counts."""
-    spark, out = stream.sparkSession, scratch.folder(stream.sparkSession, "stream")
+    spark, out = stream.sparkSession, folder or scratch.folder(stream.sparkSession, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/table/batch={number}")
