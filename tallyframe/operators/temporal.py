@@ -72,10 +72,10 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, order: str, prefi
     values = [c for c in right.columns if c != key]
     of_left, of_right = (df.select(F.struct(*columns).alias("v")).schema["v"].dataType for df, columns in ((left, left.columns), (right, values)))
     known = F.col(key).isNotNull() & F.col(at).isNotNull()
-    lefts = left.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[order].dataType).alias("_o"), known.alias("_known"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(of_right).alias("_r"))
-    rights = right.where(known).select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_side"), F.col(order).alias("_o"), known.alias("_known"), F.lit(None).cast(of_left).alias("_l"), F.struct(*values).alias("_r"))
+    lefts = left.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[order].dataType).alias("_o"), F.xxhash64(*left.columns).alias("_s"), known.alias("_known"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(of_right).alias("_r"))
+    rights = right.where(known).select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(0).alias("_side"), F.col(order).alias("_o"), F.lit(0).cast("long").alias("_s"), known.alias("_known"), F.lit(None).cast(of_left).alias("_l"), F.struct(*values).alias("_r"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = ["_k", "_t", "_side", "_o"]
+    by = ["_k", "_t", "_side", "_o", "_s"]  # the last one divides left rows of one key and time, and those without
     rows = lefts.unionByName(rights).repartitionByRange(n, *by).sortWithinPartitions(*by).select("_k", "_known", "_l", "_r")
     rows = scratch.stored(rows.mapInArrow(_last_right, StructType([StructField("_range", IntegerType()), *rows.schema])), "asof")
     tails = rows.where("_l IS NULL").select("_range", F.struct("_k", "_r").alias("_tail"))  # a row a range

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.operators import temporal as T
 from tallyframe.plans import registry
@@ -64,3 +65,15 @@ def test_overlaps_as_by_loops(spark, width):
 def test_overlaps_makes_no_product(spark):
     plan = registry.QUERIES["sessions_near_errors"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_asof_divides_rows_of_one_key_and_time(spark, monkeypatch):
+    """Left rows that are alike in key and time, or have no key, fall into several ranges."""
+    kept, stored = [], T.scratch.stored
+    monkeypatch.setattr(T.scratch, "stored", lambda df, label: kept.append(stored(df, label)) or kept[-1])
+    a = spark.createDataFrame([(i, 7 if i % 2 else None, 10) for i in range(2000)], "id long, k long, t long")
+    b = spark.createDataFrame([(7, 10, 5), (7, 9, 4)], "k long, t long, o long")
+    got = T.asof(a, b, "k", "t", "o").collect()
+    assert all(r.last_o == (5 if r.id % 2 else None) for r in got) and len(got) == 2000
+    ranges = kept[0].where("_l IS NOT NULL").groupBy("_k").agg(F.countDistinct("_range").alias("n")).collect()
+    assert len(ranges) == 2 and all(r.n > 1 for r in ranges)
