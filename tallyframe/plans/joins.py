@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import boxes as B
 from tallyframe.functions import text as T
+from tallyframe.operators import overlap as O
 from tallyframe.operators import retrieval as R
 from tallyframe.operators import spatial as S
 from tallyframe.operators import state as ST
@@ -135,7 +136,16 @@ s AS (SELECT q.p_partkey AS q, c.p_partkey AS item, count(*) AS shared FROM p q
 SELECT q, item, shared FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY shared DESC, item) = 1""")
 def best_token_overlap(spark, d):
     p = table(spark, d, "part").select("p_partkey", T.tokens(F.col("p_name")).alias("tokens"))
-    return R.best_overlap(p.where("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "q"), p.withColumnRenamed("p_partkey", "item"), "q", "item", "tokens")
+    return O.best_overlap(p.where("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "q"), p.withColumnRenamed("p_partkey", "item"), "q", "item", "tokens")
+
+
+@query("document_token_overlap", """WITH p AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9一-鿿]+'), lambda x: length(x) > 1))) AS t FROM documents),
+s AS (SELECT q.doc_id AS q, c.doc_id AS item, count(*) AS shared FROM p q JOIN p c ON q.t = c.t WHERE q.doc_id % 50 = 0 AND q.doc_id <> c.doc_id GROUP BY ALL)
+SELECT q, item, shared FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY shared DESC, item) = 1""")
+def document_token_overlap(spark, d):
+    """The document that shares most tokens with each of every fiftieth, among all whole texts."""
+    p = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return O.best_overlap(p.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "q"), p.withColumnRenamed("doc_id", "item"), "q", "item", "tokens")
 
 
 @query("review_left_join", """WITH r AS (SELECT doc_id, CAST(quality AS DOUBLE) AS confidence, toxic FROM labels), d AS (SELECT d.source, r.doc_id IS NOT NULL AS found, confidence, toxic, doc_id % 10 / 20.0 AS overlap FROM documents d LEFT JOIN r USING (doc_id))
