@@ -8,6 +8,7 @@ from tallyframe.functions import boxes as B
 from tallyframe.functions import text as T
 from tallyframe.operators import overlap as O
 from tallyframe.operators import retrieval as R
+from tallyframe.operators import rings
 from tallyframe.operators import spatial as S
 from tallyframe.operators import state as ST
 from tallyframe.plans.registry import query, table
@@ -63,7 +64,26 @@ NEAR = "abs(b.x + b.w / 2.0::DOUBLE - a.x - a.w / 2.0::DOUBLE) + abs(b.y + b.h /
 SELECT g, i, nearest, round(distance, 4) AS distance, accepted FROM n QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY round(distance, 9), nearest) = 1""")
 def nearest_box(spark, d):
     b = boxes(spark, d)
-    return S.nearest(b, b, "g", "i").withColumn("distance", F.round("distance", 4))
+    return rings.nearest(b, b, "g", "i").withColumn("distance", F.round("distance", 4))
+
+
+SHIPPED = """shipped AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS g, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS i, l_partkey % 1500 AS x, l_suppkey % 85 * 10 + l_orderkey % 10 AS y, CAST(floor(l_quantity * 4) AS BIGINT) + 2 AS w, CAST(floor(l_quantity * 2) AS BIGINT) + 2 AS h FROM lineitem)"""
+
+
+@query("crowded_nearest_box", f"""WITH {SHIPPED}, n AS (SELECT a.g, a.i, min({{'d': {NEAR}, 'i': b.i, 'c': abs(b.y + b.h / 2.0::DOUBLE - a.y - a.h / 2.0::DOUBLE) <= greatest(48, a.h * 2.5::DOUBLE)}}) AS best FROM shipped a JOIN shipped b ON a.g = b.g AND a.i <> b.i GROUP BY a.g, a.i)
+SELECT g, i, best.i AS nearest, round(best.d, 4) AS distance, best.c AS accepted FROM n""")
+def crowded_nearest_box(spark, d):
+    """Boxes of the line items that were shipped in one month are a page, which is hundreds to millions of boxes."""
+    day, key = F.col("l_shipdate"), F.col("l_orderkey")
+    b = table(spark, d, "lineitem").select(
+        (F.year(day) * 100 + F.month(day)).cast("long").alias("g"),
+        F.concat_ws("-", key, "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("i"),
+        (F.col("l_partkey") % 1500).alias("x"),
+        (F.col("l_suppkey") % 85 * 10 + key % 10).alias("y"),
+        (F.floor(F.col("l_quantity") * 4) + 2).alias("w"),
+        (F.floor(F.col("l_quantity") * 2) + 2).alias("h"),
+    )
+    return rings.nearest(b, b, "g", "i").withColumn("distance", F.round("distance", 4))
 
 
 @query("text_match", f"""WITH {BOXES}, s AS (SELECT a.g, a.i, b.i AS match, CAST(a.n = b.n AS INTEGER) AS by_index, (CASE WHEN a.supp % 3 = b.supp % 3 THEN 100000 ELSE 0 END) - abs(b.x - a.x) - abs(b.y - a.y) AS score FROM boxes a JOIN boxes b ON a.g = b.g WHERE a.kind = 'N' AND b.kind <> 'N')
