@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import boxes as B
 from tallyframe.functions import text as T
 from tallyframe.operators import folds as O
+from tallyframe.operators import scans
 from tallyframe.operators import spatial as S
 from tallyframe.operators import synthesis as Y
 from tallyframe.plans.registry import query, table
@@ -150,6 +151,30 @@ def runs(spark, d):
     return S.runs(li, ["g"], "n")
 
 
+#: Line items of one return flag are a page, down which orders follow one another.
+FLAGGED = """flagged AS (SELECT l_returnflag AS g, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS i, l_partkey % 1500 AS x, l_orderkey * 60 + l_linenumber AS y, CAST(floor(l_quantity * 2) AS BIGINT) + 2 AS h FROM lineitem)"""
+
+
+@query("crowded_bands", f"WITH {FLAGGED}, {_banded('g', 5, 'flagged')} SELECT g, i, band FROM b")
+def crowded_bands(spark, d):
+    """Bands of pages that each hold a third of all rows or so."""
+    key = F.col("l_orderkey")
+    b = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("g"),
+        F.concat_ws("-", key, "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("i"),
+        (F.col("l_partkey") % 1500).alias("x"),
+        (key * 60 + F.col("l_linenumber")).alias("y"),
+        (F.floor(F.col("l_quantity") * 2) + 2).alias("h"),
+    )
+    return scans.bands(b, "g", "i", 5).select("g", "i", "band")
+
+
+@query("crowded_runs", "WITH v AS (SELECT DISTINCT l_returnflag AS g, l_orderkey AS n FROM lineitem), k AS (SELECT *, n - row_number() OVER (PARTITION BY g ORDER BY n) AS island FROM v) SELECT g, min(n) AS first, max(n) AS last, count(*) AS length FROM k GROUP BY g, island")
+def crowded_runs(spark, d):
+    """Runs of consecutive orders with items of one return flag."""
+    return scans.runs(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_orderkey").alias("n")), ["g"], "n")
+
+
 @query("lead_width", f"""WITH {BOXES}, r AS (SELECT g, i, x, y // 100 AS r FROM boxes), l AS (SELECT *, lead(x) OVER (PARTITION BY g, r ORDER BY x, i) AS next_x FROM r), o AS (SELECT *, next_x - x - 34 AS own FROM l),
 p AS (SELECT *, avg(CASE WHEN own BETWEEN 320 AND 650 THEN own END) OVER (PARTITION BY g, r ORDER BY x, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM o)
 SELECT g, i, next_x, CAST(coalesce(own, floor(prior + 0.5), 455) AS BIGINT) AS width FROM p""")
