@@ -153,6 +153,28 @@ def json_commas(spark, d):
     return j.select("event_id", F.get_json_object("j", "$.a.k").cast("long").alias("k"), F.get_json_object("j", "$.list[2]").cast("long").alias("last"))
 
 
+KNOWN_FIELDS = ["props", "props.k", "user", "list", "list[]"]
+
+
+@query("field_paths", """WITH e AS (SELECT *, event_id % 7 = 3 AS bad FROM events), f AS (
+SELECT event_type, NULL AS path, 'malformed' AS kind, false AS known FROM e WHERE bad
+UNION ALL SELECT event_type, 'props', 'object', true FROM e WHERE NOT bad
+UNION ALL SELECT event_type, 'props.' || unnest(json_keys(props)), 'number', true FROM e WHERE NOT bad
+UNION ALL SELECT event_type, 'user', CASE WHEN user_id IS NULL THEN 'null' ELSE 'number' END, true FROM e WHERE NOT bad
+UNION ALL SELECT event_type, 'value', CASE WHEN value IS NULL THEN 'null' ELSE 'number' END, false FROM e WHERE NOT bad AND event_type = 'purchase'
+UNION ALL SELECT event_type, 'list', 'array', true FROM e WHERE NOT bad
+UNION ALL SELECT event_type, 'list[]', unnest(['number', 'string', 'number']), true FROM e WHERE NOT bad)
+SELECT event_type, path, kind, count(*) AS n, known FROM f GROUP BY ALL""")
+def field_paths(spark, d):
+    """Fields of objects without commas, repaired: one kind of event has a field that no schema names, one row in seven cannot be mended."""
+    e = table(spark, d, "events")
+    or_null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    value = F.when(F.col("event_type") == "purchase", F.concat(F.lit(' "value": '), or_null("value"))).otherwise("")
+    broken = F.concat(F.lit('{"props": '), "props", F.lit(' "user": '), or_null("user_id"), value, F.lit(' "list": [1 "two" '), F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 3, "}").otherwise("]}"))
+    v = I.as_variant(e.select("event_type", broken.alias("t")), "t", "v")
+    return I.fields(v, "event_type", "t", "v", KNOWN_FIELDS, levels=2)
+
+
 @query("evidence_shapes", "SELECT event_id, event_id % 4 = 0 AS valid FROM events")
 def evidence_shapes(spark, d):
     k = F.col("event_id") % 4
