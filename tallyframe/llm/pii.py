@@ -8,8 +8,18 @@ its brand digit and the validity of its check digit, an IBAN its country and tha
 number its country code) and mapped by a cycle: the inverse of a keyed Feistel network, one step on, and the
 network again. That is one to one, never the value itself, and the same wherever the entity occurs, so
 distinct entities stay distinct and one entity stays one, in any number of documents, without a table of what
-has been seen. The format is put back after: separators, case, groups and leading zeros. A name's last letter
-stays among endings of its gender, frequent consonants stay frequent. `checked` holds a corpus against it.
+has been seen. Values that no valid one can be (check digits out of range, an address in the range for mapped
+ones, a secret of other characters than hex digits) are mapped among themselves. The format is put back after:
+separators, case, groups and leading zeros.
+
+A name's surrogate depends on the name alone, not on the title before it, so one person is one in all documents
+(Mrs Smith, Dr Smith). Its gender is in its ending, which stays: a stays a, o stays o, other vowels stay among
+themselves; frequent consonants stay frequent.
+
+The key is the session's `spark.tallyframe.surrogate.key` or an argument; whoever has it can undo the surrogates.
+Where a session names none, `DEMO_KEY` is used with a warning: good for trials, not for data that is given away.
+`collisions` compares a corpus's entities and returns those that are not one to one; `op5_surrogates` counts them
+in each document, so a clash is seen in its rows and costs no other document its result.
 
 Defined results: a null text stays null with no entities; an empty one stays empty; texts without entities
 come back unchanged; all other columns pass through (`text` is replaced, n_entities and entities are new and
@@ -22,6 +32,7 @@ import hashlib
 import ipaddress
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +43,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tallyframe.llm import common
 
-KEY = b"tallyframe surrogate key"
+KEY_SETTING = "spark.tallyframe.surrogate.key"
+#: Public, hence no protection.
+DEMO_KEY = b"tallyframe surrogate key"
 #: original and surrogate as written, value and stands_in without format.
 NAMES = ("kind", "start", "original", "surrogate", "value", "stands_in")
 ENTITY = StructType([StructField(n, IntegerType() if n == "start" else StringType()) for n in NAMES])
@@ -198,11 +211,12 @@ def iban_check(country: str, account: str) -> int:
 
 
 def _iban(value: str, key: bytes) -> str:
+    """Check digits from 02 to 98 stay as far from the right ones as they were; no others can be right, and those stay."""
     country, check, account = value[:2], int(value[2:4]), value[4:]
-    off = (check - iban_check(country, account)) % 97
+    off = (check - iban_check(country, account)) % 97 if 2 <= check <= 98 else None
     groups = ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in account]
     account = _by_groups(account, groups, key, f"iban{country}")
-    return f"{country}{(iban_check(country, account) + off - 2) % 97 + 2:02d}{account}"
+    return f"{country}{check if off is None else (iban_check(country, account) + off - 2) % 97 + 2:02d}{account}"
 
 
 def _ipv6_groups(text: str) -> list[int]:
@@ -219,6 +233,8 @@ def _ipv6(value: str, key: bytes) -> str:
     sizes = [len(g) if g != "0" else 0 for g in value.split(":")]
     low = [16 ** (n - 1) if n > 1 else 1 for n in sizes]
     radix = [16**n - a if n else 1 for n, a in zip(sizes, low)]
+    if not any(sizes[:5]) and sizes[5] == 4:
+        radix[5] -= 1  # ffff, the last one, is the range of mapped addresses
     got = _mixed([int(g, 16) - a if n else 0 for g, a, n in zip(value.split(":"), low, sizes)], radix, _keyed(key, f"ipv6{sizes}"))
     return ":".join(f"{v + a:x}" if n else "0" for v, a, n in zip(got, low, sizes))
 
@@ -236,22 +252,21 @@ def _by_groups(text: str, groups: list[str], key: bytes, kind: str) -> str:
     return "".join(out)
 
 
-# Letters of names by how frequent they are, and what last letters stay among, by gender.
+# Letters of names by how frequent they are, and what last vowels, which tell gender, stay among.
 NAME_CLASSES = ("aeiouy", "bdgklmnprstv", "cfhjqwxz")
-ENDINGS = {"f": ("a", "eiy"), "m": ("o", "ei", "au"), "x": ()}
+ENDINGS = ("a", "o", "eiuy")
 
 
-def _name(value: str, key: bytes, gender: str) -> str:
+def _name(value: str, key: bytes) -> str:
     groups = [next((c for c in NAME_CLASSES if x in c), None) or _CLASS.get(x) or _block(x) or "" for x in value]
     if len(value) > 2:
-        last = value[-1]
-        groups[-1] = "" if gender == "x" else next((e for e in ENDINGS[gender] if last in e), groups[-1])
+        groups[-1] = next((e for e in ENDINGS if value[-1] in e), groups[-1])
     return _by_groups(value, groups, key, "name")
 
 
 def canonical(kind: str, text: str) -> str:
     """An entity's value, the same however it is written."""
-    if kind in ("email", "mac") or kind.startswith("name") or kind == "secret" and _ALL_HEX.fullmatch(text):
+    if kind in ("email", "mac", "name") or kind == "secret" and _ALL_HEX.fullmatch(text):
         low = text.lower() if len(text.lower()) == len(text) else text
         return re.sub("[:-]", "", low) if kind == "mac" else low
     if kind in ("card", "ssn"):
@@ -266,7 +281,7 @@ def canonical(kind: str, text: str) -> str:
 
 
 @lru_cache(maxsize=100_000)
-def stand_in(kind: str, value: str, key: bytes = KEY) -> str:
+def stand_in(kind: str, value: str, key: bytes) -> str:
     """The value that stands for a canonical one."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -274,10 +289,13 @@ def stand_in(kind: str, value: str, key: bytes = KEY) -> str:
         return f"{permuted(local, key, 'local')}@{permuted(name, key, 'domain')}.{top}"
     if kind == "mac" or kind == "secret" and _ALL_HEX.fullmatch(value):
         return permuted(value, key, kind, alphabet="0123456789abcdef")
-    if kind.startswith("name"):
-        return _name(value, key, kind[-1])
-    known = {"ipv4": _octets, "card": _card, "phone": _phone, "iban": _iban, "ipv6": _ipv6}.get(kind)
-    return known(value, key) if known else permuted(value, key, kind)
+    known = {"ipv4": _octets, "card": _card, "phone": _phone, "iban": _iban, "ipv6": _ipv6, "name": _name}.get(kind)
+    if known:
+        return known(value, key)
+    out = permuted(value, key, kind)
+    while kind == "secret" and out != value and _ALL_HEX.fullmatch(out):
+        out = permuted(out, key, kind)  # those of hex digits alone are mapped among themselves
+    return out
 
 
 def _placed(text: str, fresh: str, wanted) -> str:
@@ -326,7 +344,7 @@ def _ipv6_like(text: str, groups: list[int]) -> str:
     return f"{out}{'' if not tail or out.endswith('::') else ':'}{tail}"
 
 
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+def surrogate(kind: str, text: str, key: bytes) -> str:
     return formatted(kind, text, stand_in(kind, canonical(kind, text), key))
 
 
@@ -370,22 +388,21 @@ def detected(text: str) -> list[tuple[int, int, str]]:
             good = m.lastgroup != "ipv6" or _is_ipv6(m.group())
         if good:
             add(*m.span(), m.lastgroup)
-    names: dict[str, str] = {}
+    names: set[str] = set()
     for pattern, hinted in ((_TITLED, any(h in text for h in _TITLE_HINTS)), (_PHRASED, any(p.casefold() in low for p in PHRASES))):
         for m in pattern.finditer(text) if hinted else ():
-            gender = next((g for g in "fmx" if m.groupdict().get(g)), "x")
             for part in m.group("name").split(" "):
                 part = _OWNS.sub("", part)
                 if part[:1].isupper():
-                    names.setdefault(part, f"name-{gender}")
+                    names.add(part)
                 else:
                     break
     for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b", text) if names else ():
-        add(*m.span(), names[m.group()])
+        add(*m.span(), "name")
     return sorted(found)
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, str, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, str, str]]]:
     """The text with surrogates, and (kind, place in the original, original, surrogate)."""
     out, at, entities = [], 0, []
     for start, end, kind in detected(text):
@@ -396,8 +413,17 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, str
     return "".join(out) + text[at:], entities
 
 
-def surrogates(docs: DataFrame, column: str = "text", key: bytes = KEY) -> DataFrame:
-    """docs with entities in `column` replaced, n_entities and entities."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with a public key", stacklevel=3)
+    return named.encode() if named else DEMO_KEY
+
+
+def surrogates(docs: DataFrame, column: str = "text", key: bytes | None = None) -> DataFrame:
+    """docs with entities in `column` replaced, n_entities and entities; the session's key where none is given."""
+    key = key or session_key(docs.sparkSession)
     docs = docs.drop("n_entities", "entities")
     at = docs.columns.index(column)
     kind = pa.list_(pa.struct([(n, pa.int32() if n == "start" else pa.string()) for n in NAMES]))
@@ -419,26 +445,29 @@ def surrogates(docs: DataFrame, column: str = "text", key: bytes = KEY) -> DataF
     return common.lean(docs).mapInArrow(run, StructType(docs.schema.fields + added))
 
 
-class Collision(ValueError):
-    """Two entities have one surrogate, or one has two."""
-
-
 def collisions(done: DataFrame) -> DataFrame:
-    """Values that stand for two of a kind, or that have two: none, if all is well. Values are compared without their format."""
+    """(kind, value) of values that stand for two of a kind, or that have two: none, if all is well. Values are compared without their format."""
     one = done.select(F.explode("entities").alias("e")).select("e.kind", F.col("e.value").alias("original"), F.col("e.stands_in").alias("surrogate")).distinct()
     two = one.groupBy("kind", "surrogate").count().where("count > 1").select("kind", F.col("surrogate").alias("value"))
     return two.union(one.groupBy("kind", "original").count().where("count > 1").select("kind", "original"))
 
 
-def checked(done: DataFrame) -> DataFrame:
-    """done, written and held against collisions."""
+def with_collisions(done: DataFrame) -> DataFrame:
+    """done, written, with n_collisions: how many of a row's entities are among `collisions`."""
+    done = done.drop("n_collisions").withColumn("_row", F.monotonically_increasing_id())
     done = common.stored(done, "pii-surrogates")
-    if not collisions(done).isEmpty():
-        raise Collision("surrogates are not one to one")
-    return done
+    clashes = common.stored(collisions(done), "pii-collisions")
+    n = clashes.count()
+    if not n:
+        return done.withColumn("n_collisions", F.lit(0)).drop("_row")
+    e, c = done.select("_row", F.explode("entities").alias("e")), common.small(clashes, n).alias("c")
+    hit = (F.col("e.kind") == F.col("c.kind")) & (F.col("_key") == F.col("c.value"))
+    keys = e.select("_row", "e", F.explode(F.array_distinct(F.array("e.value", "e.stands_in"))).alias("_key"))
+    hits = keys.join(c, hit, "left_semi").select("_row", "e.start").distinct().groupBy("_row").agg(F.count("*").cast("int").alias("n_collisions"))
+    return done.join(hits, "_row", "left").withColumn("n_collisions", F.coalesce("n_collisions", F.lit(0))).drop("_row")
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = checked(surrogates(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    done = with_collisions(surrogates(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     kinds = F.array_join(F.transform("entities", lambda e: e["kind"]), "|")
-    return done.select("doc_id", "text", "n_entities", kinds.alias("kinds"))
+    return done.select("doc_id", "text", "n_entities", kinds.alias("kinds"), "n_collisions")
