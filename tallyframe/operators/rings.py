@@ -71,14 +71,14 @@ def candidates(pending: DataFrame, points: DataFrame, page: str, doubled: int) -
     return a.join(b, cell, "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, page: str, id_: str, weight_y: float = 1.35, few: int = FEW) -> DataFrame:
-    """(page, id, nearest, distance, accepted) as `spatial.nearest` has them, of equal distances the smallest id."""
+def nearest(left: DataFrame, right: DataFrame, page: str, id_: str, weight_y: float = 1.35, few: int = FEW, places: int | None = None) -> DataFrame:
+    """(page, id, nearest, distance, accepted) as `spatial.nearest` has them, of equal distances (rounded to places, if given) the smallest id."""
     left, right = _usable(left, page, id_), _usable(right, page, id_)
     crowded = grids(right, page, weight_y).where(F.col("_n") > few)
     if crowded.isEmpty():
-        return S.nearest(left, right, page, id_, weight_y)
+        return S.nearest(left, right, page, id_, weight_y, places)
     grid = scratch.stored(crowded, "grids")
-    apart = S.nearest(*(df.join(grid.select(page), page, "left_anti") for df in (left, right)), page, id_, weight_y)
+    apart = S.nearest(*(df.join(grid.select(page), page, "left_anti") for df in (left, right)), page, id_, weight_y, places)
 
     first = W.partitionBy(page, "_cx", "_cy").orderBy(id_)
     points = _celled(right, grid, page, weight_y).withColumn("_at", F.row_number().over(first)).where("_at <= 2")
@@ -87,12 +87,13 @@ def nearest(left: DataFrame, right: DataFrame, page: str, id_: str, weight_y: fl
     pending, found, doubled = _celled(left, grid, page, weight_y).select(*kept), [], 0
     other = F.element_at(F.array_remove("_ids", F.col(id_)), 1)
     distance = F.abs(F.col("_px") - F.col("_cx")) + F.abs(F.col("_py") - F.col("_cy")) * weight_y
+    rank, slack = (distance, 0.0) if places is None else (F.round(distance, places), 10.0**-places)
     while True:
         met = candidates(pending, points, page, doubled).withColumn("_other", F.when(F.size("_ids") > F.array_contains("_ids", F.col(id_)).cast("int"), other))
-        best = F.min(F.when(F.col("_other").isNotNull(), F.struct(distance.alias("d"), F.col("_other").alias("i"), F.col("_py").alias("y"))))
+        best = F.min(F.when(F.col("_other").isNotNull(), F.struct(rank.alias("r"), F.col("_other").alias("i"), distance.alias("d"), F.col("_py").alias("y"))))
         reach = F.col("_side") * 2.0**doubled * (1 - 1e-9)
         whole = F.shiftright("_top", doubled) <= 1
-        done = whole | F.coalesce(F.col("_best.d") - F.col("_moved") < reach, F.lit(False))
+        done = whole | F.coalesce(F.col("_best.d") + slack - F.col("_moved") < reach, F.lit(False))
         looked = scratch.stored(met.groupBy(*kept, *([] if doubled else ["_bx", "_by"])).agg(best.alias("_best")).withColumn("_done", done), f"rings{doubled}").drop("_bx", "_by")
         found.append(looked.where("_done AND _best IS NOT NULL"))
         pending, doubled = looked.where("NOT _done").select(*kept), doubled + 1

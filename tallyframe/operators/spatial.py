@@ -53,13 +53,15 @@ def best_match(left: DataFrame, right: DataFrame, page: str, id_: str, on: Colum
     return hit.withColumn("_at", at).where("_at = 1").select(F.col(f"a.{page}").alias(page), F.col(f"a.{id_}").alias(id_), *take)
 
 
-def nearest(left: DataFrame, right: DataFrame, page: str, id_: str, weight_y: float = 1.35) -> DataFrame:
-    """The nearest other box by centre distance, weighted; accepted if the rows are close (max of 48 px and 2.5 heights)."""
+def nearest(left: DataFrame, right: DataFrame, page: str, id_: str, weight_y: float = 1.35, places: int | None = None) -> DataFrame:
+    """The nearest other box by centre distance, weighted; accepted if the rows are close (max of 48 px and 2.5 heights).
+
+    Of equal distances the smallest id; with places, distances that round to the same are equal."""
     a, b = B.box("a."), B.box("b.")
     distance = F.abs(b.cx - a.cx) + F.abs(b.cy - a.cy) * weight_y
     close = F.abs(b.cy - a.cy) <= F.greatest(F.lit(48), a.h * 2.5)
     take = [F.col(f"b.{id_}").alias("nearest"), distance.alias("distance"), close.alias("accepted")]
-    return best_match(left, right, page, id_, F.col(f"a.{id_}") != F.col(f"b.{id_}"), distance.asc(), F.col(f"b.{id_}").asc(), take=take)
+    return best_match(left, right, page, id_, F.col(f"a.{id_}") != F.col(f"b.{id_}"), (distance if places is None else F.round(distance, places)).asc(), F.col(f"b.{id_}").asc(), take=take)
 
 
 def text_match(lines: DataFrame, texts: DataFrame, page: str, id_: str, query: Column, text: Column) -> DataFrame:

@@ -78,3 +78,14 @@ def test_same_as_all_pairs(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([r for g in range(5) for r in rows_of(rng, 100, g, spread=90)], COLUMNS)
     assert sorted(rings.nearest(df, df, "g", "i").collect()) == sorted(S.nearest(df, df, "g", "i").collect())
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_distances_that_round_to_the_same_are_equal(spark, few):
+    """Two centres at one distance whose sums in doubles differ in the last place: the smaller id, as the SQL's rounded order has it."""
+    near, far = next(((u, v), (x, y)) for v in range(1, 60) for y in range(v + 20, v + 21) for u in range(40, 60) for x in [u - 27] if u + v * 1.35 < x + y * 1.35)
+    rows = [(1, 1, 0.0, 0.0, 2.0, 2.0), (1, 2, *map(float, far), 2.0, 2.0), (1, 3, *map(float, near), 2.0, 2.0)]
+    df = spark.createDataFrame(rows + [(1, 9, 900.0, 900.0, 2.0, 2.0)], COLUMNS)
+    got = {r.i: r.nearest for r in rings.nearest(df, df, "g", "i", few=few, places=9).collect()}
+    assert got[1] == 2
+    assert {r.i: r.nearest for r in rings.nearest(df, df, "g", "i", few=few).collect()}[1] == 3
