@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -27,6 +28,17 @@ def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = Fal
     return df if exclude is None else df.where(~F.col("path").rlike(exclude))
 
 
+def file_heads(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False, n: int = 4) -> DataFrame:
+    """file_path and the first n bytes of files, empty ones left out. Files are read in splits, so a large one is many tasks; of a
+    binary file's `content` one task would hold all."""
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).option("lineSep", "\n").text(path)
+    lines = lines.select("_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size", F.substring(F.col("value").cast("binary"), 1, n).alias("_head"), F.monotonically_increasing_id().alias("_at"))
+    first = lines.where("file_block_start = 0").withColumn("_k", F.row_number().over(W.partitionBy("file_path").orderBy("_at"))).where(F.col("_k") <= n + 1)
+    heads = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_head"))), lambda r: F.hex(r["_head"]))
+    whole = F.unhex(F.concat(F.array_join(heads, "0A"), F.lit("0A")))  # the last line break of a file ends no line
+    return first.groupBy("file_path").agg(F.substr(whole, F.lit(1), F.least(F.lit(n), F.max("file_size")).cast("int")).alias("head"))
+
+
 def joined_by_stem(*sources: DataFrame) -> DataFrame:
     """Sources with a stem column, joined where all of them have the stem."""
     out = sources[0]
