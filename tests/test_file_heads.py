@@ -27,3 +27,11 @@ def test_no_task_holds_a_whole_file(spark, tmp_path):
     done = registry.QUERIES["file_scan"](spark, str(tmp_path))
     assert {r.magic for r in done.collect()} == {"PAR1"}
     assert "content" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_queries_read_given_tables(spark):
+    """The linter ran on rows made up in the program, the join on listings alone."""
+    sf = "/root/testdata/sf0.001"
+    for name, files in (("policy_linter", "part.parquet"), ("stem_join", "conversations.parquet")):
+        assert any(f.endswith(files) for f in registry.QUERIES[name](spark, sf).inputFiles())
+    assert {r.stem for r in registry.QUERIES["stem_join"](spark, sf).collect()} >= {"orders", "events", "documents"}
