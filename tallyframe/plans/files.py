@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators import catalog as C
@@ -73,9 +76,14 @@ def _nested(spark, d) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
+#: Tables whose name ends with s, and a column that tells their rows apart.
+KEYED = {"orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "labels": "doc_id", "conversations": "conv_id"}
+
+
 @query("stem_join")
 def stem_join(spark, d):
-    """Two listings of files joined where both have a file of the same stem."""
+    """A listing of files joined with the rows that files of a second set hold, where both have a file of the same stem."""
     one = S.files(spark, d, "*.parquet", _nested(spark, d)).select("stem", "length")
-    two = S.files(spark, d, "*s.parquet", _nested(spark, d)).select("stem", F.col("name").alias("listed"))
-    return S.joined_by_stem(one, two)
+    keys = [table(spark, d, t).select(F.col("_metadata.file_name").alias("listed"), F.col(key).cast("string").alias("key")) for t, key in KEYED.items()]
+    of = reduce(DataFrame.unionByName, keys).groupBy("listed").agg(F.count("key").alias("rows"), F.min("key").alias("first"), F.max("key").alias("last"))
+    return S.joined_by_stem(one, of.withColumn("stem", F.regexp_extract("listed", r"^([^.]*)", 1)))
