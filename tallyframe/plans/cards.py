@@ -107,7 +107,7 @@ SELECT g, id, 'host' AS part, cx::BIGINT AS x, cy::BIGINT AS y, cw::BIGINT AS w,
 UNION ALL SELECT g, id, 'label', cx + 8, cy + 8, greatest(180, start - cx - 48), greatest(40, ch - 16), CASE WHEN fill <> '' AND fill <> '#FFFFFF' THEN fill ELSE '#C60000' END, greatest(8, coalesce(radius, 0)) FROM done""")
 def wide_labels(spark, d):
     """Wide cards fitted to their texts, with the block behind their label."""
-    b = laid_out(spark, d)
+    b = boxes(spark, d)
     return C.wide_labels(elements(b), texts(b), "g")
 
 
