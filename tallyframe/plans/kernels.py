@@ -23,13 +23,19 @@ def picture(key: int, h: int = 90, w: int = 160) -> np.ndarray:
     return out
 
 
+def suppliers(spark, d):
+    """Keys of pictures, dealt to as many tasks as the session asks for: a file of a few bytes a picture would be one task."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, d, "supplier").select("s_suppkey").repartition(n, "s_suppkey")
+
+
 def images(spark, d):
     def run(batches):
-        for b in batches:
+        for b in P.slices(batches):
             keys = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([90] * len(keys), pa.int32()), pa.array([160] * len(keys), pa.int32()), pa.array([picture(k).tobytes() for k in keys], pa.binary())], ["s_suppkey", "height", "width", "rgb"])
 
-    return table(spark, d, "supplier").select("s_suppkey").mapInArrow(run, "s_suppkey long, height int, width int, rgb binary")
+    return suppliers(spark, d).mapInArrow(run, "s_suppkey long, height int, width int, rgb binary")
 
 
 @query("visual_candidates")
@@ -93,11 +99,11 @@ def encoded(key: int) -> bytes:
 
 def uploads(spark, d):
     def run(batches):
-        for b in batches:
+        for b in P.slices(batches):
             data = [encoded(k) for k in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(data, pa.binary())], ["s_suppkey", "length", "content"])
 
-    return table(spark, d, "supplier").select("s_suppkey").mapInArrow(run, "s_suppkey long, length long, content binary")
+    return suppliers(spark, d).mapInArrow(run, "s_suppkey long, length long, content binary")
 
 
 @query("image_sizes", f"""WITH {PLACED} SELECT s_suppkey, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height FROM placed WHERE s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0
@@ -115,7 +121,7 @@ def accepted_uploads(spark, d):
 
 def _alpha(spark, d, kernel, out: str):
     """kernel(rgb, alpha) gives rows for each placed picture."""
-    keys = table(spark, d, "supplier").select("s_suppkey", F.lit(1).alias("height"), F.lit(1).alias("width"), F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright("s_suppkey", s).bitwiseAND(255)), 2, "0")) for s in (16, 8, 0)]).alias("rgb"))
+    keys = suppliers(spark, d).select("s_suppkey", F.lit(1).alias("height"), F.lit(1).alias("width"), F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright("s_suppkey", s).bitwiseAND(255)), 2, "0")) for s in (16, 8, 0)]).alias("rgb"))
     return P.applied(keys, "s_suppkey", lambda x: kernel(*placed(int(x[0, 0] @ np.array([65536, 256, 1])))), out)
 
 
