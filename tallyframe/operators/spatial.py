@@ -122,9 +122,15 @@ def inferred_hosts(df: DataFrame, existing: DataFrame, page: str, id_: str, top:
 
 
 def runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Runs of consecutive integers: first, last and length."""
-    island = F.col(value) - F.row_number().over(W.partitionBy(*keys).orderBy(value))
-    return df.select(*keys, value).distinct().withColumn("_i", island).groupBy(*keys, "_i").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("length")).drop("_i")
+    """Runs of consecutive integers: first, last and length.
+
+    One shuffle and one sort, with equal values side by side; of a run only its two ends are kept, so nothing is held by value."""
+    v, order = F.col(value), W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_first())
+    starts, stops = (~F.coalesce(step.isin(0, 1), F.lit(False)) for step in (v - F.lag(value).over(order), F.lead(value).over(order) - v))
+    null = F.lag(F.lit(1)).over(order).isNull()  # of null values one row is left, a run of its own
+    ends = df.select(*keys, value).withColumns({"_first": F.when(v.isNull(), null).otherwise(starts), "_last": F.when(v.isNull(), null).otherwise(stops)})
+    ends = ends.where("_first OR _last").withColumn("last", F.when(F.col("_last"), v).otherwise(F.lead(value).over(order)))
+    return ends.where("_first").select(*keys, v.alias("first"), "last", F.coalesce(F.col("last") - v + 1, F.lit(1)).cast("long").alias("length"))
 
 
 def column_widths(df: DataFrame, page: str, row: str, id_: str, gap: int = 34, low: int = 320, high: int = 650, default: int = 455) -> DataFrame:

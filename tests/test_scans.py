@@ -60,3 +60,13 @@ def test_repeated_rows_and_none(spark):
     assert sorted((r.y, r.band) for r in scans.bands(df, "g", "i", 3).collect()) == sorted([(0, 0), (0, 0), (9, 1), (9, 1), (9, 1), (40, 2)] * 3)
     none = df.where("false")
     assert scans.bands(none, "g", "i", 3).count() == 0 and scans.runs(none, ["g"], "y").count() == 0
+
+
+def test_runs_hold_nothing_by_value(spark):
+    """Runs of small groups come of one shuffle and a sort: no hash table of distinct values or of runs; nulls and repeats as in SQL."""
+    rows = [("a", v) for v in (5, 5, 6, 7, 9, None, None, 11, 12, 12)] + [("b", 1), ("c", None), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "g string, n long")
+    found = spatial.runs(df, ["g"], "n")
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [("a", 5, 7, 3), ("a", 9, 9, 1), ("a", 11, 12, 2), ("a", None, None, 1), ("b", 1, 1, 1), ("c", None, None, 1), (None, 3, 4, 2)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
