@@ -15,14 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallyframe.operators.state import FOLLOWS
 
 OUT = "user_id long, ms long, event_id long, before string, after string, verdict string"
+MOVE = Row(*(c.split()[0] for c in OUT.split(", ")))
 #: Statuses with a deadline, and those that are forgotten after a while.
 WAITING, IDLE = ("running", "needs_review"), ("failed", "cancelled")
 
@@ -58,7 +58,8 @@ class Machine:
 
 
 class JobMachine(StatefulProcessor):
-    """One Machine a key, kept in the state store; its deadline is the key's one timer."""
+    """One Machine a key, kept in the state store; its deadline is the key's one timer. Rows come as they are: a pandas frame for each
+    key would cost more than its moves."""
 
     def __init__(self, limit: int, forget: int):
         self.limit, self.forget = limit, forget
@@ -81,25 +82,20 @@ class JobMachine(StatefulProcessor):
             if m.due is not None:
                 self.handle.registerTimer(m.due + 1)
 
-    @staticmethod
-    def _rows(key, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in OUT.split(", ")])
-        return out.astype({"ms": "Int64", "event_id": "Int64"})
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         m = Machine(self.limit, self.forget)
-        m.enter(initialState["status"].iloc[0], int(initialState["ms"].iloc[0]))
+        m.enter(initialState["status"], initialState["ms"])
         self._keep(m, None)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         m = self._load()
         was, out = m.due, []
-        for ms, event_id, status in sorted((r for pdf in rows for r in zip(pdf["ms"].tolist(), pdf["event_id"].tolist(), pdf["status"].tolist()))):
+        for ms, event_id, status in sorted((r["ms"], r["event_id"], r["status"]) for r in rows):
             out += m.event(ms, event_id, status)
         self._keep(m, was)
-        yield self._rows(key, out)
+        yield from (MOVE(key[0], *r) for r in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         m = self._load()
         out = list(m.passed(max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs()))))  # all that is due by now
         # the timer that has come is gone; a new deadline needs a new one
@@ -109,8 +105,7 @@ class JobMachine(StatefulProcessor):
             self.state.update((m.status, m.due))
             if m.due is not None:
                 self.handle.registerTimer(m.due + 1)
-        if out:
-            yield self._rows(key, out)
+        yield from (MOVE(key[0], *r) for r in out)
 
     def close(self) -> None:
         pass
@@ -133,4 +128,4 @@ def moves(events: DataFrame, limit: int, forget: int, late: str = "1 hour", know
     held = events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("status").isin(*FOLLOWS)).withWatermark("ts", late)
     held = held.select("user_id", "ts", "event_id", "status", F.unix_millis("ts").alias("ms"))
     first = None if known is None else known.select("user_id", "status", "ms").groupBy("user_id")
-    return held.groupBy("user_id").transformWithStateInPandas(JobMachine(limit, forget), OUT, "Append", "EventTime", first)
+    return held.groupBy("user_id").transformWithState(JobMachine(limit, forget), OUT, "Append", "EventTime", first)

@@ -98,3 +98,16 @@ def test_rules_as_a_fold(seed):
             got += [(user, *r) for r in m.event(ms, i, s)]
         got += [(user, *r) for r in m.passed(watermark)]
     assert key(got) == key(fold(events, {}, watermark))
+
+
+def test_moves_are_rows():
+    """A job's rows are taken and given as rows; a pandas frame for each job took most of the time."""
+    from types import SimpleNamespace as Of
+
+    kept = {}
+    state = Of(exists=lambda: "s" in kept, get=lambda: kept["s"], update=lambda v: kept.update(s=v), clear=lambda: kept.pop("s", None))
+    job = M.JobMachine(LIMIT, FORGET)
+    job.init(Of(getValueState=lambda *_: state, registerTimer=lambda at: kept.update(due=at), deleteTimer=lambda at: kept.pop("due")))
+    got = list(job.handleInputRows((7,), iter([{"ms": 5, "event_id": 2, "status": "running"}, {"ms": 3, "event_id": 1, "status": "queued"}]), None))
+    assert [r.asDict() for r in got] == [dict(user_id=7, ms=m, event_id=e, before=b, after=a, verdict="moved") for m, e, b, a in ((3, 1, None, "queued"), (5, 2, "queued", "running"))]
+    assert kept == {"s": ("running", 5 + LIMIT), "due": 6 + LIMIT}
