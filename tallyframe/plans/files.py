@@ -48,7 +48,9 @@ def csv_round_trip(spark, d):
 def page_documents(spark, d):
     """Every page as a JSON document in a file of its own, read back."""
     at = _folder(spark)
-    table(spark, d, "pages").select("page_id", "html").write.option("maxRecordsPerFile", 1).json(at)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = table(spark, d, "pages").select("page_id", "html").repartition(n, "page_id")
+    S.write_documents(dealt, at)
     docs = S.json_documents(spark, at, "html string, page_id long")
     return docs.select("page_id", F.length("html").cast("long").alias("n"))
 

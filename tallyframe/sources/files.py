@@ -102,5 +102,11 @@ def write_document(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_documents(df: DataFrame, path: str) -> None:
+    """A file for each row, into a new folder. Each task moves its own files into place, as the driver would move all of them one by
+    one; so the folder is whole once this returns, not before."""
+    df.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
+
+
 def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
