@@ -89,3 +89,46 @@ def test_distances_that_round_to_the_same_are_equal(spark, few):
     got = {r.i: r.nearest for r in rings.nearest(df, df, "g", "i", few=few, places=9).collect()}
     assert got[1] == 2
     assert {r.i: r.nearest for r in rings.nearest(df, df, "g", "i", few=few).collect()}[1] == 3
+
+
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_tiles_that_see_little(spark, monkeypatch, sent):
+    """Tiles of two cells with one around them: boxes far off look again in the page's grid, with and without a broadcast."""
+    rng = random.Random(11)
+    rows = rows_of(rng, 200, 1, spread=60) + rows_of(rng, 90, 2, spread=9) + rows_of(rng, 5, 2, 500, 90_000) + rows_of(rng, 40, 3, near=(7.0, 7.0)) + rows_of(rng, 1, 3, 90, 5000)
+    outside = rows + [(1, 900 + i, x - 4000, y - 9000, w, h) for i, (_, _, x, y, w, h) in enumerate(rows_of(rng, 20, 1, spread=8000))]
+    looks, plain = [], rings.candidates
+    monkeypatch.setattr(rings, "candidates", lambda *a: looks.append(plain(*a)) or looks[-1])
+    for name, value in (("TILE", 1), ("HALO", 0), ("SENT", sent)):
+        monkeypatch.setattr(rings, name, value)
+    a, b = spark.createDataFrame(outside, COLUMNS), spark.createDataFrame(rows, COLUMNS)
+    for left, df in ((rows, b), (outside, a)):
+        got = [(r.g, r.i, r.nearest, r.distance, r.accepted) for r in rings.nearest(df, b, "g", "i", few=8).collect()]
+        assert sorted(got) == sorted((*k, *v) for k, v in by_loops(left, rows).items())
+    assert looks and looks[0].count() > 0
+
+
+def test_a_box_is_dealt_about_twice(spark):
+    """As a centre and as a box, and what lies at a tile's border once more; it had been ten rows a box, nine of them with its id."""
+    rng = random.Random(12)
+    df = spark.createDataFrame(rows_of(rng, 40_000, 1, spread=100_000), COLUMNS)
+    grid = rings.grids(df, "g", 1.35)
+    celled = rings._celled(rings._centred(df, "g", "i"), grid, "g", 1.35)
+    assert 80_000 <= rings._dealt(celled, celled, "g", "i", 4).count() < 2.4 * 40_000
+
+
+def test_copies_of_a_centre_are_not_held(monkeypatch):
+    """A tile in several batches, most of its boxes on one centre: the rows of plain loops, two ids held of each centre."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(rings, "A_TASK", 50)
+    monkeypatch.setattr(rings, "PAIRS", 100)
+    rng, held, plain = random.Random(13), [], rings.Centres.__init__
+    monkeypatch.setattr(rings.Centres, "__init__", lambda self, ids, *a: held.append(len(ids)) or plain(self, ids, *a))
+    rows = rows_of(rng, 900, 1, near=(7.0, 7.0)) + rows_of(rng, 20, 1, 2000, 30)
+    tall = lambda role, some: pa.RecordBatch.from_pydict({"g": [1] * len(some), "_tx": [0] * len(some), "_ty": [0] * len(some), "_role": pa.array([role] * len(some), pa.int8()), "i": [str(r[1]) for r in some], "_cx": [r[2] + r[4] / 2 for r in some], "_cy": [r[3] + r[5] / 2 for r in some], "_h": [r[5] for r in some], "_seen": [float("inf")] * len(some)})
+    batches = [tall(role, rows[at : at + 40]) for role in (0, 1) for at in range(0, len(rows), 40)]
+    got = pa.Table.from_batches(rings._looked(["g", "i"], [pa.int64(), pa.string()], 1.35, None)(iter(batches))).to_pylist()
+    named = [(g, str(i), *box) for g, i, *box in rows]
+    assert {(r["g"], r["i"]): (r["nearest"], r["distance"], r["accepted"]) for r in got} == by_loops(named, named) and len(got) == len(rows)
+    assert max(held) < 150
