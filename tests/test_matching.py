@@ -82,3 +82,48 @@ def test_metrics_count_what_cannot_match(spark):
     got = {r.kind: tuple(r)[1:] for r in M.metrics(e, f, "g", "kind").collect()}
     assert got == {"A": (2, 1, 1, 0.5, 1.0, 1.0), "B": (0, 1, 0, None, 0.0, None), None: (1, 0, 0, 0.0, None, None), "C": (1, 0, 0, 0.0, None, None)}
     assert M.metrics(e.where("false"), f.where("false"), "g", "kind").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_edges_as_brute_force(seed):
+    """Pages of one to many components, chains too long to be tried, equal weights, ids that several pages have."""
+    import numpy as np
+
+    rng, rows = random.Random(seed), []
+    for page in range(150):
+        share, lefts = rng.choice((0.15, 0.3, 0.8)), rng.randrange(1, 7)
+        rows += [(page, a, b, rng.choice((0.5, 0.75, rng.random()))) for a in range(lefts) for b in range(10, 10 + rng.randrange(1, 8)) if rng.random() < share]
+    rows += [(200, a, b, 0.5 + 0.01 * a) for a in range(9) for b in (a, a + 1)]
+    page, a, b, w = (np.array(c) for c in zip(*rows))
+    got = defaultdict(list)
+    for e in M.best_edges(page, a, b, w):
+        got[rows[e][0]].append(rows[e])
+    for p in {r[0] for r in rows}:
+        n, total = brute([r[1:] for r in rows if r[0] == p])
+        assert len(got[p]) == len({r[1] for r in got[p]}) == len({r[2] for r in got[p]}) == n and abs(sum(r[3] for r in got[p]) - total) < 1e-9
+
+
+def test_small_components_are_not_walked(monkeypatch):
+    """Components of few boxes had one call each of the augmenting paths, which was most of the time; pages go on over batches."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "best_matching", lambda edges: pytest.fail("walked"))
+    monkeypatch.setattr(M, "AT_ONCE", 20)
+    rng = random.Random(5)
+    rows = [(g, kind, 2 * k + a, 3 * k + b, rng.random()) for g in range(40) for kind in "AB" for k in range(rng.randrange(1, 9)) for a in range(2) for b in range(3) if rng.random() < 0.7]
+    table = pa.Table.from_pylist([dict(zip(("g", "kind", "a", "b", "iou"), r)) for r in rows])
+    got = defaultdict(list)
+    for r in pa.Table.from_batches(M._best(iter(table.to_batches(7)))).to_pylist():
+        got[r["g"], r["kind"]].append(r)
+    for key in {r[:2] for r in rows}:
+        edges = [r[2:] for r in rows if r[:2] == key]
+        by_part = [brute([e for e in edges if e[0] // 2 == k]) for k in {e[0] // 2 for e in edges}]
+        assert len(got[key]) == sum(n for n, _ in by_part) and abs(sum(r["iou"] for r in got[key]) - sum(t for _, t in by_part)) < 1e-9
+
+
+def test_pairs_are_made_and_dealt_once(spark):
+    """One join, whose pairs are shuffled once; they had been made twice, shuffled five times and joined with their kinds again."""
+    e, f = made(2)
+    m = M.metrics(spark.createDataFrame(e, SCHEMA), spark.createDataFrame(f, SCHEMA), "g", "kind")
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Window ") == 0 and plan.count("RepartitionByExpression") == 1
