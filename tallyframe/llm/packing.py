@@ -141,8 +141,8 @@ def _packed(path: str, end_id: int, size: int):
 
         for batch in batches:
             rows: list[list] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += layout.add(doc_id, np.frombuffer(enc.encode(text.as_py()) + end, kind))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_each(t.as_py() for t in batch.column(1))):
+                rows += layout.add(doc_id, np.frombuffer(ids + end, kind))
             if rows:
                 yield batch_of(rows)
         if rows := list(layout.finish()):

@@ -38,6 +38,29 @@ def test_special_strings():
             assert encoder.encode(text) == array("H", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("ab éΣ漢 \n\t,.'!2<|>s�\x1c 　ÀŹ")), max_size=24), max_size=8))
+def test_several_texts_give_the_ids_of_each(texts):
+    for encoder, tokenizer in FILES.values():
+        assert list(encoder.encode_each(texts)) == [array("H", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
+def test_new_pieces_are_encoded_as_one_string():
+    """New words of some texts are one string of one call, and each has its own ids; they had been one string each."""
+    encoder, tokenizer = Encoder(P.path("byte_bpe_50k.json"), 1000), FILES["byte_bpe_50k.json"][1]
+    texts, sent, plain_one = [f"Word{k} zqx{k}vj été{k}\n漢字{k} it's, {k}.\nend{k} 'll {k}" for k in range(60)], [], encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, some, **options):
+            sent.extend(some)
+            return plain_one.encode_batch_fast(some, **options)
+
+    encoder.tokenizer = Counted()
+    assert list(encoder.encode_each(texts)) == [array("H", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert len(encoder.pieces) > 300 and len(sent) < 100
+    assert encoder.together([" a", "b"]) is None  # one token reaches over the cut
+
+
 def test_frames():
     data = b"".join(records.frame(i, array("H", [i, 2, 3]).tobytes(), 2) + b"\n" for i in (5,)) + records.frame(None, array("H", [0]).tobytes(), 2) + b"\n" + records.frame(7, array("I", [70_000]).tobytes(), 4) + b"\n"
     got = [(d, ids.tolist()) for d, ids, _, _ in records.walk(memoryview(data))]
