@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators import cards as C
-from tallyframe.operators.synthesis import numbered_cards
+from tallyframe.operators import grids as G
 from tallyframe.plans.folds import CARDS, card_texts, laid_out
 from tallyframe.plans.registry import query
 from tallyframe.plans.views import boxes
@@ -26,12 +26,19 @@ elements AS (
 ctexts AS (SELECT g, id AS ocr, text, [CASE WHEN id // 3 % 4 < 3 THEN '#FFFFFF' END, ['#AA0000', '', NULL][1 + id // 3 % 3], '#000000'][1 + id % 3] AS color, x, y, w, h FROM texts)"""
 
 
+def one(of, *v):
+    return F.element_at(F.array(*(x if isinstance(x, F.Column) else F.lit(x) for x in v)), (1 + of % len(v)).cast("int"))
+
+
+def _asset(supp, nn):
+    return one(supp, F.concat(F.lit("icon-"), nn), F.concat(F.lit("card-"), nn, F.lit("-pic")), "house", "logo", F.concat(nn, F.lit("_asset")))
+
+
 def elements(laid: DataFrame) -> DataFrame:
     """A branch for each of the six, so that a pass over some of them does not make the others."""
     i, part, supp = F.col("i"), F.col("part"), F.col("supp")
     b = laid.select("g", "i", "part", "supp", F.concat(F.lit("0"), i.cast("string")).alias("nn"), (100 + (i - 1) % 3 * 480 + part % 7).alias("nx"), (300 + F.floor((i - 1) / 3) * 180 + supp % 9).alias("ny"), (3 * (i - 1)).alias("t"))
     nn, nx, ny, t = (F.col(c) for c in ("nn", "nx", "ny", "t"))
-    one = lambda of, *v: F.element_at(F.array(*(x if isinstance(x, F.Column) else F.lit(x) for x in v)), (1 + of % len(v)).cast("int"))
     text, num = (lambda v: (v if isinstance(v, F.Column) else F.lit(v)).cast("string")), (lambda v: (v if isinstance(v, F.Column) else F.lit(v)).cast("long"))
 
     def element(k, name, kind, role, x, y, w, h, fill, stroke, radius, holds, when=None):
@@ -43,13 +50,28 @@ def elements(laid: DataFrame) -> DataFrame:
         element(0, F.concat(one(part, "card-", "card-", "Card-", "panel-"), nn, one(part, "", "-host", "", "")), "rectangle", "container", nx - 20, ny - 10, 250 + part % 500, 150, "#FFFFFF", one(supp, "#FFFFFF", "#00AA00", None), supp % 20, F.when(supp % 7 == 0, F.array(t)).otherwise(every)),
         element(1, F.concat(F.lit("card-"), nn, F.lit("-number-tab")), "rectangle", "decoration", nx, ny, 50, 30, one(part, "#AA0000", "#FFFFFF", None), "#AA0000", None, F.array(t)),
         element(2, F.concat(F.lit("card-"), nn, F.lit("-title-bar")), "rectangle", "decoration", nx, ny, 90, 30, "#AA0000", F.when(supp % 2 == 0, "#BB0000"), 4, F.array(t + 1), part % 5 == 0),
-        element(3, one(supp, F.concat(F.lit("icon-"), nn), F.concat(F.lit("card-"), nn, F.lit("-pic")), "house", "logo", F.concat(nn, F.lit("_asset"))), one(part, "icon", "image"), "icon", nx + part % 300, ny + 60 + supp % 50, 40, 40, None, None, None, None),
+        element(3, _asset(supp, nn), one(part, "icon", "image"), "icon", nx + part % 300, ny + 60 + supp % 50, 40, 40, None, None, None, None),
         element(4, F.concat(one(part, "summary-", "section-title-", "Core-"), nn), "rectangle", "container", nx - 60 + part % 120, ny - 30, 880 + part % 300, 120 + supp % 90, one(supp, "#FFFFFF", "#224466", ""), one(part, "#FFFFFF", "#00AA00"), supp % 15, F.when(supp % 2 == 0, F.array(t, t + 1, t + 4)).otherwise(F.array(t, t + 2, t + 5, t + 1))),
         element(5, "label", "rectangle", "decoration", nx, ny, 60, 40, one(supp, "#333333", "#FAFAFA"), None, None, F.array(t), part % 4 == 0),
     )
     return reduce(DataFrame.unionByName, rows)
 
 
+def pieces(laid: DataFrame) -> DataFrame:
+    """The texts of `card_texts` and the icons of `elements`, as arrays beside their box, so that boxes are dealt before they are made."""
+    i, part, supp = F.col("i"), F.col("part"), F.col("supp")
+    at = laid.select("g", "i", "part", "supp", "h", (100 + (i - 1) % 3 * 480 + part % 7).alias("nx"), (300 + F.floor((i - 1) / 3) * 180 + supp % 9).alias("ny"), F.concat(F.lit("0"), i.cast("string")).alias("nn"))
+    nx, ny, nn = F.col("nx"), F.col("ny"), F.col("nn")
+
+    def text(k, word, x, y, h):
+        return F.struct((3 * (i - 1) + k).alias("id"), word.alias("text"), (nx + x).alias("x"), (ny + y).alias("y"), h.cast("long").alias("h"))
+
+    number = F.when(part % 11 == 0, "no").otherwise(F.concat(F.lit(" "), nn))
+    held = F.array(text(0, number, 0, 0, F.lit(30)), text(1, F.lit("Title"), 90, part % 40, F.lit(24)), text(2, F.lit("Body"), 130, 50 + supp % 5, 30 + F.col("h") % 90))
+    icon = F.struct((10 * i + 3).alias("id"), _asset(supp, nn).alias("name"), (nx + part % 300).alias("x"), (ny + 60 + supp % 50).alias("y"))
+    return at.select("g", held.alias("texts"), F.array(icon).alias("icons"))
+
+
 def texts(laid: DataFrame) -> DataFrame:
     at = F.floor(F.col("id") / 3)
     color = F.element_at(F.array(F.when(at % 4 < 3, "#FFFFFF"), F.element_at(F.array(F.lit("#AA0000"), F.lit(""), F.lit(None)), (1 + at % 3).cast("int")), F.lit("#000000")), (1 + F.col("id") % 3).cast("int"))
@@ -142,5 +164,4 @@ pick AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id,
 SELECT t.g, t.number_id, p.id, t.x + 26 AS x, t.body_top + 4 AS y, greatest(56, least(112, t.body_left - t.x - 52)) AS w, greatest(58, least(t.h - 86, 105)) AS h FROM pick p JOIN turns t ON t.g = p.g AND t.k = p.k WHERE p.id IS NOT NULL""")
 def dealt_assets(spark, d):
     """An asset for each card of a numbered grid: by name, else the nearest one left."""
-    b = boxes(spark, d)  # its rows stay dealt by page for the joins
-    return C.dealt_assets(numbered_cards(card_texts(b), "g"), elements(b), "g")
+    return G.dealt_on_pages(pieces(boxes(spark, d)), "g")
